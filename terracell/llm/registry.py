@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracell.llm import decontaminate
+from terracell.llm import decontaminate, language_id, line_dedup
 from terracell.llm.shared import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -16,8 +16,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.cleaned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_language_id": op2_language_id,
+        "op3_line_dedup": op3_line_dedup,
+    }
 
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,5 +49,15 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT doc_id, source, i, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare FROM l),
+spread AS (SELECT bare, min(doc_id) AS first_doc FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 6),
+m AS (SELECT k.*, spread.bare IS NOT NULL AND k.doc_id <> first_doc AS gone FROM k LEFT JOIN spread USING (bare)),
+c AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_removed FROM m GROUP BY doc_id)
+SELECT doc_id, c.text, cast(coalesce(n_removed, 0) AS bigint) AS n_removed FROM documents LEFT JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL}
