@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracell.llm import decontaminate, language_id, line_dedup
+from terracell.llm import decontaminate, language_id, line_dedup, vector_dedup
 from terracell.llm.shared import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -24,11 +24,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.cleaned(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_language_id": op2_language_id,
         "op3_line_dedup": op3_line_dedup,
+        "op4_vector_dedup": op4_vector_dedup,
     }
 
 
@@ -59,5 +64,19 @@ SELECT doc_id, c.text, cast(coalesce(n_removed, 0) AS bigint) AS n_removed FROM
 """
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, cast(embedding AS double[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, cast(coalesce(n_links, 0) AS bigint) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_vector_dedup": OP4_SQL}
