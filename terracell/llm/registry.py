@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracell.llm import decontaminate, language_id, line_dedup, vector_dedup
+from terracell.llm import decontaminate, jaccard_join, language_id, line_dedup, vector_dedup
 from terracell.llm.shared import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -28,12 +28,17 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_language_id": op2_language_id,
         "op3_line_dedup": op3_line_dedup,
         "op4_vector_dedup": op4_vector_dedup,
+        "op5_jaccard_join": op5_jaccard_join,
     }
 
 
@@ -78,5 +83,20 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
 """
 
 
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM o JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.a AS doc_id, cast(coalesce(n, 0) AS bigint) AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = c.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_vector_dedup": OP4_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_vector_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL}
