@@ -22,31 +22,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracell.llm.shared import cut
+
 SITES = 6  # distinct sites that make a line boilerplate
 NEAR = 2.0  # estimates within this factor of the threshold are counted exactly
 PRECISION = 12  # log2 of the sketch's registers
+BLANKS = " \t\r\f\v"
 
 
-def _lines(text: Column) -> Column:
+def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
 def _key(line: Column) -> Column:
     """The two hashes of a line as one struct; null for blank lines."""
-    bare = F.regexp_replace(line, r"^\s+|\s+$", "")
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h"), F.xxhash64(F.reverse(bare), F.lit(7)).alias("g")))
+    bare = F.btrim(line, F.lit(BLANKS))
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h"), F.xxhash64(F.lit(7), bare).alias("g")))
 
 
-def _exploded(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    lines = docs.select(F.col(doc_id).alias("doc"), F.col(site).alias("site"), F.explode(_lines(F.col(text))).alias("line"))
-    return lines.select("doc", "site", _key(F.col("line")).alias("k")).where("k is not null").select("doc", "site", "k.h", "k.g")
+def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+    """(doc, site, h, g) of every line that is not blank."""
+    lines = docs.select(F.col(doc_id).alias("doc"), F.col(site).alias("site"), F.explode(F.transform(_split(F.col(text)), _key)).alias("k"))
+    return lines.where("k is not null").select("doc", "site", "k.h", "k.g")
 
 
-def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
+def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(h, g, first_doc) of every line on at least ``sites`` distinct sites."""
-    lines = _exploded(docs, doc_id, text, site)
     spread = lines.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", PRECISION)).alias("est"), F.min("doc").alias("first_doc"))
-    spread = spread.where(F.col("est") >= sites / NEAR)
+    spread = cut(spread.where(F.col("est") >= sites / NEAR), "spread")
     near = spread.where(F.col("est") < sites * NEAR)
     exact = (
         lines.join(near.select("h", "g"), ["h", "g"], "left_semi")
@@ -61,21 +64,20 @@ def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
 
 def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
     """docs with ``text`` cleaned, and n_removed (lines taken out)."""
-    from terracell.llm.shared import cut
-
     docs = docs.drop("n_removed")
-    spread = cut(boilerplate(docs, doc_id, text, site, sites), "boilerplate")
-    mine = _exploded(docs, doc_id, text, site).select("doc", "h", "g")
+    lines = cut(line_keys(docs, doc_id, text, site), "lines")
+    spread = cut(boilerplate(lines, sites), "boilerplate")
     gone = (
-        mine.join(spread, ["h", "g"])
+        lines.select("doc", "h", "g")
+        .join(spread, ["h", "g"])
         .where(F.col("doc") != F.col("first_doc"))
         .groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set(F.struct("h", "g")).alias("gone"))
     )
-    lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), _key(x)), F.lit(False)))
-    joined = docs.join(gone, docs[doc_id] == gone["gone_doc"], "left")
-    cleaned = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("bigint")
+    parts = _split(F.col(text))
+    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), _key(x)), F.lit(False)))
+    joined = docs.join(gone, docs[doc_id] == gone["gone_doc"], "left").withColumn("kept_lines", F.when(F.col("gone").isNotNull(), kept))
+    cleaned = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join("kept_lines", "\n"))
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size("kept_lines")).cast("bigint")
     return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns], removed.alias("n_removed"))
 
 
