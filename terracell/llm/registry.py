@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracell.llm import decontaminate, jaccard_join, language_id, line_dedup, secret_scan, vector_dedup
+from terracell.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, secret_scan, vector_dedup
 from terracell.llm.shared import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,6 +36,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_vector_dedup": op4_vector_dedup,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_secret_scan": op6_secret_scan,
+        "op7_license_scan": op7_license_scan,
     }
 
 
@@ -66,7 +71,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 
 OP3_SQL = r"""
 WITH l AS (SELECT doc_id, source, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
-k AS (SELECT doc_id, source, i, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare FROM l),
+k AS (SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS bare FROM l),
 spread AS (SELECT bare, min(doc_id) AS first_doc FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 6),
 m AS (SELECT k.*, spread.bare IS NOT NULL AND k.doc_id <> first_doc AS gone FROM k LEFT JOIN spread USING (bare)),
 c AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_removed FROM m GROUP BY doc_id)
