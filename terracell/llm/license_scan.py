@@ -16,13 +16,15 @@ rows each get their row. Extra columns are ignored by ``report`` and pass throug
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: the word alphabet without the folding: as a plain union of ranges it matches ten times faster than as a complement
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
@@ -131,13 +133,14 @@ class Rule:
     priority: int
     score: float
     keyword: str
+    stem: str
     pattern: str
 
 
 def rules() -> list[Rule]:
     """Every name in every phrase, best priority first, then the bare statements."""
-    out = [Rule(label, priority, score, key, f"(?<= ){phrase.format(name)}(?= )") for priority, score, phrase in PHRASES for label, key, name in NAMES]
-    return out + [Rule(label, *_STATEMENT, key, f"(?<= ){name}(?= )") for label, key, name in STATEMENTS]
+    out = [Rule(label, priority, score, key, stem(name, key), f"(?<= ){phrase.format(name)}(?= )") for priority, score, phrase in PHRASES for label, key, name in NAMES]
+    return out + [Rule(label, *_STATEMENT, key, key, f"(?<= ){name}(?= )") for label, key, name in STATEMENTS]
 
 
 def _quoted(s: str) -> str:
@@ -164,24 +167,31 @@ def _rule_table(table: list[Rule]) -> str:
     return f"array({', '.join(rows)})"
 
 
-def gate(text: Column, table: list[Rule]) -> Column:
-    """Whether any rule's keyword, or the words of a base phrase, occur in the text."""
-    low = F.lower(text)
+def stem(name: str, keyword: str) -> str:
+    """What any text with the name must contain: the stem of "license" if every form has it, else the keyword."""
+    needed, before = name, None
+    while needed != before:  # drop what is optional
+        needed, before = re.sub(r"\(\?:[^()]*\)\?", "", needed), needed
+    return "licen" if all(_L in form for form in needed.split("|")) else keyword
+
+
+def gate(low: Column, table: list[Rule]) -> Column:
+    """Whether a lower-cased text may match a rule or hold a base phrase ("license" or "cc by")."""
+    stems = {r.stem for r in table} | {"licen"}
     some = F.lit(False)
-    for key in sorted({r.keyword for r in table}):
-        if key != "cc":
-            some = some | F.contains(low, F.lit(key))
-    return some | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("by")))
+    for key in sorted(k for k in stems - {"cc"} if not any(o != k and o in k for o in stems - {"cc"})):
+        some = some | F.contains(low, F.lit(key))
+    return some | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("by")) & F.rlike(low, F.lit("cc[^0-9a-z]+by")))
 
 
 def scan(docs: DataFrame, text: str = "text", table: list[Rule] | None = None) -> DataFrame:
     """docs with n_words, base (spans of base phrases) and found (kept rule matches)."""
     table = rules() if table is None else table
-    docs = docs.drop("n_words", "norm", "base", "matches", "found", "gated")
+    docs = docs.drop("n_words", "low", "norm", "base", "matches", "found")
     whole = F.coalesce(F.col(text), F.lit(""))
     form = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(whole, UPPER, LOWER), GAP, " ")), F.lit(" "))
-    docs = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD)).cast("bigint")).withColumn("gated", gate(whole, table))
-    docs = docs.withColumn("norm", F.when(F.col("gated"), form))
+    docs = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD)).cast("bigint")).withColumn("low", F.lower(whole))
+    docs = docs.withColumn("norm", F.when(gate(F.col("low"), table), form))
     phrase = lambda p: f"(?<= ){p}(?= )"
     base = ", ".join(
         f"transform({_SPANS.format(re=_quoted(phrase(p)))}, s -> named_struct('label', {_quoted(label)}, 'start', s.start, 'stop', s.stop))" for label, p in BASE
@@ -200,7 +210,7 @@ def scan(docs: DataFrame, text: str = "text", table: list[Rule] | None = None) -
         OR (b.priority = a.priority AND b.stop - b.start = a.stop - a.start AND b.rank < a.rank))))
     """
     docs = docs.withColumn("found", F.when(F.col("matches").isNotNull(), F.expr(better)))
-    return docs.drop("gated", "norm", "matches")
+    return docs.drop("low", "norm", "matches")
 
 
 def report(docs: DataFrame) -> DataFrame:
