@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import bytewords as B
-from terracell.llm.shared import cut
+from terracell.llm.shared import bitmap_of, cut, in_bitmap
 
 WINDOW = 8
 GRAM = 4
@@ -71,13 +71,12 @@ def winnow(words: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.nd
     return at, g[at]
 
 
-def _prints(texts: pa.Array, sizes: list[int], window: int, gram: int, bitmap: np.ndarray | None, whole: bool) -> Iterator[tuple[int, list[dict]]]:
+def _prints(texts: pa.Array, sizes: list[int], window: int, gram: int, bitmap: bytes | None, whole: bool) -> Iterator[tuple[int, list[dict]]]:
     """Per row: number of words, and its fingerprints (that the bitmap knows) with context.
 
     ``whole``: a row is fingerprinted only for the window size its length asks for.
     """
     data, offsets = B.utf8(texts)
-    shift = np.uint64(64 - BITS)
     for i, j in B.chunks(offsets):
         lo = offsets[i]
         part = data[lo : offsets[j]]
@@ -89,8 +88,7 @@ def _prints(texts: pa.Array, sizes: list[int], window: int, gram: int, bitmap: n
             at, fp = winnow(words, bounds, k, w)
             fp = B.mix(fp ^ np.uint64(size))
             if bitmap is not None and len(fp):
-                slot = fp >> shift
-                hit = (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                hit = in_bitmap(bitmap, fp, BITS)
                 at, fp = at[hit], fp[hit]
             rows = np.searchsorted(bounds, at, side="right") - 1
             for p, f, r in zip(at.tolist(), fp.view(np.int64).tolist(), rows.tolist(), strict=True):
@@ -106,7 +104,7 @@ def _fingerprinted(df: DataFrame, key: str, text: str, sizes: list[int], window:
     """(key, n_words, hits) per row."""
 
     def run(batches):
-        bits = np.frombuffer(bitmap.value, dtype=np.uint8) if bitmap is not None else None
+        bits = bitmap.value if bitmap is not None else None
         for batch in batches:
             got = list(_prints(batch.column(1), sizes, window, gram, bits, whole))
             yield pa.RecordBatch.from_arrays(
@@ -132,16 +130,6 @@ def _extend(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["size"], pa.int32()), pa.array(out["items"], pa.list_(pa.int64()))], names=list(out))
 
 
-def bitmap_of(prints: DataFrame) -> bytes:
-    """The 2**BITS-bit map of the column fp; at most 2**(BITS - 6) rows reach the driver."""
-    slots = prints.select(F.shiftrightunsigned("fp", 64 - BITS).alias("slot"))
-    rows = slots.groupBy(F.shiftright("slot", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 AS int)))").alias("b")).collect()
-    words = np.zeros(1 << (BITS - 5), dtype=np.uint32)
-    for r in rows:
-        words[r["w"]] = r["b"] & 0xFFFFFFFF
-    return words.astype("<u4").tobytes()
-
-
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -167,7 +155,7 @@ def contamination(
     )
     bench = cut(bench, "benchmark")
     sizes = sorted(r[0] for r in bench.select("b_size").distinct().collect())  # at most `window` rows
-    bits = spark.sparkContext.broadcast(bitmap_of(bench))
+    bits = spark.sparkContext.broadcast(bitmap_of(bench, BITS))
     base = cut(_fingerprinted(docs, doc_id, doc_text, sizes, window, gram, bitmap=bits), "fingerprints")
     k = F.when(F.col("size") >= window, F.lit(gram)).otherwise(F.col("size"))
     hits = base.select("key", F.explode("hits").alias("h")).select("key", "h.*").withColumn("k", k)

@@ -9,15 +9,16 @@ tokens last, rarest first. A linked pair shares a token in both prefixes of
 as (size, position) entries in that order. A list is a sequence of blocks of
 equal size: a block is skipped whole if its size, or the positions with it, rule
 the overlap out, and left as soon as positions grow too large. Two prefixes of a
-linked pair also share a least number of tokens, which prunes pairs further.
+linked pair also share a least number of tokens, and histograms of whole sets
+differ by no more than the sets may, which prunes pairs further.
 
-Answer level. Members of a long list are mostly near copies of one another. They
-meet once, in the list of their first long token ("home"), where the answers
-(overlaps with all members) of one set are derived from those of a similar set
-already computed, by walking only the lists of the tokens that differ. Members
-that have joined the largest component need no answers of their own. Across
-homes, a few delegates per component are tried first, so that what belongs
-together merges, and then every pair of entries still in different components.
+Answer level. What may link falls into candidate groups, mostly near copies of one
+another. The sets of a group meet in one place, where the answers (overlaps with
+all members) of one set are derived from those of a similar set already computed,
+by walking only the lists of the tokens that differ. Members that have joined the
+largest component need no answers of their own. A group of more than
+``HOME_TOKENS`` tokens meets in blocks; then what is outside its main component
+meets every block.
 
 Frequent tokens: document frequencies of the tokens that can enter a prefix are
 counted over all documents; the ``HEAVY`` commonest above ``COMMON`` are put
@@ -42,11 +43,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.llm import bytewords as B
-from terracell.llm.shared import Forest, components, cut, run_starts, sorted_runs
+from terracell.llm.shared import Forest, bitmap_of, components, cut, gathered, in_bitmap, run_starts, sorted_runs
 
 N = 3
 NUM, DEN = 90, 100
@@ -54,8 +55,10 @@ COMMON = 64  # prefix tokens in more sets than this may be put last
 HEAVY = 1 << 19  # at most so many are: 6 MB to each task
 SHORT = 16  # lists up to this length are compared pair by pair
 HOME_TOKENS = 1 << 22  # tokens of the sets that meet in one home: 32 MB
-DELEGATES = 4
+DELEGATES = 16  # sets of each block of a larger group that meet those of the others
+MAP_BITS = 25  # the map of the documents that are read again: 4 MB
 ANSWERS = 32  # computed overlap vectors kept in a home
+CELLS = 32
 SLACK = 1.6  # tokens counted, relative to a prefix
 
 
@@ -130,6 +133,15 @@ def frequent_tokens(texts: DataFrame, n: int, num: int, den: int, common: int =
     return tokens[order], rank[order]
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """How many tokens fall into each of ``CELLS`` hash ranges.
+
+    Two sets differ in at least as many tokens as their histograms, so those
+    refute most pairs that merely share a passage. Saturated counts only weaken that.
+    """
+    return np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % CELLS, minlength=CELLS), 32767).astype(np.int16)
+
+
 def prefix(s: np.ndarray, tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
     """The first tokens of a set in the global order."""
     p = prefix_length(len(s), num, den)
@@ -148,7 +160,7 @@ _LISTS = "kind int, token bigint, a bigint, b bigint, size_a int, size_b int, po
 
 
 def _split_lists(short: int, num: int, den: int):
-    """Sorted entries -> kind 0: pairs of short lists; 1: entries of long ones; 2: (a, pos) in how many short lists a is."""
+    """Sorted entries -> kind 0: pairs of short lists (pos: whether this may be their first shared token); 1: entries of long ones; 2: (a, pos) in how many short lists a is."""
 
     def run(batches):
         for t in sorted_runs(batches, ["token"]):
@@ -169,9 +181,11 @@ def _split_lists(short: int, num: int, den: int):
                     break
                 j = i + d
                 o = least_overlap(size[i], size[j], num, den)
-                ok = (size[i] >= o) & (size[i] - pos[i] >= o) & (size[j] - pos[j] >= o)
-                pairs.append((i[ok], j[ok]))
-            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+                ok = size[i] >= o
+                # the positions bear on a pair's first shared token only: later ones count without them
+                first = (size[i] - pos[i] >= o) & (size[j] - pos[j] >= o)
+                pairs.append((i[ok], j[ok], first[ok].astype(np.int64)))
+            i, j, early = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
             swap = digest[i] > digest[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             inside, times = np.unique(digest[few], return_counts=True)
@@ -184,13 +198,64 @@ def _split_lists(short: int, num: int, den: int):
                 np.concatenate((digest[j], none[1], none[2])),
                 np.concatenate((size[i], size[many], none[2])).astype(np.int32),
                 np.concatenate((size[j], none[1], none[2])).astype(np.int32),
-                np.concatenate((none[0], pos[many], times)).astype(np.int32),
+                np.concatenate((early, pos[many], times)).astype(np.int32),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "token", "a", "b", "size_a", "size_b", "pos"])
 
     return run
 
 
+def _candidates(num: int, den: int):
+    """Sorted entries of long lists -> (a, b): spanning edges of the pairs that may link.
+
+    A list is a sequence of blocks of equal size, each sorted by position. Blocks
+    whose size rules a link out are skipped, and a block is left where positions
+    grow too large for the overlap. Entries already joined are not looked at again.
+    """
+
+    def run(batches):
+        for t in sorted_runs(batches, ["token"]):
+            begin = run_starts(t, ["token"])
+            digest, few, longs = t.column("digest").to_numpy(), t.column("few").to_numpy(), t.column("longs")
+            size, pos = t.column("size").to_numpy().astype(np.int64), t.column("pos").to_numpy().astype(np.int64)
+            cells = t.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, CELLS)
+            a, b = [], []
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), t.num_rows], strict=True):
+                s, p, f, c = size[lo:hi], pos[lo:hi], few[lo:hi], cells[lo:hi].astype(np.int32)
+                sets = [set(x) for x in longs.slice(lo, hi - lo).to_pylist()]
+                heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                tails, block_size = np.append(heads[1:], hi - lo), s[heads]
+                label = np.arange(hi - lo)
+                group: dict[int, list[int]] = {}
+                for x in range(hi - lo):
+                    k = int(np.searchsorted(block_size, s[x]))  # later blocks only: a pair is seen from its smaller set
+                    while k < len(heads) and den * s[x] >= num * block_size[k]:
+                        o = int(least_overlap(s[x], block_size[k], num, den))
+                        if s[x] - p[x] < o:
+                            break  # no larger block can do either
+                        first = max(int(heads[k]), x + 1)
+                        last = int(heads[k]) + int(np.searchsorted(p[heads[k] : tails[k]], block_size[k] - o, side="right"))
+                        y = np.arange(first, max(first, last))
+                        y = y[label[y] != label[x]]
+                        y = y[np.abs(c[y] - c[x]).sum(axis=1) <= s[x] + block_size[k] - 2 * o]
+                        least = int(least_shared(s[x], block_size[k], num, den))
+                        for j in y.tolist():
+                            if label[j] != label[x] and len(sets[x] & sets[j]) + min(f[x], f[j]) >= least:
+                                one, two = int(label[x]), int(label[j])
+                                mine, other = group.pop(one, [x]), group.pop(two, [j])
+                                if len(mine) < len(other):
+                                    one, mine, other = two, other, mine
+                                label[other] = one
+                                group[one] = mine + other
+                        k += 1
+                for members in group.values():
+                    a += digest[lo + np.array(members[1:])].tolist()
+                    b += [int(digest[lo + members[0]])] * (len(members) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 class Home:
     """Sets that meet in one place; finds the components of their links."""
 
@@ -252,11 +317,11 @@ class Home:
 
 
 def _meet(num: int, den: int):
-    """Sorted (home, block, digest, set) -> (a, b) forest edges."""
+    """Sorted (place, block, digest, set) -> (a, b) forest edges of the links inside each block."""
 
     def run(batches):
-        for t in sorted_runs(batches, ["home", "block"]):
-            begin = run_starts(t, ["home", "block"])
+        for t in sorted_runs(batches, ["place", "block"]):
+            begin = run_starts(t, ["place", "block"])
             a, b = [], []
             for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), t.num_rows], strict=True):
                 if hi - lo < 2:
@@ -273,82 +338,27 @@ def _meet(num: int, den: int):
     return run
 
 
-def _across(delegates: int, num: int, den: int):
-    """Sorted entries of long lists with components -> pairs in different ones.
+def _between(place: DataFrame, found: DataFrame, meet) -> DataFrame:
+    """Links across the blocks of groups too large for one place.
 
-    With ``delegates`` only so many entries of a component stand for it, and only
-    against the largest one. A pair comes from the list of its first common long
-    token alone, and only if the tokens its prefixes may share reach the least number.
+    First a few sets of every block meet, so that the blocks' main components
+    merge. Then the stragglers, the sets outside their group's main component,
+    meet each block of their group, in chunks that keep a meeting within bounds.
     """
-
-    def run(batches):
-        for t in sorted_runs(batches, ["token"]):
-            begin = run_starts(t, ["token"])
-            token, digest, home, block, comp = (t.column(c).to_numpy() for c in ("token", "digest", "home", "block", "comp"))
-            size, pos = t.column("size").to_numpy().astype(np.int64), t.column("pos").to_numpy().astype(np.int64)
-            few, longs = t.column("few").to_numpy(), t.column("longs")
-            a, b = [], []
-            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), t.num_rows], strict=True):
-                names, group, count = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
-                if len(names) < 2:
-                    continue
-                main = int(count.argmax())
-                s, p, h, k = size[lo:hi], pos[lo:hi], home[lo:hi], block[lo:hi]
-                long_tokens = [x for x in longs.slice(lo, hi - lo).to_pylist()]
-                sets = [set(x) for x in long_tokens]
-                here = token[lo]
-                stands = np.ones(hi - lo, dtype=bool)
-                if delegates:
-                    order = np.lexsort((p, group))
-                    first = np.searchsorted(group[order], np.arange(len(names)))
-                    stands[order] = np.arange(hi - lo) - first[group[order]] < delegates
-                for x in np.flatnonzero((group != main) & stands).tolist():
-                    # blocks of one size outside the admissible range are never touched
-                    low = np.searchsorted(s, -(-num * s[x] // den), side="left")
-                    high = np.searchsorted(s, den * s[x] // num, side="right")
-                    y = np.arange(low, high)
-                    ok = (group[y] != group[x]) & stands[y] & ((h[y] != h[x]) | (k[y] != k[x]))
-                    ok &= (group[y] == main) if delegates else (group[y] == main) | (y > x)
-                    y = y[ok]
-                    o = least_overlap(s[x], s[y], num, den)
-                    y = y[(s[x] - p[x] >= o) & (s[y] - p[y] >= o)]
-                    need = least_shared(s[x], s[y], num, den)
-                    mine = sets[x]
-                    for j, least in zip(y.tolist(), need.tolist(), strict=True):
-                        both = len(mine & sets[j])
-                        if both + min(few[lo + x], few[lo + j]) < least:
-                            continue
-                        if next(w for w in long_tokens[x] if w in sets[j]) != here:
-                            continue
-                        a.append(int(min(digest[lo + x], digest[lo + j])))
-                        b.append(int(max(digest[lo + x], digest[lo + j])))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _verify(num: int, den: int):
-    """(a, b, set of a, set of b) -> the pairs that link."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                s, z = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                small, large = (s, z) if len(s) < len(z) else (z, s)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                if int((large[at] == small).sum()) >= least_overlap(len(s), len(z), num, den):
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
-
-    return run
-
-
-def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    one = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint")
+    rank = F.row_number().over(Window.partitionBy("place", "block").orderBy("digest"))
+    few = place.withColumn("n", rank).where(F.col("n") <= DELEGATES).withColumn("block", F.floor(F.col("block") / DELEGATES).cast("int"))
+    found = cut(found.union(meet(few)).union(meet(few.withColumn("block", F.col("n") - 1))), "found")
+    label = components(found).withColumnRenamed("node", "digest")
+    label = place.join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    main = label.groupBy("place", "component").count().groupBy("place").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    rest = label.join(main, "place").where("component <> main").select("digest", "place", "blocks", "size")
+    chunks = rest.groupBy("place").agg(F.ceil(F.sum("size") / HOME_TOKENS).cast("int").alias("chunks"))
+    rest = rest.join(chunks, "place").withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks")).cast("int"))
+    visit = rest.select("digest", "place", F.col("chunk").alias("c"), "chunks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    stay = place.select("digest", "place", F.col("block").alias("b")).join(chunks, "place")
+    stay = stay.select("digest", "place", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), "chunks", "b")
+    cells = visit.select("digest", "place", "c", "chunks", "b").union(stay).distinct()
+    return cut(found.union(meet(cells.withColumn("block", F.col("b") * F.col("chunks") + F.col("c")))), "found")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -361,70 +371,73 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         tokens, rank = heavy.value
         seen: set[int] = set()
         for batch in batches:
-            sizes, digests, parts = [], [], []
+            sizes, digests, parts, cells = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 sizes.append(len(s))
                 d = _digest(s) if len(s) else None
                 digests.append(d)
-                parts.append(prefix(s, tokens, rank, num, den) if len(s) and d not in seen else None)
+                fresh = len(s) > 0 and d not in seen
+                parts.append(prefix(s, tokens, rank, num, den) if fresh else None)
+                cells.append(histogram(s) if fresh else None)
                 seen.add(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.int64()), _lists_of(parts)], names=["doc", "size", "digest", "tokens"])
+            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.int64()), _lists_of(parts), pa.array(cells, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "size", "digest", "tokens", "cells"])
 
     known = docs.where("doc is not null")
-    member = cut(known.mapInArrow(prefixes, "doc bigint, size int, digest bigint, tokens array<bigint>"), "prefixes")
+    member = cut(known.mapInArrow(prefixes, "doc bigint, size int, digest bigint, tokens array<bigint>, cells array<smallint>"), "prefixes")
+    cells = member.where("cells is not null").groupBy("digest").agg(F.first("cells").alias("cells"))
     entries = member.select("digest", "size", F.posexplode("tokens").alias("pos", "token"))
-    entries = entries.repartition("token").sortWithinPartitions("token", "size", "pos", "digest")
-    lists = cut(entries.select("token", "digest", "size", "pos").mapInArrow(_split_lists(SHORT, num, den), _LISTS), "lists")
+    entries = gathered(entries.select("token", "digest", "size", "pos"), ["token"], ["size", "pos", "digest"])
+    lists = cut(entries.mapInArrow(_split_lists(SHORT, num, den), _LISTS), "lists")
 
     long = lists.where("kind = 1").select("token", F.col("a").alias("digest"), F.col("size_a").alias("size"), "pos")
     few = lists.where("kind = 2").groupBy(F.col("a").alias("digest")).agg(F.sum("pos").cast("int").alias("few"))
-    place = long.groupBy("digest").agg(
-        F.first("size").alias("size"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("longs"),
-    )
-    place = cut(place.join(few, "digest", "left").select("digest", "size", "longs", F.col("longs")[0].alias("home"), F.coalesce("few", F.lit(0)).alias("few")), "homes")
+    place = long.groupBy("digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("longs"))
+    place = place.join(few, "digest", "left").join(cells, "digest")
+    place = cut(place.select("digest", "longs", F.coalesce("few", F.lit(0)).alias("few"), "cells"), "places")
+    spanning = gathered(long.join(place, "digest"), ["token"], ["size", "pos", "digest"]).mapInArrow(_candidates(num, den), "a bigint, b bigint")
 
     # pairs of short lists: the tokens they share there, and could share in long lists, must suffice
     manies = place.select("digest", F.size("longs").alias("many"))
-    shared = lists.where("kind = 0").groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("times"))
+    shared = lists.where("kind = 0").groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("times"), F.max("pos").alias("early")).where("early = 1")
     o = F.ceil(num * (F.col("size_a") + F.col("size_b")) / (num + den))
     length = lambda c: F.col(c) - F.ceil(num * F.col(c) / den) + 1
     need = F.greatest(F.lit(1), F.least(length("size_a") + o - F.col("size_a"), length("size_b") + o - F.col("size_b")))
+    many = F.least(F.coalesce("many_a", F.lit(0)), F.coalesce("many_b", F.lit(0)))
     shared = (
         shared.withColumn("need", need)
         .join(manies.select(F.col("digest").alias("a"), F.col("many").alias("many_a")), "a", "left")
         .join(manies.select(F.col("digest").alias("b"), F.col("many").alias("many_b")), "b", "left")
-        .where(F.col("times") + F.coalesce(F.least("many_a", "many_b"), F.lit(0)) * F.when(F.col("many_a").isNull() | F.col("many_b").isNull(), 0).otherwise(1) >= F.col("need"))
+        .where(F.col("times") + many >= F.col("need"))
+        .select("a", "b", (F.col("size_a") + F.col("size_b") - 2 * o).alias("room"))
+        .join(cells.select(F.col("digest").alias("a"), F.col("cells").alias("x")), "a")
+        .join(cells.select(F.col("digest").alias("b"), F.col("cells").alias("y")), "b")
+        .where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, d: acc + d) <= F.col("room"))
     )
-    pairs = cut(shared.select("a", "b"), "pairs")
+    group = components(cut(spanning.union(shared.select("a", "b")), "candidates"))
 
-    # the sets of everything that may still link, from one document each
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).union(place.select("digest")).distinct()
-    source = member.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("doc")).join(wanted, "digest")
+    # each candidate group meets in one place, its sets made from one document each
+    source = member.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))
+    place = group.select(F.col("node").alias("digest"), F.col("component").alias("place")).join(source, "digest")
+    blocks = place.groupBy("place").agg(F.ceil(F.sum("size") / HOME_TOKENS).cast("int").alias("blocks"))
+    place = cut(place.join(blocks, "place").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "meeting")
+    wanted = spark.sparkContext.broadcast(bitmap_of(place.select(F.xxhash64("doc").alias("fp")), MAP_BITS))
 
     def whole(batches):
         for batch in batches:
-            # rows that share a doc_id may hold other texts: only the one asked for counts
-            got = [(d, s.tobytes()) for d, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True) if len(s) and _digest(s) == d]
+            may = pa.array(in_bitmap(wanted.value, batch.column(0).to_numpy(), MAP_BITS))
+            got = [(_digest(s), s.tobytes()) for s in shingle_sets(batch.column(1).filter(may), n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["digest", "shingles"])
 
-    texts = docs.join(source, "doc").select("digest", "text")
-    sets = cut(texts.mapInArrow(whole, "digest bigint, shingles binary").dropDuplicates(["digest"]), "sets")
-
-    blocks = place.groupBy("home").agg(F.ceil(F.sum("size") / HOME_TOKENS).cast("int").alias("blocks"))
-    big = blocks.where("blocks > 1")
-    place = place.join(big, "home", "left").withColumn("block", F.pmod(F.xxhash64("digest"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    met = place.select("digest", "home", "block").join(sets, "digest").repartition("home", "block").sortWithinPartitions("home", "block", "digest")
-    found = _checked(pairs, sets, num, den).union(met.mapInArrow(_meet(num, den), "a bigint, b bigint"))
-    found = cut(found, "found")
-    for delegates in (DELEGATES, 0):
-        comp = components(found)
-        entry = long.join(place.drop("size"), "digest").join(comp.select(F.col("node").alias("digest"), "component"), "digest", "left")
-        entry = entry.select("token", "digest", "size", "pos", "home", "block", F.coalesce("component", "digest").alias("comp"), "few", "longs")
-        open_lists = entry.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        entry = entry.join(open_lists, "token").repartition("token").sortWithinPartitions("token", "size", "pos", "digest")
-        more = entry.mapInArrow(_across(delegates, num, den), "a bigint, b bigint").distinct()
-        found = cut(found.union(_checked(cut(more, "across"), sets, num, den)), "found")
+    sets = known.select(F.xxhash64("doc").alias("fp"), "text").mapInArrow(whole, "digest bigint, shingles binary")
+
+    def meet(where: DataFrame) -> DataFrame:
+        at = gathered(where.select("digest", "place", "block").join(sets, "digest"), ["place", "block"], ["digest"])
+        return at.mapInArrow(_meet(num, den), "a bigint, b bigint")
+
+    found = cut(meet(place), "found")
+    if not place.where("blocks > 1").isEmpty():
+        found = _between(place.where("blocks > 1"), found, meet)
     comp = components(found)
 
     least = member.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))

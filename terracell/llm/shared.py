@@ -61,6 +61,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def gathered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of equal keys in one partition, sorted by keys and ``order``.
+
+    The rows are dealt by a hash expression, not by the keys themselves: after a
+    join on the same keys the planner would drop an equal repartitioning, and the
+    adaptive planner may then turn that join into one that keeps no key together.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
+def bitmap_of(df: DataFrame, bits: int, column: str = "fp") -> bytes:
+    """A map of 2**bits bits over the top bits of a 64-bit hash column.
+
+    Its size is fixed, whatever the table's; at most 2**(bits - 5) rows reach the
+    driver. It has false positives, never false negatives.
+    """
+    slots = df.select(F.shiftrightunsigned(column, 64 - bits).alias("slot"))
+    rows = slots.groupBy(F.shiftright("slot", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 AS int)))").alias("b")).toPandas()
+    words = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    words[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64) & 0xFFFFFFFF
+    return words.astype("<u4").tobytes()
+
+
+def in_bitmap(bitmap: bytes, fp: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes the map may hold."""
+    table = np.frombuffer(bitmap, dtype=np.uint8)
+    slot = fp.view(np.uint64) >> np.uint64(64 - bits)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None = None) -> Iterator[pa.Table]:
     """Tables of whole key runs from batches sorted by ``keys``.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.shared import Forest, components, cut, run_starts, sorted_runs
+from terracell.llm.shared import Forest, components, cut, gathered, run_starts, sorted_runs
 
 COSINE = 0.93
 PROBES = 2
@@ -258,7 +258,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
         split = index.join(big, bucket, "left").withColumn("block", block).withColumn("many", many)
         pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("a"), F.greatest(F.col("block"), o).alias("b"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side"))))
         split = split.select(*bucket, "own", "vec", "n", "unit", "codes", pair.alias("p")).select(*bucket, "own", "vec", "n", "unit", "codes", "p.*")
-        ordered = split.repartition(*bucket, "a", "b").sortWithinPartitions(*bucket, "a", "b", "vec")
+        ordered = gathered(split, [*bucket, "a", "b"], ["vec"])
         here = ordered.mapInArrow(_compare(cosine, tables, width, dim), "vec bigint, links bigint, other bigint")
         found = here if found is None else found.union(here)
     if found is None:
