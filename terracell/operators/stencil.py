@@ -75,8 +75,8 @@ def moving_quartiles(df: DataFrame, keys: list[str], value: str, nlat: int, nlon
     """df with exact quartiles q1, q2, q3 of the known values in a window around each cell."""
     half = width // 2
     window = expand(df, keys, [value], nlat, nlon, half, half)
-    q = window.groupBy(*keys, ROW, COL).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    return df.join(q, [*keys, ROW, COL]).select(*df.columns, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"))
+    q = window.groupBy(*keys, ROW, COL).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_quartiles"))
+    return df.join(q, [*keys, ROW, COL]).select(*df.columns, F.col("_quartiles")[0].alias("q1"), F.col("_quartiles")[1].alias("q2"), F.col("_quartiles")[2].alias("q3"))
 
 
 def window_widths(lat_centre: Column, resolution: float, km: float = 750.0, most: int = 50) -> tuple[Column, Column]:
@@ -97,8 +97,8 @@ def adaptive_quartiles(df: DataFrame, keys: list[str], value: str, nlat: int, nl
     source_row = F.when(source_row < 0, -source_row).when(source_row >= nlat, 2 * (nlat - 1) - source_row).otherwise(source_row)
     want = want.select(*keys, F.col(ROW).alias("_ti"), F.col(COL).alias("_tj"), source_row.cast("int").alias(ROW), F.pmod(F.col(COL) + F.col("dx"), F.lit(nlon)).cast("int").alias(COL))
     got = want.join(df.select(*keys, ROW, COL, value), [*keys, ROW, COL])
-    q = got.groupBy(*keys, F.col("_ti").alias(ROW), F.col("_tj").alias(COL)).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    return df.join(q, [*keys, ROW, COL]).select(*df.columns, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"))
+    q = got.groupBy(*keys, F.col("_ti").alias(ROW), F.col("_tj").alias(COL)).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_quartiles"))
+    return df.join(q, [*keys, ROW, COL]).select(*df.columns, F.col("_quartiles")[0].alias("q1"), F.col("_quartiles")[1].alias("q2"), F.col("_quartiles")[2].alias("q3"))
 
 
 def neighbour_mean(df: DataFrame, keys: list[str], value: str, nlat: int, nlon: int, half: int = 2) -> DataFrame:

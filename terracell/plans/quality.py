@@ -37,10 +37,10 @@ def window_flags(fields: DataFrame) -> DataFrame:
 def outlier_flags(fields: DataFrame, value: str, nlat: int, nlon: int, width: int) -> DataFrame:
     """Extreme, areal and persistent outlier flags on top of ``qc``."""
     day = ["day"]
-    base = fields.withColumnRenamed("qc", "_q")
+    base = fields.withColumnRenamed("qc", "_before")
     out = flags.extreme_flags(base, day, value, nlat, nlon).withColumnRenamed("qc", "_e")
     out = flags.areal_flags(out, day, value, nlat, nlon, width).withColumnRenamed("qc", "_r")
-    out = out.withColumn("qc", flags.combine(F.col("_q"), F.col("_e"), F.col("_r"))).drop("_q", "_e", "_r")
+    out = out.withColumn("qc", flags.combine(F.col("_before"), F.col("_e"), F.col("_r"))).drop("_before", "_e", "_r")
     out = temporal.persistence_window(out.withColumn("outlier", F.col("qc").bitwiseAND(F.lit(flags.OUTLIERS)) != 0), CELL)
     return out.withColumn("qc", flags.combine(F.col("qc"), flags.flag(F.col("persistent"), Bit.PERSISTENT_OUTLIER))).drop("outlier", "n_outliers", "persistent")
 

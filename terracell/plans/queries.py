@@ -12,6 +12,7 @@ from terracell.functions import grid as gridding_functions
 from terracell.functions.grid import Axis, Grid
 from terracell.operators import aggregate, filters, flags, joins, merge, models, stencil, temporal
 from terracell.operators.flags import Bit
+from terracell.operators.gmrf import coo, elements, mesh, solve
 from terracell.plans.gridding import Quality, grid_day
 from terracell.sources import adaptor, catalogue, readers
 from terracell.sources.adaptor import GRID, NLAT, NLON
@@ -946,4 +947,256 @@ def solar_zenith(spark, sf_dir):
     return adaptor.locations(spark, sf_dir).select("location_id", r6(physics.solar_noon_hour(doy, lon)).alias("noon"), r6(physics.solar_zenith(doy, F.lit(9.0), lat, lon)).alias("zenith"))
 
 
+# --- sources ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "station_reader",
+    f"""WITH {STATION_DAYS}, s AS (SELECT station, cast(day AS bigint) AS day, tmax, cast(station % 30 AS double) / 10 AS km, cast(station % 4 AS double) / 2 AS ref FROM station_days WHERE day % 3 = 0 AND station % 5 <> 1)
+SELECT station AS location_id, day, round(tmax + 6.5 * (km - ref), 6) AS measurement, round(sqrt(power(1.1 * abs(km - ref), 2) + 0.09), 6) AS unc FROM s""",
+)
+def station_reader(spark, sf_dir):
+    """Station series with quality codes, hold-out stations and altitude adjustment."""
+    st = F.col("station")
+    rows = adaptor.station_days(spark, sf_dir).select(
+        st.cast("string").alias("station_code"), "station", F.lit(0.0).alias("latitude"), F.lit(190.0).alias("longitude"), (F.pmod(st, F.lit(30)) * F.lit(100.0)).alias("elevation"), "day",
+        F.col("tmin").alias("tasmin"), F.col("tmax").alias("tasmax"), F.lit(0).alias("tasmin_qc"), F.when(F.col("day") % 3 == 0, 0).otherwise(1).alias("tasmax_qc"),
+    )
+    held = rows.where(st % 5 == 1).select("station_code").distinct()
+    reference = rows.select("station").distinct().withColumn("reference_elevation", F.pmod(st, F.lit(4)) * F.lit(500.0))
+    out = readers.land_stations(rows, "Tmax", held_out=held, altitude_reference=reference)
+    return out.select("location_id", big("day").alias("day"), r6("measurement").alias("measurement"), r6("unc").alias("unc"))
+
+
+@query(
+    "single_day_means",
+    f"""WITH {STATION_DAYS}, d AS (SELECT station, day, tmax - 1 AS m, umax AS u FROM station_days WHERE station % 3 = 0), x AS (SELECT station, day, (tmin + tmax) / 2 AS m, sqrt((umin * umin + umax * umax) / 2) AS u FROM station_days WHERE station % 2 = 0)
+SELECT station, cast(day AS bigint) AS day, round(coalesce(d.m, x.m), 6) AS measurement, round(coalesce(d.u, x.u), 6) AS unc FROM d FULL JOIN x USING (station, day)""",
+)
+def single_day_means(spark, sf_dir):
+    """Means as observed, else from the extremes of the day."""
+    days = adaptor.station_days(spark, sf_dir)
+    part = lambda name, value, unc, where: days.where(where).select("station", "day", F.lit(name).alias("observable"), value.alias("measurement"), F.col(unc).alias("unc"))
+    obs = part("Tmean", F.col("tmax") - 1, "umax", "station % 3 = 0").union(part("Tmin", F.col("tmin"), "umin", "station % 2 = 0")).union(part("Tmax", F.col("tmax"), "umax", "station % 2 = 0"))
+    out = readers.single_day(obs, ["station", "day"])
+    return out.select("station", big("day").alias("day"), r6("measurement").alias("measurement"), r6("unc").alias("unc"))
+
+
+@query(
+    "satellite_pairs",
+    f"""WITH {SWATH}, p AS (SELECT l_orderkey AS granule, l_suppkey AS "row", location_id AS col, measurement, CASE WHEN location_id % 3 <> 0 THEN unc_ran END AS a, unc_atm AS b FROM swath WHERE qc = 1)
+SELECT cast(granule AS bigint) AS granule, "row", col, measurement, round(a, 6) AS unc_ran, round(b, 6) AS unc_atm, round(cast(granule % 7 AS double) / 10, 6) AS unc_sys FROM p WHERE a IS NOT NULL""",
+)
+def satellite_pairs(spark, sf_dir):
+    """Pixels of two files by position; a pixel without an auxiliary value drops out."""
+    s = adaptor.swath(spark, sf_dir).where("qc = 1").select(F.col("l_orderkey").alias("granule"), F.col("l_suppkey").alias("row"), F.col("location_id").alias("col"), "measurement", F.when(F.col("location_id") % 3 != 0, F.col("unc_ran")).alias("unc_ran"), "unc_atm")
+    one = s.groupBy("granule", "row", "col").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    s = s.join(one, ["granule", "row", "col"])
+    scalars = s.select("granule").distinct().withColumn("unc_sys", F.pmod("granule", F.lit(7)) / F.lit(10.0))
+    out = readers.satellite_pairs(s.select("granule", "row", "col", "measurement"), s.drop("measurement"), ["unc_ran", "unc_atm"], scalars)
+    return out.select("granule", "row", "col", "measurement", r6("unc_ran").alias("unc_ran"), r6("unc_atm").alias("unc_atm"), r6("unc_sys").alias("unc_sys"))
+
+
+@query(
+    "granule_status",
+    """WITH e AS (SELECT TIMESTAMP '2024-01-05' + i * INTERVAL 5 MINUTE AS g FROM range(0, 288) AS t(i)), p AS (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, cast(ts AS timestamp)) AS g FROM events)
+SELECT strftime(e.g, '%Y-%m-%d %H:%M') AS granule, CASE WHEN p.g IS NOT NULL THEN 'ok' ELSE 'missing' END AS status FROM e LEFT JOIN p USING (g)""",
+)
+def granule_status(spark, sf_dir):
+    present = adaptor.table(spark, sf_dir, "events").select(F.window(F.col("ts").cast("timestamp"), "5 minutes")["start"].alias("granule"))
+    out = readers.granule_status(readers.granules(spark, "20240105"), present)
+    return out.select(F.date_format("granule", "yyyy-MM-dd HH:mm").alias("granule"), "status")
+
+
+@query("grid_as_source", f"WITH {FIELD} SELECT cast(lat_idx * 36 + lon_idx AS bigint) AS location_id, round(tas, 6) AS measurement, round(-90 + 10 * (lat_idx + 0.5), 6) AS latitude, round(-180 + 10 * (lon_idx + 0.5), 6) AS longitude FROM field WHERE tas IS NOT NULL")
+def grid_as_source(spark, sf_dir):
+    obs = readers.gridded(adaptor.field(spark, sf_dir).withColumn("day", F.lit(0)), GRID, "tas", "unc")
+    out = joins.with_location(obs, GRID.lookup(spark))
+    return out.select("location_id", r6("measurement").alias("measurement"), r6("latitude").alias("latitude"), r6("longitude").alias("longitude"))
+
+
+@query(
+    "two_hemispheres",
+    f"""WITH {FIELD} SELECT cast((lat_idx - CASE WHEN lat_idx >= 9 THEN 9 ELSE 0 END + CASE WHEN lat_idx >= 9 THEN 11 ELSE 0 END) * 36 + lon_idx AS bigint) AS location_id, round(tas, 6) AS tas FROM field""",
+)
+def two_hemispheres(spark, sf_dir):
+    rows = adaptor.field(spark, sf_dir)
+    part = lambda low, high: rows.where(F.col("lat_idx").between(low, high)).select(big((F.col("lat_idx") - low) * NLON + F.col("lon_idx")).alias("location_id"), r6("tas").alias("tas"))
+    return readers.two_hemispheres(part(0, 8), part(9, 17), 9, 2, NLON)
+
+
+@query("station_matrix", f"WITH {STATION_DAYS} SELECT cast(day AS bigint) AS day, max(tmax) FILTER (WHERE station = 3) AS s3, max(tmax) FILTER (WHERE station = 4) AS s4 FROM station_days WHERE station IN (3, 4) GROUP BY 1")
+def station_matrix(spark, sf_dir):
+    from terracell.sources import sinks
+
+    out = sinks.station_matrix(adaptor.station_days(spark, sf_dir).where("station IN (3, 4)"), "tmax", [3, 4])
+    return out.select(big("day").alias("day"), F.col("3").alias("s3"), F.col("4").alias("s4"))
+
+
+@query(
+    "bias_groups",
+    f"""WITH {SWATH} SELECT source, g, count(*) AS n FROM (SELECT source, CASE WHEN source = 'N' THEN CASE WHEN lat < 0 THEN 1 ELSE 0 END ELSE 0 END AS g FROM swath) GROUP BY 1, 2""",
+)
+def bias_groups(spark, sf_dir):
+    name = F.when(F.col("source") == "N", "ice").otherwise("land")
+    return adaptor.swath(spark, sf_dir).groupBy("source", joins.bias_group(name, F.col("lat")).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("unmatched_files", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
+def unmatched_files(spark, sf_dir):
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "'tas_'yyyyMMdd'.nc'")).otherwise(F.date_format("o_orderdate", "'tas-'yyyyMMdd'.nc'"))
+    return catalogue.unmatched(adaptor.table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name")), ["tas_%Y%m%d.nc"]).select("o_orderkey")
+
+
+@query(
+    "catalogue_update",
+    """WITH old AS (SELECT 'd' AS dataset, o_orderkey % 2 AS subset, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) - 1 AS entry, 'f' || lpad(cast(o_orderkey AS varchar), 9, '0') AS path FROM orders WHERE o_orderkey % 5 = 0),
+fresh AS (SELECT o_orderkey % 2 AS subset, 'f' || lpad(cast(o_orderkey AS varchar), 9, '0') AS path FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0)
+SELECT cast(subset AS int) AS subset, cast(entry AS int) AS entry, path FROM old UNION ALL
+SELECT cast(f.subset AS int), cast((SELECT max(entry) FROM old WHERE old.subset = f.subset) + row_number() OVER (PARTITION BY f.subset ORDER BY path) AS int), path FROM fresh AS f""",
+)
+def catalogue_update(spark, sf_dir):
+    o = adaptor.table(spark, sf_dir, "orders")
+    entry = lambda where: o.where(where).select(F.lit("d").alias("dataset"), F.pmod("o_orderkey", F.lit(2)).cast("int").alias("subset"), F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("path"))
+    w = Window.partitionBy("subset").orderBy("path")
+    old = entry("o_orderkey % 5 = 0").withColumn("entry", F.row_number().over(w) - 1)
+    new = entry("o_orderkey % 3 = 0").withColumn("entry", F.lit(0))
+    return catalogue.update(old, new).select("subset", "entry", "path")
+
+
+# --- sparse matrices ------------------------------------------------------------------------------------------------------
+
+_DESIGN = """obs AS (SELECT o_orderkey AS "row", cast((o_orderkey * 7919) % 18000 AS double) / 100 - 90 AS lat, o_orderstatus AS source, 200 + cast(o_orderkey % 97 AS double) AS measurement, cast(1 + o_custkey % 10 AS double) / 10 AS unc_ran FROM orders),
+design AS (SELECT "row", 0 AS col, cast(1 AS double) AS value FROM obs UNION ALL SELECT "row", 1, cos(2 * radians(lat)) FROM obs UNION ALL SELECT "row", 2, sin(2 * radians(lat)) FROM obs UNION ALL SELECT "row", 3, cos(4 * radians(lat)) FROM obs UNION ALL
+  SELECT "row", 4, sin(4 * radians(lat)) FROM obs UNION ALL SELECT "row", 5, cast(1 AS double) FROM obs WHERE source = 'O')"""
+
+
+def _design(spark, sf_dir):
+    """(observations, design) of a model with mean, latitude harmonics and one source's bias."""
+    k = F.col("o_orderkey")
+    obs = adaptor.table(spark, sf_dir, "orders").select(
+        k.alias("row"), adaptor.latitude_of(k).alias("lat"), F.when(F.col("o_orderstatus") == "O", 0).alias("group"), (F.lit(200.0) + F.pmod(k, F.lit(97))).alias("measurement"),
+        ((1 + F.pmod("o_custkey", F.lit(10))) / F.lit(10.0)).alias("unc_ran"),
+    )
+    model = elements.combination([elements.grand_mean(), elements.latitude_harmonics(), elements.bias("group", 1)])
+    return obs, model.design(obs)
+
+
+@query(
+    "info_matrix",
+    f"""WITH {_DESIGN} SELECT cast(a.col AS bigint) AS i, cast(b.col AS bigint) AS j, round(sum(a.value * b.value / (unc_ran * unc_ran)), 4) + 0 AS value FROM design AS a JOIN design AS b USING ("row") JOIN obs USING ("row") GROUP BY 1, 2""",
+)
+def info_matrix(spark, sf_dir):
+    obs, design = _design(spark, sf_dir)
+    q = obs.select("row", (1 / (F.col("unc_ran") * F.col("unc_ran"))).alias("q"))
+    return coo.information_matrix(design, q).select("i", "j", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
+@query("info_vector", f"""WITH {_DESIGN} SELECT cast(col AS bigint) AS i, round(sum(value * (measurement - 250) / (unc_ran * unc_ran)), 3) + 0 AS value FROM design JOIN obs USING ("row") GROUP BY 1""")
+def info_vector(spark, sf_dir):
+    obs, design = _design(spark, sf_dir)
+    q = obs.select("row", (1 / (F.col("unc_ran") * F.col("unc_ran"))).alias("q"))
+    r = obs.select("row", (F.col("measurement") - 250).alias("r"))
+    return coo.information_vector(design, q, r).select("i", (F.round("value", 3) + F.lit(0.0)).alias("value"))
+
+
+def _state(spark):
+    return spark.createDataFrame([(k, 1.5 - 0.25 * k) for k in range(6)], "col bigint, value double")
+
+
+@query("projection_spmv", f"""WITH {_DESIGN} SELECT "row", round(sum(value * (1.5 - 0.25 * col)), 6) + 0 AS value FROM design GROUP BY 1""")
+def projection_spmv(spark, sf_dir):
+    return coo.expected(_design(spark, sf_dir)[1], _state(spark)).select("row", r6("value").alias("value"))
+
+
+@query("projection_deviation", f"""WITH {_DESIGN} SELECT "row", round(sqrt(sum(value * value * power(1.5 - 0.25 * col, 2))), 6) AS value FROM design GROUP BY 1""")
+def projection_deviation(spark, sf_dir):
+    return coo.deviation(_design(spark, sf_dir)[1], _state(spark)).select("row", r6("value").alias("value"))
+
+
+@query(
+    "sparse_product",
+    """WITH a AS (SELECT l_orderkey % 60 AS r, l_partkey % 50 AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+SELECT cast(x.r AS bigint) AS "row", cast(y.r AS bigint) AS col, round(sum(x.v * y.v), 3) AS value FROM a AS x JOIN a AS y ON x.c = y.c GROUP BY 1, 2""",
+)
+def sparse_product(spark, sf_dir):
+    t = adaptor.table(spark, sf_dir, "lineitem")
+    a = t.groupBy(F.pmod("l_orderkey", F.lit(60)).alias("row"), F.pmod("l_partkey", F.lit(50)).alias("col")).agg(F.sum("l_quantity").alias("value"))
+    return coo.matmul(a, coo.transpose(a)).select("row", "col", F.round("value", 3).alias("value"))
+
+
+@query(
+    "latitude_spline",
+    f"""WITH {LOCATIONS}, n AS (SELECT location_id AS "row", k AS col, abs(latitude - (-180 + k)) / 5 AS r FROM locations, range(0, 361) AS t(k))
+SELECT "row", col, round(power(1 - r, 6) * (35 * r * r + 18 * r + 3) / 3, 8) AS value FROM n WHERE r < 1""",
+)
+def latitude_spline(spark, sf_dir):
+    rows = adaptor.locations(spark, sf_dir).select(F.col("location_id").alias("row"), F.col("latitude").alias("lat"))
+    return elements.latitude_spline().design(rows).select("row", "col", F.round("value", 8).alias("value"))
+
+
+@query(
+    "space_time_kronecker",
+    f"""WITH e AS (SELECT event_id AS "row", ({DAY.format('ts')} - 63552) / 5.0 AS x, cast((user_id * 7919) % 18000 AS double) / 100 - 90 AS lat FROM events),
+t AS (SELECT "row", lat, floor(x) + d AS k, 1 - abs(x - floor(x) - d) AS v FROM e, range(0, 2) AS s(d)),
+h AS (SELECT "row", 0 AS c, cos(2 * radians(lat)) AS v FROM e UNION ALL SELECT "row", 1, sin(2 * radians(lat)) FROM e UNION ALL SELECT "row", 2, cos(4 * radians(lat)) FROM e UNION ALL SELECT "row", 3, sin(4 * radians(lat)) FROM e)
+SELECT cast(k * 4 + c AS bigint) AS col, count(*) AS n, round(sum(t.v * h.v), 5) + 0 AS value FROM t JOIN h USING ("row") WHERE t.v > 0 AND k BETWEEN 0 AND 6 GROUP BY 1""",
+)
+def space_time_kronecker(spark, sf_dir):
+    e = adaptor.table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("row"), timebase.day_number(F.col("ts")).alias("time"), adaptor.latitude_of(F.col("user_id")).alias("lat"))
+    model = elements.space_time(elements.time_nodes(63552.0, 5.0, 7), elements.latitude_harmonics())
+    return model.design(rows).groupBy("col").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("value"), 5) + F.lit(0.0)).alias("value"))
+
+
+@query("gmrf_small_solve")
+def gmrf_small_solve(spark, sf_dir):
+    """Posterior mean of the small model: information sums in Spark, a 6 x 6 solve on the driver."""
+    obs, design = _design(spark, sf_dir)
+    q = obs.select("row", (1 / (F.col("unc_ran") * F.col("unc_ran"))).alias("q"))
+    r = obs.select("row", (F.col("measurement") - 250).alias("r"))
+    posterior = coo.add(coo.information_matrix(design, q).withColumnsRenamed({"i": "row", "j": "col"}), spark.createDataFrame([(k, k, 1.0) for k in range(6)], "row bigint, col bigint, value double"))
+    x = solve.map_solution(posterior, coo.information_vector(design, q, r), 6)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "param_id bigint, value double")
+
+
+@query("gmrf_conjugate_gradients")
+def gmrf_conjugate_gradients(spark, sf_dir):
+    """The same posterior mean without collecting the system."""
+    obs, design = _design(spark, sf_dir)
+    q = obs.select("row", (1 / (F.col("unc_ran") * F.col("unc_ran"))).alias("q"))
+    r = obs.select("row", (F.col("measurement") - 250).alias("r"))
+    posterior = coo.add(coo.information_matrix(design, q).withColumnsRenamed({"i": "row", "j": "col"}), spark.createDataFrame([(k, k, 1.0) for k in range(6)], "row bigint, col bigint, value double"))
+    return solve.conjugate_gradients(posterior.cache(), coo.information_vector(design, q, r), 1e-9).withColumnRenamed("col", "param_id")
+
+
+@query("mesh_locate")
+def mesh_locate(spark, sf_dir):
+    """Triangle, vertices and weights of every pixel's place on a level 4 mesh."""
+    rows = adaptor.swath(spark, sf_dir).where("qc = 1").select("l_orderkey", "location_id", "lat", "lon")
+    return mesh.locate(rows, 4)
+
+
+@query("mesh_faces")
+def mesh_faces(spark, sf_dir):
+    """Number of pixels per base face, by plane tests on columns."""
+    return mesh.exhaustive(adaptor.swath(spark, sf_dir)).groupBy("face").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("quality_control")
+def quality_control(spark, sf_dir):
+    """All flags of a series of daily fields, then the masked product."""
+    from terracell.plans import quality
+
+    f = adaptor.field(spark, sf_dir)
+    days = spark.range(12).select((F.col("id") * 3 + 60000).cast("int").alias("day"), F.col("id").alias("k"))
+    fields = f.join(F.broadcast(days)).select(
+        "day", "lat_idx", "lon_idx", (F.col("tas") + F.when((F.col("k") == 5) & (F.col("lat_idx") == 7), 120).otherwise(0)).alias("tas"), F.col("unc").alias("climatology_unc"), F.col("unc").alias("large_scale_unc"),
+        (F.col("influence") + F.when(F.col("k") % 4 == 0, 0.5).otherwise(0.0)).alias("influence"), F.when(F.col("lon_idx") < 12, 100).otherwise(0).alias("coastal_influence"),
+    )
+    out = quality.threshold_flags(fields, NLAT, NLON)
+    out = quality.outlier_flags(quality.window_flags(out), "tas", NLAT, NLON, 7)
+    return quality.masked_product(out, ["tas"]).select("day", "lat_idx", "lon_idx", "qc", "masked", r6("tas").alias("tas"))
+
+
 __all__ = ["QUERIES", "SQL", "Grid"]
