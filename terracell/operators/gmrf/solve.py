@@ -155,8 +155,15 @@ def negative_log_likelihood(theta: np.ndarray, prior, design: np.ndarray, precis
 
 
 def minimise(cost, start: np.ndarray, most: int = 20, step: float = 1e-4) -> tuple[np.ndarray, float]:
-    """BFGS with central differences and a halving line search."""
+    """BFGS with central differences and a halving line search; steps are at most 1 long."""
     x = np.asarray(start, dtype=float)
+    given = cost
+
+    def cost(at):  # where the prior is not positive definite, the cost is infinite
+        try:
+            return given(at)
+        except np.linalg.LinAlgError:
+            return np.inf
 
     def gradient(at):
         return np.array([(cost(at + step * e) - cost(at - step * e)) / (2 * step) for e in np.eye(len(at))])
@@ -166,6 +173,7 @@ def minimise(cost, start: np.ndarray, most: int = 20, step: float = 1e-4) -> tup
         if np.linalg.norm(g) < 1e-5:
             break
         d, t = -h @ g, 1.0
+        d /= max(1.0, float(np.linalg.norm(d)))
         while t > 1e-6 and cost(x + t * d) > value + 1e-4 * t * (g @ d):
             t /= 2
         if t <= 1e-6:
