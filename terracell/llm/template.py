@@ -319,14 +319,14 @@ class _Expression:
         return Unary("not", self._not()) if self.take("not") else self._compare()
 
     def _compare(self):
-        left = self._sum()
+        left = self._concat()
         while True:
             if op := self.take("==", "!=", "<", "<=", ">", ">=", "in"):
-                left = Binary(op, left, self._sum())
+                left = Binary(op, left, self._concat())
             elif self.peek() == "not":
                 self.at += 1
                 self.need("in")
-                left = Binary("not in", left, self._sum())
+                left = Binary("not in", left, self._concat())
             elif self.take("is"):
                 negate = self.take("not")
                 kind, word = self.tokens[self.at] if self.at < len(self.tokens) else (None, "")
@@ -337,9 +337,15 @@ class _Expression:
             else:
                 return left
 
+    def _concat(self):
+        left = self._sum()
+        while op := self.take("~"):
+            left = Binary(op, left, self._sum())
+        return left
+
     def _sum(self):
         left = self._product()
-        while op := self.take("+", "-", "~"):
+        while op := self.take("+", "-"):
             left = Binary(op, left, self._product())
         return left
 
