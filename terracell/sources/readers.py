@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terracell.functions import physics, timebase
@@ -98,14 +98,23 @@ def location_signature(lat, lon):
     return (F.lit(360e6) * lat).cast("bigint") + (F.lit(1e6) * lon).cast("bigint")
 
 
+BANDS = 4096
+
+
 def with_distinct_locations(df: DataFrame, lat: str, lon: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with location_id, locations): places numbered from 0 in the order of their signatures."""
+    """(rows with location_id, locations): places numbered from 0 in the order of their signatures.
+
+    Signatures fall into ``BANDS`` equal bands; a place's number is the count of
+    places in lower bands plus its rank in its own, so no task ranks all places.
+    """
     rows = df.withColumn("_sig", location_signature(F.col(lat), F.col(lon)))
     ids = rows.groupBy("_sig").agg(F.first(lat).alias("latitude"), F.first(lon).alias("longitude"))
-    # numbering sorts the distinct places only, which a lookup of locations is anyway
-    from pyspark.sql import Window
-
-    ids = ids.withColumn("location_id", (F.row_number().over(Window.orderBy("_sig")) - 1).cast("bigint"))
+    width = 2 * (360_000_000 * 90 + 360_000_000) // BANDS
+    ids = ids.withColumn("_band", F.floor(F.col("_sig") / width))
+    counts = ids.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"))  # at most about BANDS rows
+    before = counts.select("_band", F.coalesce(F.sum("_n").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_band").orderBy("_sig"))
+    ids = ids.withColumn("_rank", rank).join(F.broadcast(before), "_band").withColumn("location_id", (F.col("_before") + F.col("_rank") - 1).cast("bigint")).drop("_band", "_rank", "_before")
     return rows.join(ids.select("_sig", "location_id"), "_sig").drop("_sig"), ids.drop("_sig")
 
 
