@@ -5,8 +5,10 @@ rounds of random signs and a fast Hadamard transform; the largest coordinate in
 absolute value, with its sign, is one hash symbol. K symbols make a bucket code,
 T tables of codes make the index. Each vector enters the bucket of its own code
 and, as a probe, those of the next likeliest codes. Inside a bucket, pairs of
-which one is there by its own code are compared by cosine in double precision,
-blockwise, so every reported link is verified.
+which one is there by its own code are compared, blockwise, twice: first by
+vectors rounded to one byte a component, with a bound on the rounding, which
+leaves the vectors that may link at all; then those alone meet again and are
+compared by cosine in double precision, so every reported link is verified.
 
 K follows from the number of vectors in the largest label (buckets stay near a
 constant size), T from the collision rate at the threshold, measured on random
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.shared import Forest, components, cut, gathered, run_starts, sorted_runs
+from terracell.llm.shared import Forest, components, cut, drop_cuts, gathered, run_starts, sorted_runs
 
 COSINE = 0.93
 PROBES = 2
@@ -133,9 +135,21 @@ def _clean(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     return df.where(F.col("label").isNotNull() & F.col("v").isNotNull()).where(~bad & some).select("vec", "label", "v", F.size("v").alias("dim"))
 
 
-def _indexed(distinct: DataFrame, dim: int, tables: int, symbols: int, probes: int) -> DataFrame:
-    """One row per vector, table and code: (label_key, tbl, code, own, vec, n, unit, codes)."""
-    schema = "label_key bigint, tbl int, code bigint, own boolean, vec bigint, n bigint, unit binary, codes binary"
+_BUCKET = ["label_key", "tbl", "code"]
+_LIGHT = "label_key bigint, tbl int, code bigint, own boolean, vec bigint, q binary, scale float, err float"
+_FULL = "label_key bigint, tbl int, code bigint, own boolean, vec bigint, n bigint, unit binary, codes binary"
+
+
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(int8 rows, scale, length of the error): row / scale is the vector up to the error."""
+    scale = 127 / np.abs(x).max(axis=1)
+    q = np.rint(x * scale[:, None])
+    err = np.linalg.norm(x - q / scale[:, None], axis=1)
+    return q.astype(np.int8), scale.astype(np.float32), (err * 1.0001 + 1e-6).astype(np.float32)
+
+
+def _indexed(distinct: DataFrame, dim: int, tables: int, symbols: int, probes: int, full: bool) -> DataFrame:
+    """One row per vector, table and code, with the rounded vector or with all that a comparison needs."""
 
     def run(batches):
         s = signs(1 << max(1, (dim - 1).bit_length()), tables, symbols)
@@ -145,40 +159,86 @@ def _indexed(distinct: DataFrame, dim: int, tables: int, symbols: int, probes: i
                 if not part.num_rows:
                     continue
                 flat = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim)
-                big = np.abs(flat).max(axis=1, keepdims=True)
-                x = flat / big
+                x = flat / np.abs(flat).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 c = codes(padded(x), s, probes)
                 n, t, p = c.shape
-                row = np.repeat(np.arange(n), t * p)
-                first = np.ones(c.shape, dtype=bool)
-                units = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(row))
-                lists = pa.array([r.tobytes() for r in c], pa.binary()).take(pa.array(row))
-                first[:, :, 1:] = False
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(at),
-                        pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)),
-                        pa.array(c.reshape(-1)),
-                        pa.array(first.reshape(-1)),
-                        part.column(1).take(at),
-                        part.column(2).take(at),
-                        units,
-                        lists,
-                    ],
-                    names=["label_key", "tbl", "code", "own", "vec", "n", "unit", "codes"],
-                )
-
-    return distinct.select("label_key", "vec", "n", "v").mapInArrow(run, schema)
+                at = pa.array(np.repeat(np.arange(n), t * p))
+                own = np.zeros(c.shape, dtype=bool)
+                own[:, :, 0] = True
+                spread = lambda values, kind: pa.array(values, kind).take(at)
+                columns = [part.column(0).take(at), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(c.reshape(-1)), pa.array(own.reshape(-1)), part.column(1).take(at)]
+                if full:
+                    columns += [part.column(2).take(at), spread([r.tobytes() for r in x], pa.binary()), spread([r.tobytes() for r in c], pa.binary())]
+                else:
+                    q, scale, err = rounded(x)
+                    columns += [spread([r.tobytes() for r in q], pa.binary()), spread(scale, pa.float32()), spread(err, pa.float32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in (_FULL if full else _LIGHT).split(", ")])
+
+    return distinct.select("label_key", "vec", "n", "v").mapInArrow(run, _FULL if full else _LIGHT)
+
+
+def _dealt(index: DataFrame) -> DataFrame:
+    """Index rows by bucket, sorted; a large bucket becomes pairs of blocks (a, b), a row's side being 0 in a and 1 in b."""
+    rest = [c for c in index.columns if c not in _BUCKET]
+    big = index.groupBy(*_BUCKET).count().where(F.col("count") > BLOCK).select(*_BUCKET, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    big = cut(big, "large")
+    if big.isEmpty():  # the join would only move the whole index once more
+        plain = index.withColumns({"a": F.lit(0), "b": F.lit(0), "side": F.lit(0)})
+        return gathered(plain, [*_BUCKET, "a", "b"], ["vec"])
+    split = index.join(big, _BUCKET, "left").withColumn("many", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("block", F.pmod(F.xxhash64("vec"), F.col("many")).cast("int"))
+    mine = F.col("block")
+    pair = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: F.struct(F.least(mine, o).alias("a"), F.greatest(mine, o).alias("b"), F.when(mine <= o, 0).otherwise(1).alias("side")))
+    split = split.select(*_BUCKET, *rest, F.explode(pair).alias("p")).select(*_BUCKET, *rest, "p.*")
+    return gathered(split, [*_BUCKET, "a", "b"], ["vec"])
+
+
+def _matrix(column: pa.ChunkedArray, dtype, shape) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(shape)
+
+
+def _sides(same: bool, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    left = np.flatnonzero(side == 0)
+    return left, left if same else np.flatnonzero(side == 1)
+
+
+def _shortlist(cosine: float, dim: int):
+    """Sorted bucket blocks -> vec: the vectors whose rounded form may link with another's."""
+    keys = [*_BUCKET, "a", "b"]
+
+    def run(batches):
+        for t in sorted_runs(batches, keys):
+            begin = run_starts(t, keys)
+            end = np.append(begin[1:], t.num_rows)
+            vec, side = t.column("vec").to_numpy(), t.column("side").to_numpy()
+            own = t.column("own").combine_chunks().to_numpy(zero_copy_only=False)
+            scale, err = t.column("scale").to_numpy(), t.column("err").to_numpy()
+            a_block, b_block = t.column("a").to_numpy(), t.column("b").to_numpy()
+            alive = np.zeros(t.num_rows, dtype=bool)
+            for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                same = a_block[lo] == b_block[lo]
+                left, right = _sides(same, side[lo:hi])
+                if not len(left) or not len(right):
+                    continue
+                x = _matrix(t.column("q").slice(lo, hi - lo), np.int8, (hi - lo, dim)).astype(np.float32) / scale[lo:hi, None]
+                e = err[lo:hi]
+                room = e[left][:, None] + e[right][None, :] + 3 * e[left][:, None] * e[right][None, :] + np.float32(1e-4)
+                close = (x[left] @ x[right].T >= cosine - room) & (own[lo:hi][left][:, None] | own[lo:hi][right][None, :])
+                if same:
+                    np.fill_diagonal(close, False)
+                alive[lo + left] |= close.any(axis=1)
+                alive[lo + right] |= close.any(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(vec[alive]))], names=["vec"])
+
+    return run
 
 
 def _compare(cosine: float, tables: int, width: int, dim: int):
     """Sorted bucket blocks -> (vec, links, other): weighted link counts and forest edges."""
-    keys = ["label_key", "tbl", "code", "a", "b"]
-
-    def matrix(column: pa.ChunkedArray, dtype, shape) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(shape)
+    keys = [*_BUCKET, "a", "b"]
 
     def run(batches):
         for t in sorted_runs(batches, keys):
@@ -192,11 +252,10 @@ def _compare(cosine: float, tables: int, width: int, dim: int):
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
                 if hi - lo < 2:
                     continue
-                unit = matrix(t.column("unit").slice(lo, hi - lo), np.float64, (hi - lo, dim))
-                lists = matrix(t.column("codes").slice(lo, hi - lo), np.int64, (hi - lo, tables, width))
+                unit = _matrix(t.column("unit").slice(lo, hi - lo), np.float64, (hi - lo, dim))
+                lists = _matrix(t.column("codes").slice(lo, hi - lo), np.int64, (hi - lo, tables, width))
                 me, same = own[lo:hi], a_block[lo] == b_block[lo]
-                left = np.flatnonzero(side[lo:hi] == 0)
-                right = left if same else np.flatnonzero(side[lo:hi] == 1)
+                left, right = _sides(same, side[lo:hi])
                 if not len(left) or not len(right):
                     continue
                 close = unit[left] @ unit[right].T >= cosine
@@ -249,17 +308,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     for dim, largest in sorted((r["dim"], r["largest"]) for r in counts):  # one pass per vector length
         tables, symbols = plan(dim, largest, cosine, probes)
         width = 1 + min(probes, symbols)
-        index = _indexed(distinct.where(F.col("dim") == dim), dim, tables, symbols, probes)
-        index = cut(index, "buckets")
-        bucket = ["label_key", "tbl", "code"]
-        big = index.groupBy(*bucket).count().where(F.col("count") > BLOCK).select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        many = F.coalesce("blocks", F.lit(1))
-        block = F.pmod(F.xxhash64("vec"), many).cast("int")
-        split = index.join(big, bucket, "left").withColumn("block", block).withColumn("many", many)
-        pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("a"), F.greatest(F.col("block"), o).alias("b"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side"))))
-        split = split.select(*bucket, "own", "vec", "n", "unit", "codes", pair.alias("p")).select(*bucket, "own", "vec", "n", "unit", "codes", "p.*")
-        ordered = gathered(split, [*bucket, "a", "b"], ["vec"])
-        here = ordered.mapInArrow(_compare(cosine, tables, width, dim), "vec bigint, links bigint, other bigint")
+        some = distinct.where(F.col("dim") == dim)
+        light = cut(_indexed(some, dim, tables, symbols, probes, full=False), "buckets")
+        alive = cut(_dealt(light).mapInArrow(_shortlist(cosine, dim), "vec bigint").distinct(), "alive")
+        drop_cuts(df.sparkSession, light)
+        index = cut(_indexed(some.join(alive, "vec", "left_semi").select(*some.columns), dim, tables, symbols, probes, full=True), "buckets")
+        here = _dealt(index).mapInArrow(_compare(cosine, tables, width, dim), "vec bigint, links bigint, other bigint")
         found = here if found is None else found.union(here)
     if found is None:
         return df.select(F.col(vec_id), F.lit(0).cast("bigint").alias("n_links"), F.col(vec_id).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
