@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,8 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError(f"{CHECKPOINT} must name a folder that all executors share")
         folder = getattr(spark.sparkContext, "_terracell_folder", None)
         if folder is None:
-            folder = "file://" + tempfile.mkdtemp(prefix="terracell-")
-            spark.sparkContext._terracell_folder = folder
+            made = tempfile.mkdtemp(prefix="terracell-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            folder = spark.sparkContext._terracell_folder = f"file://{made}"
     return f"{folder.rstrip('/')}/terracell/{spark.sparkContext.applicationId}"
 
 
