@@ -72,16 +72,19 @@ def _excerpts(batches):
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """language -> dictionary, from at most ``sample`` rows of each language.
 
-    The sample is the rows of smallest hash of doc_id, chosen on two columns
-    (per task first, then per language); only their texts are read. Of each, five
+    The sample is the rows of smallest hash of doc_id, chosen on two columns: a
+    bound on the hash, from each language's count, lets about twice the sample
+    through, so that no task ranks a whole language. Only their texts are read. Of each, five
     excerpts spread over the whole text enter the language's dictionary.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= sample).select("doc_id", "lang", "n")
-    langs = chosen.select("lang").distinct().limit(LANGUAGES + 1).count()
-    if langs > LANGUAGES:
+    counts = rows.groupBy("lang").count().withColumnRenamed("lang", "of")
+    if counts.count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    # at most LANGUAGES rows, so this side may be broadcast
+    near = rows.join(F.broadcast(counts), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("count") <= F.lit(float(2 * sample + 100) * (1 << 20)))
+    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = near.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= sample).select("doc_id", "lang", "n")
     # at most sample * LANGUAGES ids, so this side may be broadcast
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     got: dict[str, list[tuple[int, bytes]]] = {}
