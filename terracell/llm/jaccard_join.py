@@ -54,7 +54,7 @@ NUM, DEN = 90, 100
 COMMON = 64  # prefix tokens in more sets than this may be put last
 HEAVY = 1 << 19  # at most so many are: 6 MB to each task
 SHORT = 16  # lists up to this length are compared pair by pair
-HOME_TOKENS = 1 << 22  # tokens of the sets that meet in one home: 32 MB
+HOME_TOKENS = 1 << 21  # tokens of the sets that meet in one place: 16 MB, and some 150 MB of work
 DELEGATES = 16  # sets of each block of a larger group that meet those of the others
 MAP_BITS = 25  # the map of the documents that are read again: 4 MB
 ANSWERS = 32  # computed overlap vectors kept in a home
