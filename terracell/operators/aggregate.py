@@ -148,3 +148,25 @@ def assemble_product(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     for i in range(1, len(parts)):
         samples = F.zip_with(samples, f"s{i}", lambda a, b: a + b)
     return out.select(*keys, total("v").alias("value"), F.sqrt(squares).alias("unc"), samples.alias("samples"))
+
+
+def bounded_extremes(df: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
+    """Count, minimum and maximum over at most ``most`` smallest values of a bin (a bounded list per bin)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(value)
+    kept = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+    return kept.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def ordered_members(df: DataFrame, members: list[str]) -> DataFrame:
+    """df with ensemble columns gathered into one array, by the number at the end of their names."""
+    import re
+
+    order = sorted(members, key=lambda m: int(re.search(r"(\d+)$", m)[1]))
+    return df.withColumn("ensemble", F.array(*order)).drop(*members)
+
+
+def thin(df: DataFrame, samples: str, most: int = 10) -> DataFrame:
+    """df with only the first samples of an ensemble."""
+    return df.withColumn(samples, F.slice(samples, 1, most))

@@ -110,3 +110,34 @@ def load(descriptions: list[dict]) -> Element:
             raise ValueError(f"unknown element {name!r}")
         made.append(LOADERS[name](**d))
     return combination(made)
+
+
+def factor(space: Element, time: Element, space_state: DataFrame, time_state: DataFrame) -> tuple[Element, Element]:
+    """The two linear parts of a product of a space and a time field at the current states.
+
+    The product's Jacobian in the space field is its design scaled by the time
+    field's value at the observation, and the other way round.
+    """
+
+    def scaled(part: Element, other: Element, state: DataFrame) -> Element:
+        def design(df: DataFrame) -> DataFrame:
+            level = coo.expected(other.design(df), state).select("row", F.col("value").alias("_level"))
+            return part.design(df).join(level, "row").select("row", "col", (F.col("value") * F.col("_level")).alias("value"))
+
+        return Element(f"{part.name}|{other.name}", part.columns, design)
+
+    return scaled(space, time, time_state), scaled(time, space, space_state)
+
+
+def region_designs(df: DataFrame, level: int, region_level: int) -> DataFrame:
+    """Local designs of all regions at once: (region, row, col, value), a region being a coarse triangle.
+
+    Regions are solved apart, so ``region`` is the key of what follows.
+    """
+    at = mesh.locate(df.select("row", "lat", "lon"), level).withColumn("region", mesh.parent(F.col("triangle_id"), region_level))
+    return at.select("region", "row", F.explode(F.arrays_zip("vertices", "weights")).alias("e")).select("region", "row", F.col("e.vertices").alias("col"), F.col("e.weights").alias("value"))
+
+
+def station_bias(state: DataFrame, first: int, stations: DataFrame) -> DataFrame:
+    """(station, bias): the slice of a state that belongs to the stations' bias columns."""
+    return state.where(F.col("col") >= first).select((F.col("col") - first).alias("bias_index"), F.col("value").alias("bias")).join(stations, "bias_index")

@@ -186,3 +186,32 @@ def minimise(cost, start: np.ndarray, most: int = 20, step: float = 1e-4) -> tup
             h = i @ h @ i.T + np.outer(s, s) / (s @ u)
         x, value, g = new, cost(new), g2
     return x, float(value)
+
+
+def solve_regions(designs: DataFrame, observations: DataFrame, prior: float) -> DataFrame:
+    """(region, col, value): each region's own small posterior mean, solved where its rows are.
+
+    designs: (region, row, col, value); observations: (row, q, r). A region holds
+    the vertices of one coarse triangle, so its system is bounded by the mesh
+    levels, not by the data: only sums per vertex pair enter the group.
+    """
+    import pandas as pd
+
+    rows = designs.groupBy("region", "row").agg(F.collect_list(F.struct("col", "value")).alias("e")).join(observations, "row")
+    one = rows.select("region", "q", "r", F.explode("e").alias("a"), "e")
+    vector = one.groupBy("region", F.col("a.col").alias("i")).agg(F.sum(F.col("a.value") * F.col("q") * F.col("r")).alias("value")).withColumn("j", F.lit(-1).cast("bigint"))
+    matrix = one.select("region", "q", "a", F.explode("e").alias("b")).groupBy("region", F.col("a.col").alias("i"), F.col("b.col").alias("j")).agg(F.sum(F.col("a.value") * F.col("q") * F.col("b.value")).alias("value"))
+
+    def one_region(frame: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(frame["i"])
+        at = {c: k for k, c in enumerate(names)}
+        q, b = np.eye(len(names)) * prior, np.zeros(len(names))
+        for i, j, v in zip(frame["i"], frame["j"], frame["value"], strict=True):
+            if j < 0:
+                b[at[i]] += v
+            else:
+                q[at[i], at[j]] += v
+        return pd.DataFrame({"region": frame["region"].iloc[0], "col": names, "value": np.linalg.solve(q, b)})
+
+    both = matrix.unionByName(vector.select("region", "i", "j", "value"))
+    return both.groupBy("region").applyInPandas(one_region, "region bigint, col bigint, value double")

@@ -134,3 +134,10 @@ def steps_with_files(steps: DataFrame, files: DataFrame, policy: str = "not_allo
     if policy == "not_allowed":
         return out.withColumn("files", F.when(F.col("files").isNotNull(), F.col("files")).otherwise(F.raise_error(F.lit("no file for a step")).cast("array<bigint>")))
     raise ValueError(f"unknown policy {policy!r}")
+
+
+def bias_by_year(breaks: DataFrame, years: DataFrame, station: str = "station", break_day: str = "break_day") -> DataFrame:
+    """(station, year, next_break): the break period active on 1 January of each year (``years``: year, day)."""
+    stations = breaks.select(station).distinct()
+    rows = stations.join(F.broadcast(years.select("year", "day")))  # a calendar of years against the stations
+    return next_break(rows, breaks, station, "day", break_day).select(station, "year", "next_break")

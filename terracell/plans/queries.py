@@ -1199,4 +1199,84 @@ def quality_control(spark, sf_dir):
     return quality.masked_product(out, ["tas"]).select("day", "lat_idx", "lon_idx", "qc", "masked", r6("tas").alias("tas"))
 
 
+# --- further operators ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "monthly_anomalies",
+    f"""WITH {CELLS}, m AS (SELECT year(d) AS y, month(d) AS mo, lat_idx, lon_idx, avg(measurement) - 250 AS a FROM (SELECT *, DATE '1850-01-01' + cast(day AS int) AS d FROM cells WHERE qc = 7) GROUP BY 1, 2, 3, 4)
+SELECT cast({DAY.format("make_date(y, mo, 1)")} + floor(day(last_day(make_date(y, mo, 1))) / 2) AS bigint) AS day, cast(lat_idx * 36 + lon_idx AS bigint) AS location_id, round(a, 6) + 0 AS measurement FROM m""",
+)
+def monthly_anomalies(spark, sf_dir):
+    cells = GRID.assign(adaptor.swath(spark, sf_dir).where("qc = 7")).withColumn("d", timebase.date_of(F.col("day")))
+    months = cells.groupBy(F.year("d").alias("year"), F.month("d").alias("month"), "lat_idx", "lon_idx").agg((F.avg("measurement") - 250).alias("anomaly"), F.lit(0.5).alias("unc"))
+    return readers.monthly_anomalies(months, GRID).select(big("day").alias("day"), "location_id", r6("measurement").alias("measurement"))
+
+
+@query(
+    "bias_by_year",
+    f"""WITH {BREAKS}, y AS (SELECT y AS year, {DAY.format("make_date(y, 1, 1)")} AS day FROM range(1992, 2003) AS t(y)), s AS (SELECT DISTINCT station FROM breaks)
+SELECT s.station, cast(year AS bigint) AS year, cast((SELECT min(break_day) FROM breaks AS b WHERE b.station = s.station AND b.break_day > y.day) AS bigint) AS next_break FROM s, y""",
+)
+def bias_by_year(spark, sf_dir):
+    years = spark.range(1992, 2003).select(F.col("id").alias("year"), timebase.day_number(F.make_date(F.col("id").cast("int"), F.lit(1), F.lit(1))).alias("day"))
+    return joins.bias_by_year(adaptor.breaks(spark, sf_dir), years).select("station", "year", big("next_break").alias("next_break"))
+
+
+@query(
+    "bounded_extremes",
+    f"""WITH {CELLS}, k AS (SELECT lat_idx, lon_idx, measurement, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY measurement) AS k FROM cells)
+SELECT lat_idx, lon_idx, count(*) AS n, min(measurement) AS low, max(measurement) AS high FROM k WHERE k <= 20 GROUP BY 1, 2""",
+)
+def bounded_extremes(spark, sf_dir):
+    return aggregate.bounded_extremes(GRID.assign(adaptor.swath(spark, sf_dir)), ["lat_idx", "lon_idx"], "measurement", 20)
+
+
+@query(
+    "same_coordinates",
+    """SELECT round(-90 + 2.5 * i, 6) AS latitude, cast(i AS bigint) AS i, cast(j AS bigint) AS j FROM range(0, 72) AS a(i), range(0, 36) AS b(j) WHERE -90 + 2.5 * i = -90 + 5 * j""",
+)
+def same_coordinates(spark, sf_dir):
+    axis = lambda n, step: spark.range(n).select(F.col("id").alias("idx"), (F.lit(-90.0) + step * F.col("id")).alias("latitude"))
+    return readers.same_coordinate(axis(72, 2.5), axis(36, 5.0), "latitude")
+
+
+@query(
+    "same_time_files",
+    """SELECT a.o_orderkey AS primary_file, b.o_orderkey AS auxiliary_file FROM orders AS a JOIN orders AS b ON a.o_orderdate = b.o_orderdate WHERE a.o_orderkey % 50 = 0 AND b.o_orderkey % 40 = 1""",
+)
+def same_time_files(spark, sf_dir):
+    o = adaptor.table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "time")
+    out = readers.same_time(o.where("o_orderkey % 50 = 0").select("time", F.col("o_orderkey").alias("primary_file")), o.where("o_orderkey % 40 = 1").select("time", F.col("o_orderkey").alias("auxiliary_file")))
+    return out.select("primary_file", "auxiliary_file")
+
+
+@query("batch_of_operations", "SELECT cast(i AS int) AS operation FROM range(0, 100) AS t(i) WHERE i BETWEEN 24 AND 35")
+def batch_of_operations(spark, sf_dir):
+    return catalogue.batch(spark.range(100).select(F.col("id").cast("int").alias("operation")), 12, 2)
+
+
+@query(
+    "factor_jacobian",
+    f"""WITH e AS (SELECT event_id AS "row", ({DAY.format('ts')} - 63552) / 5.0 AS x, cast((user_id * 7919) % 18000 AS double) / 100 - 90 AS lat FROM events),
+t AS (SELECT "row", floor(x) + d AS k, 1 - abs(x - floor(x) - d) AS v FROM e, range(0, 2) AS s(d)), level AS (SELECT "row", sum(v * (k + 1)) AS f FROM t WHERE v > 0 AND k BETWEEN 0 AND 6 GROUP BY 1),
+h AS (SELECT "row", 0 AS c, cos(2 * radians(lat)) AS v FROM e UNION ALL SELECT "row", 1, sin(2 * radians(lat)) FROM e UNION ALL SELECT "row", 2, cos(4 * radians(lat)) FROM e UNION ALL SELECT "row", 3, sin(4 * radians(lat)) FROM e)
+SELECT cast(c AS bigint) AS col, count(*) AS n, round(sum(h.v * f), 4) + 0 AS value FROM h JOIN level USING ("row") GROUP BY 1""",
+)
+def factor_jacobian(spark, sf_dir):
+    e = adaptor.table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("row"), timebase.day_number(F.col("ts")).alias("time"), adaptor.latitude_of(F.col("user_id")).alias("lat"))
+    time_state = spark.range(7).select(F.col("id").alias("col"), (F.col("id") + 1.0).alias("value"))
+    space, _ = elements.factor(elements.latitude_harmonics(), elements.time_nodes(63552.0, 5.0, 7), time_state, time_state)
+    return space.design(rows).groupBy("col").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("value"), 4) + F.lit(0.0)).alias("value"))
+
+
+@query("regional_solves")
+def regional_solves(spark, sf_dir):
+    """Local fields of every base triangle, each solved in its own group."""
+    k = F.col("o_orderkey")
+    obs = adaptor.table(spark, sf_dir, "orders").select(k.alias("row"), adaptor.latitude_of(k).alias("lat"), adaptor.longitude_of(F.col("o_custkey")).alias("lon"), F.lit(4.0).alias("q"), (F.pmod(k, F.lit(97)) - 48.0).alias("r"))
+    return solve.solve_regions(elements.region_designs(obs, 2, 0), obs.select("row", "q", "r"), 1.0)
+
+
 __all__ = ["QUERIES", "SQL", "Grid"]

@@ -147,3 +147,64 @@ def run(name: str, *args, **kwargs):
     if name not in REGISTRY:
         raise KeyError(f"no operation {name!r} is registered")
     return REGISTRY[name](*args, **kwargs)
+
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, size) of the members of tar and tar.gz files; an archive's index is read in one task."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    def listing(frames):
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    rows += [(name, m.name, m.size) for m in tar.getmembers() if m.isfile()]
+            yield pd.DataFrame(rows, columns=["archive", "name", "size"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tar,tar.gz,tgz}").load(path).select("path", "content")
+    return files.mapInPandas(listing, "archive string, name string, size bigint")
+
+
+def write_snapshot(rows: DataFrame, path: str, toolchain: str) -> str:
+    """Write a catalogue under a new identifier, with the code version that made it; gives the identifier."""
+    import uuid
+
+    key = str(uuid.uuid4())
+    rows.withColumn("catalogue_id", F.lit(key)).withColumn("toolchain", F.lit(toolchain)).write.mode("overwrite").json(path)
+    return key
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    from terracell.sources import schema
+
+    return spark.read.schema(schema.CATALOGUE + ", catalogue_id string, toolchain string").json(path)
+
+
+def check_toolchain(rows: DataFrame, toolchain: str) -> DataFrame:
+    """Catalogue rows made by another code version (none: provenance agrees)."""
+    return rows.where(F.col("toolchain") != toolchain)
+
+
+def entry_path(rows: DataFrame, dataset: str, subset: int, entry: int) -> DataFrame:
+    """The path of one entry; the three keys reach the scan as filters."""
+    return rows.where((F.col("dataset") == dataset) & (F.col("subset") == subset) & (F.col("entry") == entry)).select("path")
+
+
+def describe(name: str, kind: str, start: str, end: str, inputs: dict[str, tuple[str, str]], output: str) -> dict:
+    """An operation's description from a template: steps, inputs (pattern, policy) and output pattern, checked."""
+    if kind not in ("once", "daily", "monthly", "annual"):
+        raise ValueError(f"unknown step {kind!r}")
+    for pattern, policy in inputs.values():
+        to_regex(pattern)
+        if policy not in ("skip", "allowed", "not_allowed"):
+            raise ValueError(f"unknown policy {policy!r}")
+    to_regex(output)
+    return {"operation": name, "step": {"kind": kind, "start": start, "end": end}, "inputs": {k: {"pattern": p, "missing": m} for k, (p, m) in inputs.items()}, "output": output}
+
+
+def batch(operations: DataFrame, size: int, index: int) -> DataFrame:
+    """The operations of one batch: size * index and the following."""
+    return operations.where(F.col("operation").between(size * index, size * index + size - 1))

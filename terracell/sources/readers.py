@@ -191,3 +191,29 @@ def retrieve_locations(obs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def totals(obs: DataFrame) -> DataFrame:
     return obs.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
+def monthly_anomalies(grid_months: DataFrame, grid: Grid, value: str = "anomaly", unc: str = "unc") -> DataFrame:
+    """A monthly ensemble grid as observations in the middle of each month: (source, day, location_id, measurement, unc)."""
+    first = F.make_date(F.col("year"), F.col("month"), F.lit(1))
+    middle = timebase.day_number(first) + F.floor(F.dayofmonth(F.last_day(first)) / 2).cast("int")
+    cell = grid.cell(F.col("lat_idx"), F.col("lon_idx"))
+    rows = grid_months.where(F.col(value).isNotNull())
+    return rows.select(F.lit("monthly").alias("source"), middle.alias("day"), cell.alias("location_id"), F.col(value).alias("measurement"), F.col(unc).alias("unc"))
+
+
+def same_time(primary: DataFrame, auxiliary: DataFrame, time: str = "time") -> DataFrame:
+    """Files of two kinds with equal times."""
+    return primary.join(auxiliary, time)
+
+
+def same_coordinate(one: DataFrame, other: DataFrame, column: str, decimals: int = 6) -> DataFrame:
+    """Positions of equal coordinate values in two axes: (coordinate, i, j)."""
+    key = lambda df, name: df.select(F.round(column, decimals).alias(column), F.col("idx").alias(name))
+    return key(one, "i").join(key(other, "j"), column)
+
+
+def correlation_ranges(spark: SparkSession, ranges: dict[tuple[str, str], list[float]]) -> DataFrame:
+    """Length scales of each source and observable's correlated errors, in their order."""
+    rows = [(s, o, k, float(x)) for (s, o), scales in ranges.items() for k, x in enumerate(scales)]
+    return spark.createDataFrame(rows, schema.CORRELATION_RANGE)
