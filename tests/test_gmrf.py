@@ -125,3 +125,23 @@ def test_wrapped_time_nodes(spark):
     df = spark.createDataFrame([(1, 11.5), (2, 0.0)], "row bigint, time double")
     got = sorted((r.row, r.col, r.value) for r in elements.time_nodes(0.0, 1.0, 12, wrapped=True).design(df).collect())
     assert got == [(1, 0, 0.5), (1, 11, 0.5), (2, 0, 1.0)]
+
+
+def test_regions_equal_one_solve_per_region(spark):
+    g = np.random.default_rng(9)
+    lat, lon = np.degrees(np.arcsin(g.uniform(-1, 1, 120))), g.uniform(-180, 180, 120)
+    rows = [(i, float(a), float(b), 2.0, float(r)) for i, (a, b, r) in enumerate(zip(lat, lon, g.normal(size=120), strict=True))]
+    obs = spark.createDataFrame(rows, "row bigint, lat double, lon double, q double, r double")
+    designs = elements.region_designs(obs, 1, 0)
+    got = {(r.region, r.col): r.value for r in solve.solve_regions(designs, obs.select("row", "q", "r"), 0.5).collect()}
+    entries = designs.collect()
+    for region in {e.region for e in entries}:
+        cols = sorted({e.col for e in entries if e.region == region})
+        mine = sorted({e.row for e in entries if e.region == region})
+        j = np.zeros((len(mine), len(cols)))
+        for e in entries:
+            if e.region == region:
+                j[mine.index(e.row), cols.index(e.col)] += e.value
+        r = np.array([rows[k][4] for k in mine])
+        x = np.linalg.solve(0.5 * np.eye(len(cols)) + 2 * j.T @ j, 2 * j.T @ r)
+        assert np.allclose([got[region, c] for c in cols], x)

@@ -106,3 +106,41 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(str(r.day), r.cell_id): (r.n, r.mean) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = grid.assign(df.where("qc = 1")).groupBy(F.to_date("ts").cast("string").alias("d"), "cell_id").agg(F.count(F.lit(1)).alias("n"), F.avg("measurement").alias("m")).collect()
     assert got == {(r.d, r.cell_id): (r.n, r.m) for r in want}
+
+
+def test_archive_members(spark, tmp_path):
+    import io
+    import tarfile
+
+    for name, mode in (("a.tar", "w"), ("b.tar.gz", "w:gz")):
+        with tarfile.open(tmp_path / name, mode) as tar:
+            for k in range(3):
+                info = tarfile.TarInfo(f"x_{k}.nc")
+                info.size = k
+                tar.addfile(info, io.BytesIO(b"y" * k))
+    got = catalogue.archive_members(spark, str(tmp_path)).collect()
+    assert sorted((r.archive.rsplit("/", 1)[1], r.name, r.size) for r in got) == [(a, f"x_{k}.nc", k) for a in ("a.tar", "b.tar.gz") for k in range(3)]
+
+
+def test_catalogue_snapshot(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a_20010203.nc").write_bytes(b"1")
+    rows = catalogue.discover(spark, str(tmp_path / "in"), "d", ["a_%Y%m%d.nc"])
+    key = catalogue.write_snapshot(rows, str(tmp_path / "c"), "v1")
+    back = catalogue.read_snapshot(spark, str(tmp_path / "c"))
+    assert back.first().catalogue_id == key and back.first().time == datetime(2001, 2, 3)
+    assert catalogue.entry_path(back, "d", 0, 0).first()[0].endswith("a_20010203.nc")
+    assert catalogue.check_toolchain(back, "v1").count() == 0 and catalogue.check_toolchain(back, "v2").count() == 1
+
+
+def test_descriptions_are_checked():
+    d = catalogue.describe("grid", "daily", "2001-01-01", "2001-12-31", {"lst": ("a_%Y%m%d.nc", "skip")}, "o_%Y%m%d.nc")
+    assert d["inputs"]["lst"]["missing"] == "skip"
+    for bad in (("hourly", "skip", "a"), ("daily", "never", "a"), ("daily", "skip", "%Z")):
+        with pytest.raises(ValueError):
+            catalogue.describe("grid", bad[0], "", "", {"lst": ("a.nc", bad[1])}, bad[2])
+
+
+def test_correlation_ranges(spark):
+    got = readers.correlation_ranges(spark, {("land", "Tmin"): [100, 5.5]}).orderBy("idx").collect()
+    assert [(r.source, r.observable, r.idx, r.range) for r in got] == [("land", "Tmin", 0, 100.0), ("land", "Tmin", 1, 5.5)]
