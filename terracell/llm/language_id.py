@@ -126,12 +126,12 @@ class Classifier:
         return self.names[best], score, float(others.min()) if len(others) else 1.0
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """docs with lang_pred, score, margin and rejected; other columns as they are."""
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN, prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score, margin and rejected (names after ``prefix``; they replace columns of these names)."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    added = "lang_pred string, score double, margin double, rejected boolean"
-    clash = [c for c in docs.columns if c in ("lang_pred", "score", "margin", "rejected")]
-    docs = docs.drop(*clash)
+    made = [prefix + c for c in ("lang_pred", "score", "margin", "rejected")]
+    added = ", ".join(f"`{c}` {kind}" for c, kind in zip(made, ("string", "double", "double", "boolean"), strict=True))
+    docs = docs.drop(*made)
     names = docs.columns
 
     def run(batches):
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             pred, score, gap = ([g[i] for g in got] for i in range(3))
             refused = [p == "und" or g < margin for p, g in zip(pred, gap, strict=True)]
             extra = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(refused, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, *made])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + added
     return docs.mapInArrow(run, ddl)

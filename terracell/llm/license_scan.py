@@ -147,11 +147,11 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-#: word intervals [start, end) of all matches of ``re`` in `norm`: a match starts at the word
+#: word intervals [start, end) of all matches of ``re`` in the normalised text: a match starts at the word
 #: numbered by the spaces before it
 _SPANS = """
 aggregate(
-  zip_with(slice(split(norm, {re}, -1), 1, size(regexp_extract_all(norm, {re}, 0))), regexp_extract_all(norm, {re}, 0),
+  zip_with(slice(split(__norm, {re}, -1), 1, size(regexp_extract_all(__norm, {re}, 0))), regexp_extract_all(__norm, {re}, 0),
            (p, m) -> named_struct('before', length(p) - length(replace(p, ' ', '')), 'inside', length(m) - length(replace(m, ' ', '')))),
   named_struct('spaces', 0, 'out', cast(array() AS array<struct<start:bigint,stop:bigint>>)),
   (acc, x) -> named_struct(
@@ -185,32 +185,32 @@ def gate(low: Column, table: list[Rule]) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", table: list[Rule] | None = None) -> DataFrame:
-    """docs with n_words, base (spans of base phrases) and found (kept rule matches)."""
+    """docs with n_words, base (spans of base phrases) and found (kept rule matches); they replace columns of these names."""
     table = rules() if table is None else table
-    docs = docs.drop("n_words", "low", "norm", "base", "matches", "found")
+    docs = docs.drop("n_words", "base", "found")
     whole = F.coalesce(F.col(text), F.lit(""))
     form = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(whole, UPPER, LOWER), GAP, " ")), F.lit(" "))
-    docs = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD)).cast("bigint")).withColumn("low", F.lower(whole))
-    docs = docs.withColumn("norm", F.when(gate(F.col("low"), table), form))
+    docs = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD)).cast("bigint")).withColumn("__low", F.lower(whole))
+    docs = docs.withColumn("__norm", F.when(gate(F.col("__low"), table), form))
     phrase = lambda p: f"(?<= ){p}(?= )"
     base = ", ".join(
         f"transform({_SPANS.format(re=_quoted(phrase(p)))}, s -> named_struct('label', {_quoted(label)}, 'start', s.start, 'stop', s.stop))" for label, p in BASE
     )
-    docs = docs.withColumn("base", F.when(F.col("norm").isNotNull(), F.expr(f"concat({base})")))
+    docs = docs.withColumn("base", F.when(F.col("__norm").isNotNull(), F.expr(f"concat({base})")))
     matches = f"""
-      flatten(transform(filter({_rule_table(table)}, r -> contains(norm, r.kw)),
+      flatten(transform(filter({_rule_table(table)}, r -> contains(__norm, r.kw)),
         r -> transform({_SPANS.format(re="r.re")},
           s -> named_struct('label', r.label, 'priority', r.priority, 'score', r.score, 'rank', r.rank, 'start', s.start, 'stop', s.stop))))
     """
-    docs = docs.withColumn("matches", F.when(F.col("norm").isNotNull(), F.expr(matches)))
+    docs = docs.withColumn("__matches", F.when(F.col("__norm").isNotNull(), F.expr(matches)))
     better = """
-      filter(matches, a -> NOT exists(matches, b -> b.start <= a.start AND b.stop >= a.stop AND (
+      filter(__matches, a -> NOT exists(__matches, b -> b.start <= a.start AND b.stop >= a.stop AND (
         b.priority < a.priority
         OR (b.priority = a.priority AND b.stop - b.start > a.stop - a.start)
         OR (b.priority = a.priority AND b.stop - b.start = a.stop - a.start AND b.rank < a.rank))))
     """
-    docs = docs.withColumn("found", F.when(F.col("matches").isNotNull(), F.expr(better)))
-    return docs.drop("low", "norm", "matches")
+    docs = docs.withColumn("found", F.when(F.col("__matches").isNotNull(), F.expr(better)))
+    return docs.drop("__low", "__norm", "__matches")
 
 
 def report(docs: DataFrame) -> DataFrame:

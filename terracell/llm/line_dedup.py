@@ -62,23 +62,23 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return sure.union(near.join(exact, ["h", "g"]).select("h", "g", "first_doc"))
 
 
-def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
-    """docs with ``text`` cleaned, and n_removed (lines taken out)."""
-    docs = docs.drop("n_removed")
+def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, removed: str = "n_removed") -> DataFrame:
+    """docs with ``text`` cleaned, and the number of lines taken out (column ``removed``, which replaces any of that name)."""
+    docs = docs.drop(removed)
     lines = cut(line_keys(docs, doc_id, text, site), "lines")
     spread = cut(boilerplate(lines, sites), "boilerplate")
     gone = (
         lines.select("doc", "h", "g")
         .join(spread, ["h", "g"])
         .where(F.col("doc") != F.col("first_doc"))
-        .groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set(F.struct("h", "g")).alias("gone"))
+        .groupBy(F.col("doc").alias("__gone_doc")).agg(F.collect_set(F.struct("h", "g")).alias("__gone"))
     )
-    parts = _split(F.col(text))
-    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), _key(x)), F.lit(False)))
-    joined = docs.join(gone, docs[doc_id] == gone["gone_doc"], "left").withColumn("kept_lines", F.when(F.col("gone").isNotNull(), kept))
-    cleaned = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join("kept_lines", "\n"))
-    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size("kept_lines")).cast("bigint")
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns], removed.alias("n_removed"))
+    parts, away = _split(F.col(text)), F.col("__gone")
+    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(away, _key(x)), F.lit(False)))
+    joined = docs.join(gone, docs[doc_id] == gone["__gone_doc"], "left").withColumn("__kept", F.when(away.isNotNull(), kept))
+    cleaned = F.when(away.isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
+    count = F.when(away.isNull(), F.lit(0)).otherwise(F.size(parts) - F.size("__kept")).cast("bigint")
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns], count.alias(removed))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -277,6 +277,13 @@ def test_base_spans_equal_the_patterns(spark):
         assert ",".join(s for s in got[k].spans.split(",") if s.split(":")[0] in ("assign", "access", "hex")) == want
 
 
+@pytest.mark.parametrize("name", ["gone", "kept_lines", "doc", "h", "norm", "matches", "low", "q", "rejected"])
+def test_columns_of_any_name_pass_through(spark, name):
+    docs = documents(spark, [f"under the mit license {i}\nsame" for i in range(12)]).withColumnRenamed("score", name)
+    for out in (line_dedup.remove_boilerplate(docs, sites=3), license_scan.scan(docs), secret_scan.find_secrets(docs), language_id.identify(docs, {"a": b"xx yy"}, prefix="__")):
+        assert [r[name] for r in out.select(name).collect()] == [0.5] * 12
+
+
 def test_redaction(spark):
     docs = documents(spark, ["a password=hunter22 b", None, "clean"])
     assert [r.text for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == ["a [assign] b", None, "clean"]
