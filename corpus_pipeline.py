@@ -32,15 +32,15 @@ SHINGLE, SIMILARITY = 5, (80, 100)
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
-    return language_id.identify(docs, model).where(~F.col("rejected")).select(docs.columns)
+    return language_id.identify(docs, model, prefix="__").where(~F.col("__rejected")).select(docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_boilerplate(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
+    out = line_dedup.remove_boilerplate(docs, removed="__removed")
+    emptied = (F.col("__removed") > 0) & (F.trim("text") == "")
     out = out.where(~emptied)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
