@@ -262,11 +262,17 @@ class Home:
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         flat = np.concatenate(sets)
-        self.tokens, ids = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        new = np.append(True, flat[1:] != flat[:-1])
+        del flat
+        self.bounds = np.append(np.flatnonzero(new), len(new))
+        number = np.cumsum(new, dtype=np.int32) - 1  # of the token, in sorted order
+        ids = np.empty(len(order), dtype=np.int32)
+        ids[order] = number
+        del number, new
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         self.members = owner[order]  # of each token, in order of the sets
-        self.bounds = np.searchsorted(ids[order], np.arange(len(self.tokens) + 1))
         self.sets = np.split(ids, np.cumsum(self.sizes)[:-1])
         self.num, self.den = num, den
         self.answers: dict[int, np.ndarray] = {}
@@ -327,7 +333,7 @@ def _meet(num: int, den: int):
                 if hi - lo < 2:
                     continue
                 digest = t.column("digest").slice(lo, hi - lo).to_pylist()
-                home = Home([np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").slice(lo, hi - lo).to_pylist()], num, den)
+                home = Home([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("shingles").slice(lo, hi - lo)], num, den)
                 forest = home.forest()
                 for k, d in enumerate(digest):
                     if (r := forest.root(k)) != k:
