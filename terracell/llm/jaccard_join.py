@@ -16,7 +16,7 @@ Answer level. What may link falls into candidate groups, mostly near copies of o
 another. The sets of a group meet in one place, where the answers (overlaps with
 all members) of one set are derived from those of a similar set already computed,
 by walking only the lists of the tokens that differ. Members that have joined the
-largest component need no answers of their own. A group of more than
+largest component need no answers of their own, unless another becomes the largest. A group of more than
 ``HOME_TOKENS`` tokens meets in blocks; then what is outside its main component
 meets every block.
 
@@ -38,6 +38,7 @@ Extra columns are ignored; empty input gives empty output.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -304,9 +305,11 @@ class Home:
         forest, group = Forest(n), np.ones(n, dtype=np.int64)
         by_token = np.diff(self.bounds)
         central = np.argsort([-int(by_token[s].sum()) / max(1, len(s)) for s in self.sets], kind="stable")
-        main = -1
-        for x in central.tolist():
+        main, queue, skipped = -1, deque(central.tolist()), []
+        while queue:
+            x = queue.popleft()
             if main >= 0 and forest.root(x) == forest.root(main):
+                skipped.append(x)
                 continue
             o = self.overlaps(x)
             for y in np.flatnonzero(o >= least_overlap(self.sizes[x], self.sizes, self.num, self.den)).tolist():
@@ -316,7 +319,9 @@ class Home:
                     group[min(a, b)] = group[a] + group[b]
             r = forest.root(x)
             if main < 0 or group[r] > group[forest.root(main)]:
-                main = r
+                # what was skipped under another component is due again: it may link with what this one skips
+                queue.extend(skipped)
+                main, skipped = r, []
             if group[forest.root(main)] == n:
                 break
         return forest

@@ -206,6 +206,22 @@ def test_home_answers_are_derived_right():
         assert home.overlaps(x).tolist() == [len(np.intersect1d(sets[x], s)) for s in sets]
 
 
+def test_home_finds_links_of_sets_skipped_under_an_earlier_main_component():
+    """a-x, x-y, y-b and copies of b: {a, x} is main first, {y, b, b1, b2} later, and x-y joins them."""
+    fresh = iter(range(1000, 10000))
+    more = lambda k: {next(fresh) for _ in range(k)}
+    base = list(range(400))
+    a, of_x = set(base), more(18)
+    x = a - set(base[:18]) | of_x
+    y = x - set(base[18:36]) | more(18)
+    b = y - of_x | more(18)
+    copies = [b - {base[-1]} | more(1), b - {base[-2]} | more(1)]
+    below = [a - set(base[36 + 22 * k : 58 + 22 * k]) | more(22) for k in range(6)]
+    sets = [np.array(sorted(s), dtype=np.uint64) for s in (a, x, y, b, *copies, *below)]
+    forest = jaccard_join.Home(sets, 90, 100).forest()
+    assert [forest.root(k) for k in range(12)] == [0, 0, 0, 0, 0, 0, *range(6, 12)]
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 60)] + [(900, 901), (901, 900), (70, 70)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
