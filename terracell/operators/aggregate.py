@@ -151,7 +151,10 @@ def assemble_product(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def bounded_extremes(df: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
-    """Count, minimum and maximum over at most ``most`` smallest values of a bin (a bounded list per bin)."""
+    """Count, minimum and maximum over at most ``most`` smallest values of a bin (a bounded list per bin).
+
+    These are not the extremes of bins that hold more; ``extremes`` takes every observation.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy(value)
@@ -159,6 +162,12 @@ def bounded_extremes(df: DataFrame, keys: list[str], value: str, most: int) -> D
     return kept.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def extremes(df: DataFrame, keys: list[str], value: str, capacity: int) -> DataFrame:
+    """Count, minimum and maximum over all observations of a bin, and whether they exceed ``capacity``."""
+    n = F.count(value)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(n.alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), (n > capacity).alias("over_capacity"))
+
+
 def ordered_members(df: DataFrame, members: list[str]) -> DataFrame:
     """df with ensemble columns gathered into one array, by the number at the end of their names."""
     import re

@@ -1232,6 +1232,12 @@ def bounded_extremes(spark, sf_dir):
     return aggregate.bounded_extremes(GRID.assign(adaptor.swath(spark, sf_dir)), ["lat_idx", "lon_idx"], "measurement", 20)
 
 
+@query("bin_extremes", f"WITH {CELLS} SELECT lat_idx, lon_idx, count(measurement) AS n, min(measurement) AS low, max(measurement) AS high, count(measurement) > 20 AS over_capacity FROM cells GROUP BY 1, 2")
+def bin_extremes(spark, sf_dir):
+    """Extremes over every observation; bounded_extremes keeps the 20 smallest of a cell, as its SQL does."""
+    return aggregate.extremes(GRID.assign(adaptor.swath(spark, sf_dir)), ["lat_idx", "lon_idx"], "measurement", 20)
+
+
 @query(
     "same_coordinates",
     """SELECT round(-90 + 2.5 * i, 6) AS latitude, cast(i AS bigint) AS i, cast(j AS bigint) AS j FROM range(0, 72) AS a(i), range(0, 36) AS b(j) WHERE -90 + 2.5 * i = -90 + 5 * j""",
