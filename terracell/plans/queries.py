@@ -1,4 +1,8 @@
-"""Registered queries: each operator over its whole test table, with the SQL that must give the same rows."""
+"""Registered queries: each operator over its test table, with the SQL that must give the same rows.
+
+Where a query and its SQL keep a slice of the table only, ``<name>_whole`` is the
+same operator over every row.
+"""
 
 from __future__ import annotations
 
@@ -131,15 +135,15 @@ def deviation_second_pass(spark, sf_dir):
     f"""WITH {SWATH} SELECT l_orderkey, location_id, cast(trunc((lat + 90) / 2.5) AS int) AS v1, cast(trunc((lat + 91.25) / 2.5 - 0.5) AS int) AS v2,
   round(-90 + 2.5 * (trunc((lat + 90) / 2.5) + 0.5), 6) AS centre, round(-90 + 2.5 * trunc((lat + 90) / 2.5), 6) AS edge FROM swath WHERE qc = 1""",
 )
-def axis_bin_edges(spark, sf_dir):
+def axis_bin_edges(spark, sf_dir, only="qc = 1"):
     axis = Axis(-90.0, 2.5, 72)
     i = axis.index(F.col("lat"))
-    return adaptor.swath(spark, sf_dir).where("qc = 1").select("l_orderkey", "location_id", i.alias("v1"), axis.index_from_zeroth(F.col("lat")).alias("v2"), r6(axis.centre(i)).alias("centre"), r6(axis.edge(i)).alias("edge"))
+    return adaptor.swath(spark, sf_dir).where(only).select("l_orderkey", "location_id", i.alias("v1"), axis.index_from_zeroth(F.col("lat")).alias("v2"), r6(axis.centre(i)).alias("centre"), r6(axis.edge(i)).alias("edge"))
 
 
 @query("lon_wrap", "SELECT l_partkey, round(CASE WHEN x >= 180 THEN x - 360 ELSE x END, 6) AS lon FROM (SELECT l_partkey, cast((l_partkey * 104729) % 36000 AS double) / 100 AS x FROM lineitem WHERE l_linenumber = 2)")
-def lon_wrap(spark, sf_dir):
-    rows = adaptor.table(spark, sf_dir, "lineitem").where("l_linenumber = 2")
+def lon_wrap(spark, sf_dir, only="l_linenumber = 2"):
+    rows = adaptor.table(spark, sf_dir, "lineitem").where(only)
     x = F.pmod(F.col("l_partkey") * 104729, F.lit(36000)) / F.lit(100.0)
     return rows.select("l_partkey", r6(gridding_functions.wrap_longitude(x)).alias("lon"))
 
@@ -149,9 +153,9 @@ def lon_wrap(spark, sf_dir):
     f"""WITH {SWATH}, b AS (SELECT l_orderkey, location_id, floor((lat + 0.001 + 90) / 5) AS y, floor((lon + 0.001 + 180) / 5) AS x FROM swath WHERE qc = 3)
 SELECT l_orderkey, location_id, cast(greatest(0, least(35, y)) AS int) AS box_lat, cast(CASE WHEN x >= 72 THEN 0 WHEN x < 0 THEN 71 ELSE x END AS int) AS box_lon FROM b""",
 )
-def ocean_box(spark, sf_dir):
+def ocean_box(spark, sf_dir, only="qc = 3"):
     y, x = gridding_functions.ocean_box(F.col("lat"), F.col("lon"), 5.0)
-    return adaptor.swath(spark, sf_dir).where("qc = 3").select("l_orderkey", "location_id", y.alias("box_lat"), x.alias("box_lon"))
+    return adaptor.swath(spark, sf_dir).where(only).select("l_orderkey", "location_id", y.alias("box_lat"), x.alias("box_lon"))
 
 
 @query("qc_bit_filter", f"WITH {SWATH} SELECT qc, count(*) AS n, round(sum(measurement), 4) AS total FROM swath WHERE qc & 5 = 5 AND lat <> -32768 GROUP BY qc")
@@ -235,11 +239,11 @@ def operation_steps(spark, sf_dir):
 SELECT event_id AS id, round(sin(2 * pi() * t), 6) + 0 AS a, round(cos(2 * pi() * t), 6) + 0 AS b, round(sin(4 * pi() * t), 6) + 0 AS c, round(cos(4 * pi() * t), 6) + 0 AS d FROM y
 UNION ALL SELECT l_orderkey, round(cos(2 * radians(lat)), 6) + 0, round(sin(2 * radians(lat)), 6) + 0, round(cos(4 * radians(lat)), 6) + 0, round(sin(4 * radians(lat)), 6) + 0 FROM swath WHERE qc = 1""",
 )
-def harmonics(spark, sf_dir):
+def harmonics(spark, sf_dir, only="qc = 1"):
     season = [c for _, c in timebase.season_angles(F.col("ts"), 2)]
     lat = [c for _, c in geometry.latitude_harmonics(F.col("lat"))]
     one = adaptor.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), *[r6(c).alias(n) for n, c in zip("abcd", season, strict=True)])
-    two = adaptor.swath(spark, sf_dir).where("qc = 1").select(F.col("l_orderkey").alias("id"), *[r6(c).alias(n) for n, c in zip("abcd", lat, strict=True)])
+    two = adaptor.swath(spark, sf_dir).where(only).select(F.col("l_orderkey").alias("id"), *[r6(c).alias(n) for n, c in zip("abcd", lat, strict=True)])
     return one.union(two)
 
 
@@ -290,8 +294,8 @@ def barycentric_weights(spark, sf_dir):
     f"""WITH {SWATH}, {LOCATIONS} SELECT loc.location_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, count(*) AS n, round(avg(measurement), 6) AS mean
 FROM swath JOIN locations AS loc ON l_suppkey = loc.location_id WHERE day % 7 = 0 GROUP BY 1, 2, 3""",
 )
-def obs_location_join(spark, sf_dir):
-    obs = adaptor.swath(spark, sf_dir).where("day % 7 = 0").select(F.col("l_suppkey").alias("location_id"), "measurement")
+def obs_location_join(spark, sf_dir, only="day % 7 = 0"):
+    obs = adaptor.swath(spark, sf_dir).where(only).select(F.col("l_suppkey").alias("location_id"), "measurement")
     out = joins.with_location(obs, adaptor.locations(spark, sf_dir)).groupBy("location_id", "latitude", "longitude").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("measurement")).alias("mean"))
     return out.select("location_id", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"), "n", "mean")
 
@@ -427,10 +431,10 @@ b AS (SELECT {DAY.format('l_shipdate')} - {DAY.format("DATE '1996-01-01'")} AS s
 g AS (SELECT s.step, (SELECT count(*) FROM a WHERE a.step = s.step) AS na, (SELECT count(*) FROM b WHERE b.step = s.step) AS nb FROM s)
 SELECT cast(step AS bigint) AS step, cast(row_number() OVER (ORDER BY step) - 1 AS int) AS operation, na, nb FROM g WHERE na > 0 AND nb > 0""",
 )
-def operation_parameters(spark, sf_dir):
+def operation_parameters(spark, sf_dir, only=("o_orderkey % 3 = 0", "l_linenumber = 1")):
     start = timebase.day_number(F.lit("1996-01-01").cast("date"))
-    a = adaptor.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(big(timebase.day_number(F.col("o_orderdate")) - start).alias("step"), F.col("o_orderkey").alias("file"))
-    b = adaptor.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(big(timebase.day_number(F.col("l_shipdate")) - start).alias("step"), F.col("l_orderkey").alias("file"))
+    a = adaptor.table(spark, sf_dir, "orders").where(only[0]).select(big(timebase.day_number(F.col("o_orderdate")) - start).alias("step"), F.col("o_orderkey").alias("file"))
+    b = adaptor.table(spark, sf_dir, "lineitem").where(only[1]).select(big(timebase.day_number(F.col("l_shipdate")) - start).alias("step"), F.col("l_orderkey").alias("file"))
     out = catalogue.resolve(spark.range(120).withColumnRenamed("id", "step"), [("a", a, "skip"), ("b", b, "skip")])
     return out.select("step", "operation", big(F.size("a")).alias("na"), big(F.size("b")).alias("nb"))
 
@@ -440,9 +444,9 @@ def operation_parameters(spark, sf_dir):
     f"""WITH c AS (SELECT cast(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY)) AS date) AS day), f AS (SELECT cast(o_orderdate AS date) AS day, min(o_orderkey) AS file FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1)
 SELECT cast(year(c.day) AS int) AS year, count(*) AS days, count(*) FILTER (WHERE file IS NULL) AS gaps, string_agg(cast(coalesce(file, -1) AS varchar), ',' ORDER BY c.day) AS files FROM c LEFT JOIN f USING (day) GROUP BY 1""",
 )
-def annual_batch_days(spark, sf_dir):
+def annual_batch_days(spark, sf_dir, only="o_orderkey % 7 = 0"):
     calendar = spark.sql("SELECT explode(sequence(DATE'1995-01-01', DATE'1996-12-31', INTERVAL 1 DAY)) AS day")
-    files = adaptor.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.min("o_orderkey").alias("file"))
+    files = adaptor.table(spark, sf_dir, "orders").where(only).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.min("o_orderkey").alias("file"))
     out = catalogue.annual_batches(files, calendar)
     return out.select("year", big(F.size("files")).alias("days"), big(F.size(F.filter("files", lambda x: x == -1))).alias("gaps"), F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"))
 
@@ -566,10 +570,10 @@ def cell_quartiles(spark, sf_dir):
     f"""WITH {_CLIMATE} SELECT l_orderkey, location_id, measurement, cast(CASE WHEN measurement < q2 - 1.5 * (q2 - q1) THEN 8192 ELSE 0 END | CASE WHEN measurement > q2 + 1.5 * (q3 - q2) THEN 16384 ELSE 0 END AS int) AS qc
 FROM dated JOIN climate ON dated.lat_idx = climate.lat_idx AND month(d) = m WHERE qc = 4""",
 )
-def location_threshold_flags(spark, sf_dir):
+def location_threshold_flags(spark, sf_dir, only="qc = 4"):
     rows = _dated(spark, sf_dir)
     climate = aggregate.quartiles(rows, ["lat_idx", "m"], "measurement")
-    out = flags.location_flags(rows.where("qc = 4"), climate, ["lat_idx", "m"], "measurement", 1.5)
+    out = flags.location_flags(rows.where(only), climate, ["lat_idx", "m"], "measurement", 1.5)
     return out.select("l_orderkey", "location_id", "measurement", "qc")
 
 
@@ -595,9 +599,9 @@ def distinct_locations(spark, sf_dir):
     f"""WITH {STATION_DAYS}, e AS (SELECT station, unnest(list(tmax ORDER BY day)[1:10]) AS x FROM station_days GROUP BY 1)
 SELECT station, round(avg(x), 6) AS sample_mean, round(stddev_pop(x), 6) AS sample_std, round(sqrt(avg((x - 250) * (x - 250))), 6) AS sample_rms FROM e GROUP BY 1""",
 )
-def sample_spread(spark, sf_dir):
+def sample_spread(spark, sf_dir, only="k <= 10"):
     w = Window.partitionBy("station").orderBy("day")
-    first = adaptor.station_days(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 10")
+    first = adaptor.station_days(spark, sf_dir).withColumn("k", F.row_number().over(w)).where(only)
     rows = first.groupBy("station").agg(F.collect_list("tmax").alias("samples"), F.lit(250.0).alias("value"))
     out = aggregate.sample_spread(rows, "samples", "value")
     return out.select("station", *[r6(c).alias(c) for c in ("sample_mean", "sample_std", "sample_rms")])
@@ -832,8 +836,8 @@ _ICE = f"{SWATH}, ice AS (SELECT l_orderkey, location_id, measurement AS ts, day
 _COEFFICIENTS = (("north", "land", 1.5, 0.9, 0.4, -0.2), ("north", "sea", -0.5, 1.1, 0.1, 0.3), ("south", "land", 2.5, 0.8, -0.6, 0.5), ("south", "sea", 0.25, 1.0, 0.2, 0.1))
 
 
-def _ice(spark, sf_dir):
-    rows = adaptor.swath(spark, sf_dir).where("qc = 2").select(
+def _ice(spark, sf_dir, only="qc = 2"):
+    rows = adaptor.swath(spark, sf_dir).where(only).select(
         "l_orderkey", "location_id", F.col("measurement").alias("ts"), "day", F.when(F.col("lat") >= 0, "north").otherwise("south").alias("hemisphere"), F.when(F.col("observable") == "O", "land").otherwise("sea").alias("part"),
         F.lit("tasmin").alias("observable"), F.col("unc_ran").alias("unc_uncorrelated"), F.col("unc_atm").alias("unc_synoptic"), (F.col("unc_sfc") + 0.3).alias("unc_large_scale"),
     )
@@ -848,8 +852,8 @@ _C = "c AS (SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{p}', {a}, {b}, {c},
     "ice_regression",
     f"WITH {_ICE}, {_C} SELECT l_orderkey, location_id, ts, round(c1 * (ts - 273.15) + c0 + c2 * cos(2 * pi() * (day - 18262) / 365.2425) + c3 * sin(2 * pi() * (day - 18262) / 365.2425) + 273.15, 6) AS tair FROM ice JOIN c USING (hemisphere, part)",
 )
-def ice_regression(spark, sf_dir):
-    return _ice(spark, sf_dir).select("l_orderkey", "location_id", "ts", r6("tair").alias("tair"))
+def ice_regression(spark, sf_dir, only="qc = 2"):
+    return _ice(spark, sf_dir, only).select("l_orderkey", "location_id", "ts", r6("tair").alias("tair"))
 
 
 @query(
@@ -858,8 +862,8 @@ def ice_regression(spark, sf_dir):
 p AS (SELECT l_orderkey, location_id, ts, cast(sqrt(u * u + rus * rus) * c1 AS double) AS ru, cast(sqrt((us * c1) * (us * c1) + rel * rel) AS double) AS ssu, cast(c1 * 0.2 AS double) AS lsu, cast(c1 * (ul - 0.2 + 2) AS double) AS cu FROM ice JOIN c USING (hemisphere, part) JOIN k USING (hemisphere, part))
 SELECT l_orderkey, location_id, ts, round(ru, 6) AS ru, round(ssu, 6) AS ssu, round(lsu, 6) AS lsu, round(cu, 6) AS cu, round(sqrt(ru * ru + ssu * ssu + lsu * lsu), 6) AS total, round(sqrt(ru * ru + ssu * ssu + lsu * lsu + cu * cu), 6) AS total_cloud FROM p""",
 )
-def ice_uncertainty(spark, sf_dir):
-    rows = _ice(spark, sf_dir).join(F.broadcast(models.ice_constants(spark)), ["hemisphere", "part", "observable"])
+def ice_uncertainty(spark, sf_dir, only="qc = 2"):
+    rows = _ice(spark, sf_dir, only).join(F.broadcast(models.ice_constants(spark)), ["hemisphere", "part", "observable"])
     return models.ice_budget(rows).select("l_orderkey", "location_id", "ts", *[r6(c).alias(c) for c in ("ru", "ssu", "lsu", "cu", "total", "total_cloud")])
 
 
@@ -929,9 +933,9 @@ def altitude_adjust(spark, sf_dir):
 
 
 @query("remap_columns", f"WITH {SWATH} SELECT l_orderkey AS id, measurement + 10 AS shifted, round(sqrt(unc_ran * unc_ran + unc_atm * unc_atm + unc_sys * unc_sys), 6) AS total FROM swath WHERE qc = 6")
-def remap_columns(spark, sf_dir):
+def remap_columns(spark, sf_dir, only="qc = 6"):
     spec = {"id": ("copy", "l_orderkey"), "shifted": ("copy", "measurement", 10), "total": ("total", ["unc_ran", "unc_atm", "unc_sys"])}
-    return models.remap(adaptor.swath(spark, sf_dir).where("qc = 6"), spec).withColumn("total", r6("total"))
+    return models.remap(adaptor.swath(spark, sf_dir).where(only), spec).withColumn("total", r6("total"))
 
 
 @query(
@@ -1171,9 +1175,9 @@ def gmrf_conjugate_gradients(spark, sf_dir):
 
 
 @query("mesh_locate")
-def mesh_locate(spark, sf_dir):
+def mesh_locate(spark, sf_dir, only="qc = 1"):
     """Triangle, vertices and weights of every pixel's place on a level 4 mesh."""
-    rows = adaptor.swath(spark, sf_dir).where("qc = 1").select("l_orderkey", "location_id", "lat", "lon")
+    rows = adaptor.swath(spark, sf_dir).where(only).select("l_orderkey", "location_id", "lat", "lon")
     return mesh.locate(rows, 4)
 
 
@@ -1207,8 +1211,8 @@ def quality_control(spark, sf_dir):
     f"""WITH {CELLS}, m AS (SELECT year(d) AS y, month(d) AS mo, lat_idx, lon_idx, avg(measurement) - 250 AS a FROM (SELECT *, DATE '1850-01-01' + cast(day AS int) AS d FROM cells WHERE qc = 7) GROUP BY 1, 2, 3, 4)
 SELECT cast({DAY.format("make_date(y, mo, 1)")} + floor(day(last_day(make_date(y, mo, 1))) / 2) AS bigint) AS day, cast(lat_idx * 36 + lon_idx AS bigint) AS location_id, round(a, 6) + 0 AS measurement FROM m""",
 )
-def monthly_anomalies(spark, sf_dir):
-    cells = GRID.assign(adaptor.swath(spark, sf_dir).where("qc = 7")).withColumn("d", timebase.date_of(F.col("day")))
+def monthly_anomalies(spark, sf_dir, only="qc = 7"):
+    cells = GRID.assign(adaptor.swath(spark, sf_dir).where(only)).withColumn("d", timebase.date_of(F.col("day")))
     months = cells.groupBy(F.year("d").alias("year"), F.month("d").alias("month"), "lat_idx", "lon_idx").agg((F.avg("measurement") - 250).alias("anomaly"), F.lit(0.5).alias("unc"))
     return readers.monthly_anomalies(months, GRID).select(big("day").alias("day"), "location_id", r6("measurement").alias("measurement"))
 
@@ -1285,4 +1289,61 @@ def regional_solves(spark, sf_dir):
     return solve.solve_regions(elements.region_designs(obs, 2, 0), obs.select("row", "q", "r"), 1.0)
 
 
+# --- whole tables ---------------------------------------------------------------------------------------------------------
+
+
+def whole(name: str, *slices: tuple[str, str], only: str | tuple[str, ...] = "true") -> None:
+    """Register ``name`` over every row as ``<name>_whole``, with its SQL where each slice is replaced."""
+    f, sql = QUERIES[name], SQL.get(name)
+    for part, instead in slices:
+        if sql.count(part) != 1:
+            raise ValueError(f"{name}: {part!r} is not in its SQL once")
+        sql = sql.replace(part, instead)
+    query(f"{name}_whole", sql)(lambda spark, sf_dir: f(spark, sf_dir, only=only))
+
+
+whole("axis_bin_edges", (" WHERE qc = 1", ""))
+whole("lon_wrap", (" WHERE l_linenumber = 2", ""))
+whole("ocean_box", (" WHERE qc = 3", ""))
+whole("harmonics", (" WHERE qc = 1", ""))
+whole("obs_location_join", (" WHERE day % 7 = 0", ""))
+whole("operation_parameters", (" WHERE o_orderkey % 3 = 0", ""), (" WHERE l_linenumber = 1", ""), only=("true", "true"))
+whole("annual_batch_days", (" WHERE o_orderkey % 7 = 0", ""))
+whole("location_threshold_flags", (" WHERE qc = 4", ""))
+whole("sample_spread", ("[1:10]", ""))
+whole("ice_regression", (" WHERE qc = 2", ""))
+whole("ice_uncertainty", (" WHERE qc = 2", ""))
+whole("remap_columns", (" WHERE qc = 6", ""))
+whole("mesh_locate")
+whole("monthly_anomalies", (" WHERE qc = 7", ""))
+
+
+@query(
+    "obs_summary_whole",
+    f"""WITH {SWATH}, c AS (SELECT unnest(generate_series(min(day), max(day))) AS d FROM swath), k AS (SELECT day AS d, count(*) AS n FROM swath GROUP BY 1)
+SELECT count(*) AS days, sum(coalesce(n, 0))::bigint AS total, count(*) FILTER (WHERE n IS NULL) AS missing_days, round(avg(n), 6) AS mean_per_day FROM c LEFT JOIN k USING (d)""",
+)
+def obs_summary_whole(spark, sf_dir):
+    """Every observation, over the calendar from the first to the last."""
+    rows = adaptor.swath(spark, sf_dir)
+    calendar = rows.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    return aggregate.observation_summary(rows, calendar).withColumn("mean_per_day", r6("mean_per_day"))
+
+
+@query(
+    "satellite_pairs_whole",
+    f"""WITH {SWATH}, p AS (SELECT l_orderkey AS granule, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, location_id, qc, measurement, unc_ran, unc_atm) AS "row", location_id AS col, measurement,
+  CASE WHEN location_id % 3 <> 0 THEN unc_ran END AS a, unc_atm AS b FROM swath)
+SELECT cast(granule AS bigint) AS granule, "row", col, measurement, round(a, 6) AS unc_ran, round(b, 6) AS unc_atm, round(cast(granule % 7 AS double) / 10, 6) AS unc_sys FROM p WHERE a IS NOT NULL""",
+)
+def satellite_pairs_whole(spark, sf_dir):
+    """Every pixel: numbered within its granule, so that none shares a position; one without an auxiliary value drops out."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_suppkey", "location_id", "qc", "measurement", "unc_ran", "unc_atm")
+    s = adaptor.swath(spark, sf_dir).withColumn("row", big(F.row_number().over(w)))
+    s = s.select(F.col("l_orderkey").alias("granule"), "row", F.col("location_id").alias("col"), "measurement", F.when(F.col("location_id") % 3 != 0, F.col("unc_ran")).alias("unc_ran"), "unc_atm")
+    scalars = s.select("granule").distinct().withColumn("unc_sys", F.pmod("granule", F.lit(7)) / F.lit(10.0))
+    out = readers.satellite_pairs(s.select("granule", "row", "col", "measurement"), s.drop("measurement"), ["unc_ran", "unc_atm"], scalars)
+    return out.select("granule", "row", "col", "measurement", r6("unc_ran").alias("unc_ran"), r6("unc_atm").alias("unc_atm"), r6("unc_sys").alias("unc_sys"))
+
+
 __all__ = ["QUERIES", "SQL", "Grid"]
