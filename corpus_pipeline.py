@@ -12,7 +12,9 @@ a lost executor costs a reread.
 3. n-gram Jaccard join: of each group of near copies (five-word shingles,
    similarity 0.8 or more) the document with the smallest id stays.
 4. benchmark decontamination: documents that share a benchmark window of eight
-   words go.
+   words go, and those that quote the whole of an item of four to seven words.
+   Whole items of fewer words are common phrases: they tell nothing, however often
+   they occur.
 5. packing: what is left becomes pieces of fixed-length sequences.
 
 Null texts are rejected by the first stage. Rows with a null doc_id stay, except
@@ -51,8 +53,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.where((F.col("n_items") >= 1) & (F.col("n_hit") >= decontaminate.WINDOW)).select("doc_id")
+    _, windows = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    leaks = windows.where(F.col("size") >= decontaminate.GRAM).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 

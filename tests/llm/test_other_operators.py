@@ -239,3 +239,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["benchmark decontamination"]) == set(range(80))
     out = p.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(range(80)) and p.ORACLE_SQL is None
+
+
+def test_pipeline_decontaminates_by_windows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    items = [(1, "one two three four five six seven eight nine"), (2, "who wrote the red book"), (3, "solo"), (4, "p q r s")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [
+        "so one two three four five six seven eight then",  # a window of eight
+        "one two three four five six seven",  # seven words of it
+        "ask: Who wrote the red book?",  # a whole item of five words
+        "who wrote the red",
+        " la ".join(["solo"] * 9),  # nine hits of one word
+        "p q r s",
+        "nothing",
+        "one two three four solo five six seven solo",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in p.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [1, 3, 4, 6, 7]
