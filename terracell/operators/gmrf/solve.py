@@ -93,21 +93,24 @@ def map_solution(posterior: DataFrame, information: DataFrame, size: int) -> np.
     return Factor.of(dense(posterior, size)).solve(dense_vector(information, size))
 
 
-def conjugate_gradients(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-6, most: int = 200) -> DataFrame:
+def conjugate_gradients(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-6, most: int | None = None) -> DataFrame:
     """(col, value) solving matrix x = b with a Jacobi preconditioner.
 
     ``matrix`` should be written or cached by the caller. Each step is one sparse
     product and two sums; state is cut to disk every step through a checkpoint.
+    Rounding may cost more steps than the system has unknowns; ``most`` is ten times
+    as many by default, 200 at least. A solve that has not reached the tolerance by
+    then raises ArithmeticError.
     """
     diag = matrix.where("row = col").select(F.col("row").alias("k"), (1 / F.col("value")).alias("m"))
     s = b.select(F.col(b.columns[0]).alias("k"), F.col("value").alias("r"))
     s = diag.join(s, "k", "left").select("k", "m", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"))
     s = s.withColumn("p", F.col("m") * F.col("r"))
-    scale = s.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("m") * F.col("r"))).first()
+    scale = s.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("m") * F.col("r")), F.count(F.lit(1))).first()
     norm, rz = scale[0] or 0.0, scale[1] or 0.0
-    limit = tolerance * tolerance * norm
-    for _ in range(most):
-        if norm <= limit or rz == 0:
+    start, limit = norm, tolerance * tolerance * norm
+    for _ in range(max(200, 10 * scale[2]) if most is None else most):
+        if norm <= limit or rz == 0 or not np.isfinite(norm):
             break
         ap = matrix.join(s.select(F.col("k").alias("col"), "p"), "col").groupBy(F.col("row").alias("k")).agg(F.sum(F.col("value") * F.col("p")).alias("ap"))
         t = _keep(s.join(ap, "k", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0))))
@@ -116,6 +119,8 @@ def conjugate_gradients(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-6
         norm, new = t.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("m") * F.col("r"))).first()
         s = t.withColumn("p", F.col("m") * F.col("r") + (new / rz) * F.col("p"))
         rz = new
+    if not norm <= limit:
+        raise ArithmeticError(f"conjugate gradients: residual {(norm / start) ** 0.5:.3g} of the right side, {tolerance:.3g} wanted")
     return s.select(F.col("k").alias("col"), F.col("x").alias("value"))
 
 

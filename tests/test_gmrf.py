@@ -68,6 +68,15 @@ def test_conjugate_gradients_equal_cholesky(spark):
     assert np.allclose(x, solve.Factor.of(q).solve(b), atol=1e-6)
 
 
+def test_conjugate_gradients_raise_when_not_converged(spark):
+    n = 12
+    hilbert = [(i, j, 1.0 / (i + j + 1)) for i in range(n) for j in range(n)]
+    matrix = spark.createDataFrame(hilbert, "row bigint, col bigint, value double").cache()
+    rhs = spark.createDataFrame([(i, float(i % 3)) for i in range(n)], "col bigint, value double")
+    with pytest.raises(ArithmeticError, match="residual"):
+        solve.conjugate_gradients(matrix, rhs, 1e-10, most=3)
+
+
 def test_factor_identities():
     g = np.random.default_rng(5)
     m = g.normal(size=(20, 20))
