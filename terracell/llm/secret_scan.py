@@ -8,9 +8,10 @@ reported if their inside parses:
   with a string ``alg``, the second a JSON object;
 - ``der``: a DER element whose nested lengths fill their parents exactly and
   whose outline is that of a private key (PKCS#1, PKCS#8, SEC1), in base64 or hex,
-  inside PEM armour or bare;
+  inside PEM armour or bare, there also wrapped into lines of one width;
 - ``openssh``: the openssh-key-v1 container with its length-prefixed fields;
-- ``sshpub``: an SSH public key blob (string fields that use the blob up exactly).
+- ``sshpub``: an SSH public key blob (string fields that use the blob up exactly);
+  both of these in the same forms as ``der``.
 
 Base spans always stay; ``confirmed`` says how many spans parsed. Offsets are
 code points, end exclusive. Spans are ordered by start, then by kind in the
@@ -42,10 +43,11 @@ _ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_JWT = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
+_JWT = re.compile(rb"(?<![A-Za-z0-9_-])((?:e[yw]|[ICD])[A-Za-z0-9_-]{12,})\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")  # a brace or white space first
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_ANY = re.compile(rb"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+_NEXT_LINE = re.compile(rb"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)={0,2}")
+_HEX_ANY = re.compile(rb"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]7373682[Dd]|000000[0-9A-Fa-f]{2}(?:7373682[Dd]|6563647361))[0-9A-Fa-f]{46,}")  # DER, openssh-, ssh- and ecdsa
 _SSH_MAGIC = b"openssh-key-v1\x00"
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -165,6 +167,62 @@ def _kind(data: bytes | None) -> str | None:
     return "sshpub" if is_ssh_public(data) else None
 
 
+def _tokens(raw: bytes) -> list[tuple[str, int, int]]:
+    out, at = [], 0
+    while m := _JWT.search(raw, at):
+        good = is_jwt(m[0])
+        at = m.end() if good else m.end(1)  # what follows the first part may be a token
+        if good:
+            out.append(("jwt", *m.span()))
+    return out
+
+
+def _sizes(head: bytes, body: bytes) -> set[int]:
+    """The lengths in bytes at which a structure that begins ``body`` may end."""
+    if head[0] == 0x30:
+        k = head[1] & 0x7F if head[1] & 0x80 else 0
+        return {2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])} if k <= 4 else set()
+    out, at, fields = set(), 0, 0
+    if head.startswith(_SSH_MAGIC):
+        at, keys = len(_SSH_MAGIC), 0
+        while at + 4 <= len(body) and fields < 4 + keys:
+            at += 4 + int.from_bytes(body[at : at + 4], "big")
+            fields += 1
+            if fields == 3:
+                keys = int.from_bytes(body[at : at + 4], "big")
+                at += 4
+        return {at}
+    while at + 4 <= len(body):
+        at += 4 + int.from_bytes(body[at : at + 4], "big")
+        out.add(at)
+    return out
+
+
+def _wrapped(raw: bytes, start: int, end: int) -> tuple[str, int] | None:
+    """(kind, end) of a key whose base64 begins with the line at ``start`` and goes on over lines of its width, the last one at most."""
+    head = b64(raw[start : start + 40])
+    if head is None or not (head[0] == 0x30 or head.startswith(_SSH_MAGIC) or any(head[4:].startswith(t) for t in _SSH_TYPES)):
+        return None
+    known = -(-4 * max(_sizes(head, b""), default=0) // 3) if head[0] == 0x30 else None
+    width, lines = end - start, [(end, end - start)]  # (end, characters so far)
+    while m := _NEXT_LINE.match(raw, lines[-1][0]):
+        n = m.end(1) - m.start(1)
+        if n > width:
+            break
+        lines.append((m.end(), lines[-1][1] + n))
+        if n < width or m.end() > m.end(1) or known is not None and lines[-1][1] >= known:
+            break
+    if len(lines) == 1:
+        return None
+    text = b"".join(raw[start : lines[-1][0]].split()).rstrip(b"=")
+    body = b"" if head[0] == 0x30 else b64(text[: len(text) // 4 * 4]) or b""
+    wanted = {-(-4 * n // 3) for n in _sizes(head, body)}
+    for stop, n in reversed(lines[1:]):
+        if n in wanted and (kind := _kind(b64(raw[start:stop]))):
+            return kind, stop
+    return None
+
+
 def scan(raw: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes, base spans and confirmed ones, unordered."""
     out: list[tuple[str, int, int]] = []
@@ -174,8 +232,8 @@ def scan(raw: bytes) -> list[tuple[str, int, int]]:
     if b"AKIA" in raw:
         out += [("access", *m.span()) for m in _ACCESS.finditer(raw)]
     out += [("hex", *m.span()) for m in _HEX.finditer(raw)]
-    if b"eyJ" in raw:
-        out += [("jwt", *m.span()) for m in _JWT.finditer(raw) if is_jwt(m[0])]
+    if b"." in raw:
+        out += _tokens(raw)
     taken: list[tuple[int, int]] = []
     if b"-----BEGIN " in raw:
         for m in _PEM.finditer(raw):
@@ -187,12 +245,17 @@ def scan(raw: bytes) -> list[tuple[str, int, int]]:
     if b"b3BlbnNzaC1rZXktdjE" in raw or b"AAAA" in raw or any(p in raw for p in _DER_START):
         for m in _BASE64.finditer(raw):
             if m[0][:2] in _DER_START or m[0][:4] in (b"b3Bl", b"AAAA"):
-                if free(m) and (kind := _kind(b64(m[0]))):
+                if not free(m):
+                    continue
+                if kind := _kind(b64(m[0])):
                     out.append((kind, *m.span()))
-    if b"30" in raw:
+                elif not m[0].endswith(b"=") and (found := _wrapped(raw, *m.span())):
+                    out.append((found[0], m.start(), found[1]))
+                    taken.append((m.start(), found[1]))
+    if b"30" in raw or b"7373682" in raw or b"6563647361" in raw:
         for m in _HEX_ANY.finditer(raw):
-            if len(m[0]) % 2 == 0 and free(m) and _kind(binascii.unhexlify(m[0])) == "der":
-                out.append(("der", *m.span()))
+            if len(m[0]) % 2 == 0 and free(m) and (kind := _kind(binascii.unhexlify(m[0]))):
+                out.append((kind, *m.span()))
     return out
 
 

@@ -245,6 +245,7 @@ def integer(n):
 RSA = der(0x30, integer(0) + b"".join(integer(random.Random(k).getrandbits(256)) for k in range(8)))
 PKCS8 = der(0x30, integer(0) + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, RSA))
 SSH = (lambda f: f(b"ssh-ed25519") + f(bytes(range(32))))(lambda b: len(b).to_bytes(4, "big") + b)
+SSH_LONG = (lambda f: f(b"ssh-rsa") + f(b"\x01\x00\x01") + f(bytes(range(1, 200))))(lambda b: len(b).to_bytes(4, "big") + b)
 OPENSSH = b"openssh-key-v1\x00" + b"".join(len(b).to_bytes(4, "big") + b for b in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(b).to_bytes(4, "big") + b for b in (SSH, b"secret" * 9))
 
 
@@ -271,6 +272,32 @@ def test_hex_keys_and_tokens():
     assert not secret_scan.spans(fake) and secret_scan.der_outline(b"\x30\x80\x00\x00") is None
 
 
+@pytest.mark.parametrize(("inside", "kind"), [(RSA, "der"), (PKCS8, "der"), (SSH_LONG, "sshpub"), (OPENSSH, "openssh")])
+@pytest.mark.parametrize("width", [64, 70, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("after", ["", "\nword", " .", "\n\nMIIEword"])
+def test_keys_wrapped_without_armour(inside, kind, width, end, after):
+    whole = base64.b64encode(inside).decode()
+    text = end.join(whole[i : i + width] for i in range(0, len(whole), width))
+    assert [s for s in secret_scan.spans(f"é:\n{text}{after}") if s[0] == kind] == [(kind, 3, 3 + len(text))]
+    short = base64.b64encode(inside[:-1]).decode()
+    text = end.join(short[i : i + width] for i in range(0, len(short), width))
+    assert not any(s[0] in ("der", "sshpub", "openssh") for s in secret_scan.spans(text))
+
+
+@pytest.mark.parametrize(("inside", "kind"), [(RSA, "der"), (SSH, "sshpub"), (OPENSSH, "openssh")])
+def test_keys_in_hex(inside, kind):
+    assert (kind, 3, 3 + 2 * len(inside)) in secret_scan.spans("k= " + inside.hex())
+    assert not any(s[0] == kind for s in secret_scan.spans("k= " + inside[:-1].hex()))
+
+
+@pytest.mark.parametrize("header", ['{"alg":"none"}', '{ "alg":"HS256"}', '{\n  "alg": "HS256"\n}', '{\t"alg":"HS256"}', ' {"alg":"HS256"}', '\r\n{"alg":"HS256"}', '\n{"alg":"HS256"}'])
+def test_tokens_with_white_space_in_the_header(header):
+    token = f"{url(header.encode())}.{url(b'{}')}.{url(b'x' * 32)}"
+    assert secret_scan.spans(f"a {token} b") == [("jwt", 2, 2 + len(token))]
+    assert secret_scan.spans(f"Interestingwords.{token}") == [("jwt", 17, 17 + len(token))]
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
