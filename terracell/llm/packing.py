@@ -12,7 +12,9 @@ At the end of a partition the unfilled sequences of powers of two are closed as
 sequences whose length is a power of two, and the pending tails are laid end to
 end and cut into whole sequences and powers of two.
 
-Token ids are those of the given ``tokenizers`` file.
+Token ids are those of the given ``tokenizers`` file as that library gives them
+with ``add_special_tokens=False``: the string of an added token inside a text is
+that token's id.
 
 Edge cases: a null or empty text is its end id alone. Rows that share a doc_id
 are packed apart, each with its own piece numbering. Rows with a null doc_id are
@@ -45,8 +47,9 @@ class Encoder:
     """Text -> little-endian uint32 ids as bytes, equal to the ``tokenizers`` file's.
 
     If the file is a plain byte-level BPE whose merged ids ascend in merge order,
-    its vocabulary is handed to tiktoken, which gives the same ids several times
-    faster; any other file is run by ``tokenizers`` itself.
+    and its added tokens are matched as they stand, its vocabulary is handed to
+    tiktoken, which gives the same ids several times faster; any other file is run
+    by ``tokenizers`` itself.
     """
 
     def __init__(self, path: str | None = None):
@@ -57,30 +60,37 @@ class Encoder:
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.path = path
         with open(path, encoding="utf-8") as f:
-            ranks = byte_ranks(json.load(f))
-        if ranks is None:
+            spec = json.load(f)
+        ranks, added = byte_ranks(spec), added_ids(spec)
+        if ranks is None or added is None:
             self.encode = self.reference
         else:
             import tiktoken
 
-            self.fast = tiktoken.Encoding("terracell", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("terracell", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
             self.encode = self._fast
 
     def _fast(self, text: str) -> bytes:
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
     @functools.cached_property
     def tokenizer(self):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(self.path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        return t
+        return Tokenizer.from_file(self.path)
 
     def reference(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def added_ids(spec: dict) -> dict[str, int] | None:
+    """content -> id of the added tokens; None if one asks for more than its own string, or begins with another's."""
+    added = spec.get("added_tokens") or ()
+    ids = {t["content"]: t["id"] for t in added}
+    asks = any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
+    return None if asks or any(a != b and b.startswith(a) for a in ids for b in ids) else ids
+
+
 def byte_ranks(spec: dict) -> dict[bytes, int] | None:
     """bytes -> id of a byte-level BPE file; None if its form asks for more than ranks."""
     model, pre = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
