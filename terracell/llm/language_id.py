@@ -10,11 +10,20 @@ margin is the runner-up's excess over the winner, per encoded byte; below
 Texts are compared without case, digits and punctuation, so that layout does not
 drown the language; the whole text is encoded.
 
+The fit reads the documents twice (a hash of every row that may be learned from,
+then the texts of the chosen rows). Its bound: ``SAMPLE`` distinct rows (doc_id,
+language and text together) of each language, those of smallest hash. A
+dictionary holds an equal share of each, in ``PIECES`` pieces spread evenly over
+the text. All dictionaries together have at most ``MODEL`` bytes, so with many
+languages each is smaller.
+
 Edge cases: a null text, or one without letters, is ``und`` with score 0 and is
 rejected. Without any training row everything is ``und``. With one language
 learned, that language is predicted with score 1. Equal sizes go to the first
 language in name order, with score 1 / (number of tied) and are rejected.
-Repeated rows each get their row; extra columns are ignored.
+Repeated rows each get their row and are learned from once; rows that share a
+doc_id are learned from apart, each for its own language. Rows with a null doc_id,
+language or text are never learned from. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +31,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 300  # training texts per language: the documented bound of the fit
-EXCERPT = 1500  # code points of each that enter a dictionary
+from terracell.llm.shared import cut, scratch, smallest_of_each
+
+SAMPLE = 128  # training texts per language: the documented bound of the fit
+PIECES = 4  # of a text that enter a dictionary
 DICTIONARY = 64 * 1024  # bytes of a dictionary
-LANGUAGES = 512  # languages a model may hold (32 MB of dictionaries)
+MODEL = 32 << 20  # bytes of all dictionaries
+CODERS = 256  # languages whose coders a task holds at once
 BLOCK = 2048  # bytes encoded at once
 #: short matches and a lazy search, so that the dictionary's syllables are found
 PARAMETERS = {"min_match": 3, "strategy": zstandard.STRATEGY_LAZY, "search_log": 4}
@@ -59,71 +71,93 @@ def _has_letter(text: str, raw: bytes) -> bool:
     return not raw.isspace() and (any(97 <= b <= 122 for b in raw[:64]) or any(c.isalpha() for c in text))
 
 
+def excerpt(raw: bytes, share: int, pieces: int = PIECES) -> bytes:
+    """``share`` bytes of a text, in pieces spread evenly from its beginning to its end."""
+    if len(raw) <= share:
+        return raw
+    size = max(1, (share - pieces) // pieces)
+    step = (len(raw) - size) / (pieces - 1)
+    return b" ".join(raw[round(i * step) : round(i * step) + size] for i in range(pieces))
+
+
 def _excerpts(batches):
     for batch in batches:
-        out = []
-        for t in batch.column(2):
-            raw = plain(t.as_py())
-            step, piece = max(1, len(raw) // 5), EXCERPT // 5
-            out.append(raw if len(raw) <= EXCERPT else b" ".join(raw[i * step : i * step + piece] for i in range(5)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["lang", "n", "excerpt"])
+        out = [excerpt(plain(t.as_py()), n.as_py()) for t, n in zip(batch.column(2), batch.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["lang", "row", "excerpt"])
+
+
+def _learnable(docs: DataFrame) -> DataFrame:
+    """(lang, row, text) of the rows that may be learned from; ``row`` is a hash of the whole row."""
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return rows.select("lang", F.xxhash64("doc_id", "lang", "text").alias("row"), "text")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, dictionary: int = DICTIONARY, model: int = MODEL) -> dict[str, bytes]:
+    """language -> dictionary, from ``sample`` distinct rows of each language (all of them if there are fewer)."""
+    with scratch(docs.sparkSession):
+        chosen = cut(smallest_of_each(_learnable(docs).select("lang", "row"), "lang", "row", sample), "languages")
+        counts = chosen.groupBy("lang").count()
+        each = min(dictionary, model // max(1, counts.count()))
+        chosen = chosen.join(counts, "lang").select("lang", "row", (F.lit(each) / F.col("count") - 1).cast("int").alias("share"))
+        # a row that repeats is learned from once; all excerpts together have at most `model` bytes
+        texts = _learnable(docs).join(chosen, ["lang", "row"]).select("lang", "row", "text", "share")
+        texts = texts.mapInArrow(_excerpts, "lang string, row bigint, excerpt binary").groupBy("lang", "row").agg(F.min("excerpt").alias("excerpt")).collect()
+    got: dict[str, list[tuple[int, bytes]]] = {}
+    for r in texts:
+        if r["excerpt"]:
+            got.setdefault(r["lang"], []).append((r["row"], bytes(r["excerpt"])))
+    return {lang: b" ".join(x for _, x in sorted(parts)) for lang, parts in sorted(got.items())}
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
-    """language -> dictionary, from at most ``sample`` rows of each language.
+def blocks(raw: bytes) -> list[bytes]:
+    """What is encoded at once: pieces of nearly equal size."""
+    n = max(1, round(len(raw) / BLOCK))
+    cuts = [len(raw) * i // n for i in range(n + 1)]
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    The sample is the rows of smallest hash of doc_id, chosen on two columns: a
-    bound on the hash, from each language's count, lets about twice the sample
-    through, so that no task ranks a whole language. Only their texts are read. Of each, five
-    excerpts spread over the whole text enter the language's dictionary.
-    """
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    counts = rows.groupBy("lang").count().withColumnRenamed("lang", "of")
-    if counts.count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    # at most LANGUAGES rows, so this side may be broadcast
-    near = rows.join(F.broadcast(counts), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("count") <= F.lit(float(2 * sample + 100) * (1 << 20)))
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = near.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= sample).select("doc_id", "lang", "n")
-    # at most sample * LANGUAGES ids, so this side may be broadcast
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    got: dict[str, list[tuple[int, bytes]]] = {}
-    for r in texts.select("lang", "n", "text").mapInArrow(_excerpts, "lang string, n int, excerpt binary").collect():
-        if r["excerpt"]:
-            got.setdefault(r["lang"], []).append((r["n"], bytes(r["excerpt"])))
-    return {lang: b" ".join(x for _, x in sorted(parts))[-DICTIONARY:] for lang, parts in sorted(got.items())}
+
+def coder(dictionary: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, **PARAMETERS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
 class Classifier:
-    """Encodes with every dictionary; holds compressors, so it is made on the worker."""
+    """Encodes with every dictionary; holds compressors, so it is made on the worker.
+
+    Of more than ``CODERS`` languages the coders are made in groups, again for each batch.
+    """
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.coders = []
-        for name in self.names:
-            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, **PARAMETERS, write_content_size=False, write_checksum=False, write_dict_id=False)
-            d.precompute_compress(compression_params=params)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
-
-    def sizes(self, raw: bytes) -> np.ndarray:
-        """Total bytes per language; a last block shorter than half joins the one before."""
-        n = max(1, round(len(raw) / BLOCK))
-        cuts = [len(raw) * i // n for i in range(n + 1)]
-        blocks = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return np.array([sum(len(c.compress(b + CARRIER)) for b in blocks) for c in self.coders], dtype=np.float64)
-
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score, margin)."""
-        raw = plain(text) if text else b""
-        if not self.names or not _has_letter(text or "", raw):
-            return "und", 0.0, 0.0
-        size = self.sizes(raw) / len(raw)
-        best = int(size.argmin())
-        excess = size - size[best]
-        others = np.delete(excess, best)
-        score = 1.0 / float(np.exp(-SHARPNESS * excess).sum())
-        return self.names[best], score, float(others.min()) if len(others) else 1.0
+        self.dictionaries = [dictionaries[n] for n in self.names]
+        self.coders = [coder(d) for d in self.dictionaries] if len(self.names) <= CODERS else None
+
+    def sizes(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, languages): encoded bytes in total."""
+        cut = [blocks(raw) for raw in texts]
+        out = np.zeros((len(texts), len(self.names)))
+        for lo in range(0, len(self.names), CODERS):
+            group = self.coders[lo : lo + CODERS] if self.coders else [coder(d) for d in self.dictionaries[lo : lo + CODERS]]
+            for i, pieces in enumerate(cut):
+                for k, c in enumerate(group):
+                    out[i, lo + k] = sum(len(c.compress(b + CARRIER)) for b in pieces)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, margin) of each text."""
+        out = [("und", 0.0, 0.0)] * len(texts)
+        raw = [plain(t) if t else b"" for t in texts]
+        some = [i for i, (t, r) in enumerate(zip(texts, raw, strict=True)) if self.names and _has_letter(t or "", r)]
+        for i, size in zip(some, self.sizes([raw[i] for i in some]), strict=True):
+            size = size / len(raw[i])
+            best = int(size.argmin())
+            excess = size - size[best]
+            others = np.delete(excess, best)
+            score = 1.0 / float(np.exp(-SHARPNESS * excess).sum())
+            out[i] = (self.names[best], score, float(others.min()) if len(others) else 1.0)
+        return out
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN, prefix: str = "") -> DataFrame:
@@ -137,7 +171,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     def run(batches):
         model = Classifier(shared.value)
         for batch in batches:
-            got = [model.predict(t.as_py()) for t in batch.column(names.index(text))]
+            got = model.predict(batch.column(names.index(text)).to_pylist())
             pred, score, gap = ([g[i] for g in got] for i in range(3))
             refused = [p == "und" or g < margin for p, g in zip(pred, gap, strict=True)]
             extra = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(refused, pa.bool_())]

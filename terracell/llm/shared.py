@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 CHECKPOINT = "spark.checkpoint.dir"
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether driver and tasks are one process (``local-cluster`` has executors of its own)."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which all executors share.
 
@@ -25,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getConf().get(CHECKPOINT, None)
     if not folder:
-        if not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
+        if not one_process(spark):
             raise RuntimeError(f"{CHECKPOINT} must name a folder that all executors share")
         folder = getattr(spark.sparkContext, "_terracell_folder", None)
         if folder is None:
@@ -38,32 +45,96 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    A lost executor then costs a reread, not a recomputation. ``drop_cuts``
-    removes an application's tables.
+    A lost executor then costs a reread, not a recomputation. The tables go with
+    ``drop_cuts``, at the end of a ``scratch`` block, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not any(p.startswith(shared_folder(spark)) for p in _CUTS):  # the first: all of the application's go with its JVM
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _CUTS.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: paths of the tables cut so far
+_CUTS: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose cut tables are removed at its end, but for those given to the yielded function.
+
+    What the block returns must rest on kept tables only.
+    """
+    begin, kept = len(_CUTS), set()
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 2)[-2] for f in t.inputFiles())
+        return t
+
+    yield keep
+    _delete(spark, {p for p in _CUTS[begin:] if p.rsplit("/", 1)[-1] not in kept})
+
+
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cuts(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove these cut tables, or all of this application if none is named."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    if tables:
-        paths = {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}
-    else:
-        paths = {shared_folder(spark)}
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+    _delete(spark, {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()} if tables else {shared_folder(spark)})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before them where the table has them (in any case) already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def smallest_of_each(df: DataFrame, key: str, order: str, most: int, spread: int = 64) -> DataFrame:
+    """(key, order): the ``most`` smallest distinct values of ``order`` for each key.
+
+    Every task keeps its own smallest first, a key is then ranked in ``spread``
+    parts, and only their smallest meet: no task ranks a whole key, however many
+    rows it has and however often a row repeats. ``order`` is a 64-bit integer.
+    """
+
+    def low(batches):
+        best: dict = {}
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).group_by([key, order]).aggregate([])
+            keys, values = t.column(key).to_pylist(), t.column(order).to_numpy()
+            at: dict = {}
+            for i, k in enumerate(keys):
+                at.setdefault(k, []).append(i)
+            for k, rows in at.items():
+                both = np.unique(np.concatenate((best.get(k, values[:0]), values[rows])))
+                best[k] = both[:most]
+        out = [(k, v) for k, vs in best.items() for v in vs.tolist()]
+        kind = next((f.dataType for f in schema if f.name == key))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], to_arrow_type(kind)), pa.array([v for _, v in out], pa.int64())], names=[key, order])
+
+    rows = df.select(key, F.col(order).cast("bigint").alias(order))
+    schema = rows.schema
+    few = rows.mapInArrow(low, schema).distinct().withColumn("part", F.pmod(F.xxhash64(F.col(order)), F.lit(spread)))
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy(key, "part").orderBy(order))).where(F.col("n") <= most)
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("n") <= most)
+    return few.select(key, order)
+
+
 def gathered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of equal keys in one partition, sorted by keys and ``order``.
 
@@ -152,19 +223,20 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
     ``edges`` has two columns of one integer type. Alternating large and small
     stars: every round hangs nodes under the smallest neighbour they know, so
     paths shrink geometrically; a round is two grouped minima and joins, and is
-    cut. A hub's rows meet its single minimum in a join that AQE can split.
+    cut. Rounds go on until one changes nothing. A hub's rows meet its single
+    minimum in a join that AQE can split.
     """
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     e, kept = cut(e, name), []
     before = _mark(e)
-    for _ in range(most_rounds):
+    while True:
         sym = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -179,8 +251,6 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     drop_cuts(e.sparkSession, *kept)
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
