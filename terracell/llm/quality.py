@@ -7,32 +7,37 @@ truncated singular value decomposition. The sample's latent vectors and labels
 are broadcast; their size is fixed by the parameters, not by the corpus.
 
 Scoring: every document is projected and compared with all sample vectors in
-blocks of documents (exact cosines by a matrix product); its ``NEIGHBOURS``
-nearest vote with their similarity, and the votes are divided by each label's
-share of the sample, so that a rare label can be heard.
+blocks of documents (exact cosines by a matrix product in double precision); its
+``NEIGHBOURS`` nearest vote for their labels with their cosine as weight (nothing
+below 0), and the score is label 1's part of the votes. The sample holds up to
+``SAMPLE`` documents of each label, so a rare label can be heard.
 
 Edge cases: null and empty texts, and texts without terms, have the zero vector
 and get the mean label of the sample as score. Without labelled rows every score
-is 0.5. Null labels and null doc_ids are never learned from. Ties in similarity
-are broken by sample order. Repeated rows each get their row; extra columns are
-ignored.
+is 0.5. Null labels and null doc_ids are never learned from. Cosines that agree to
+``DIGITS`` decimal places are ties, and the earlier sample row (in order of
+doc_id) is nearer. Repeated rows each get their row. A doc_id is learned from
+once: its largest label, and of several texts the one of smallest hash. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import bytewords as B
 from terracell.llm.language_id import held_out
+from terracell.llm.shared import smallest_of_each
 
 SAMPLE = 1500  # training rows per label value: the documented bound of the fit
 BUCKETS = 4096
 RANK = 48
 NEIGHBOURS = 15
 BLOCK = 256  # documents per matrix product
+DIGITS = 9  # of a cosine that count when neighbours are ranked
 THRESHOLD = 0.3
 
 #: outline of a byte: lower, upper, digit, beyond ASCII, space, line end; others stand for themselves
@@ -89,10 +94,8 @@ class Model:
         value, vector = np.linalg.eigh(gram)
         keep = np.argsort(value)[::-1][: min(rank, len(x))]
         keep = keep[value[keep] > 1e-9]
-        self.project = (x.T @ (vector[:, keep] / np.sqrt(value[keep]))).astype(np.float32)
-        self.sample = self._unit(x @ self.project)
-        share = np.array([max(1e-9, (self.labels == k).mean()) for k in (0, 1)])
-        self.weight = 1 / np.where(self.labels == 1, share[1], share[0])
+        self.project = x.T.astype(np.float64) @ (vector[:, keep] / np.sqrt(value[keep]))
+        self.sample = self._unit(x.astype(np.float64) @ self.project)
         self.mean = float(self.labels.mean())
 
     @staticmethod
@@ -101,32 +104,33 @@ class Model:
         return np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
 
     def scores(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-        z = self._unit(weighted(counts, self.idf) @ self.project)
+        z = self._unit(weighted(counts, self.idf).astype(np.float64) @ self.project)
         out = np.full(len(z), self.mean)
-        k = min(neighbours, len(self.sample))
+        n = len(self.sample)
+        k = min(neighbours, n)
         for lo in range(0, len(z), BLOCK):
-            block = z[lo : lo + BLOCK]
-            cosine = block @ self.sample.T
-            near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if k == len(self.sample) else np.sort(np.argpartition(-cosine, k - 1, axis=1)[:, :k], axis=1)
-            vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 4 * self.weight[near]
+            cosine = z[lo : lo + BLOCK] @ self.sample.T
+            # one integer for rank: the rounded cosine, then the earlier row
+            rank = np.rint(cosine * 10**DIGITS).astype(np.int64) * n - np.arange(n)
+            near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+            vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0)
             total = vote.sum(axis=1)
             some = total > 0
             out[lo : lo + BLOCK][some] = (vote * self.labels[near]).sum(axis=1)[some] / total[some]
         return out
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """(doc_id, label): at most ``sample`` rows of smallest hash for each of 0 and 1."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
-    counts = known.groupBy("label").count().withColumnRenamed("label", "of")
-    # a hash bound lets about twice the sample through, so that no task sorts a whole label
-    bound = known.join(F.broadcast(counts), F.col("label") == F.col("of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("count") <= F.lit(float(2 * sample + 100) * (1 << 20)))
-    pick = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return bound.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= sample).select("doc_id", "label")
+def sample_rows(labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """(doc_id, label): at most ``sample`` documents of smallest hash for each of 0 and 1."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id"))
+    few = smallest_of_each(known, "label", "h", sample)
+    # at most 2 * sample rows, so this side may be broadcast
+    return known.join(F.broadcast(few), ["label", "h"]).select("doc_id", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | None:
-    chosen = sample_rows(docs, labels, label, sample)  # at most 2 * sample rows
+    chosen = sample_rows(labels, label, sample)  # at most 2 * sample rows
 
     def counts(batches):
         for batch in batches:
@@ -134,12 +138,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype(np.uint16 if r.max() < 65536 else np.float32).tobytes() for r in c], pa.binary())], names=["doc_id", "label", "counts"])
 
     rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "label", "text")
         .mapInArrow(counts, "doc_id bigint, label int, counts binary").collect()
     )
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["counts"])))
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.stack([np.frombuffer(r["counts"], dtype=np.uint16 if len(r["counts"]) == 2 * BUCKETS else np.float32).astype(np.float32) for r in rows])
     return Model(x, np.array([r["label"] for r in rows]))
 

@@ -5,13 +5,15 @@ import hashlib
 import json
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from terracell.llm import bytewords, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, secret_scan
-from terracell.llm.shared import components
+from terracell.llm.shared import components, smallest_of_each
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -109,6 +111,84 @@ def test_languages_are_told_apart(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == len(rows)
 
 
+def brute_dictionaries(spark, rows, sample):
+    """language -> dictionary, from the definition: distinct rows by hash, an equal share of each, evenly spread pieces."""
+    keyed = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "lang", "text", "xxhash64(doc_id, lang, text) AS h", "crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0 AS held").collect()
+    out = {}
+    for lang in sorted({r.lang for r in keyed if r.lang is not None}):
+        mine = {r.h: r.text for r in keyed if r.lang == lang and r.text is not None and r.doc_id is not None and not r.held}
+        chosen = sorted(mine)[:sample]
+        parts = []
+        for h in chosen:
+            raw = " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz" or ord(c) > 127 else " " for c in mine[h].lower()).split()).encode()
+            share = int(65536 / len(chosen) - 1)
+            if len(raw) > share:
+                size = (share - 4) // 4
+                raw = b" ".join(raw[round(i * (len(raw) - size) / 3) :][:size] for i in range(4))
+            parts += [raw] if raw else []
+        if parts:
+            out[lang] = b" ".join(parts)
+    return out
+
+
+def brute_language(text, dictionaries):
+    raw = language_id.plain(text or "")
+    if not raw.strip():
+        return "und"
+    n = max(1, round(len(raw) / 2048))
+    sizes = {}
+    for lang, d in dictionaries.items():
+        params = zstandard.ZstdCompressionParameters.from_level(6, min_match=3, strategy=zstandard.STRATEGY_LAZY, search_log=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        sizes[lang] = sum(len(c.compress(raw[len(raw) * i // n : len(raw) * (i + 1) // n] + b"0" * 256)) for i in range(n))
+    return min(sorted(sizes), key=sizes.get)
+
+
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(33)
+    rows = [(i, corpus(rng, lang, rng.randint(1, 400)), lang, "s", 0, 0.0) for i, lang in enumerate(["en", "de", "fr"] * 90)]
+    rows += [(1, corpus(rng, "de", 60), "de", "s", 0, 0.0) for _ in range(20)] + rows[:30] + [(k, corpus(rng, "fr", 5), None, "s", 0, 0.0) for k in range(300, 320)] + [(None, corpus(rng, "en", 50), "fr", "s", 0, 0.0)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    for sample in (7, 128):
+        model = language_id.train(docs, sample=sample)
+        assert model == brute_dictionaries(spark, rows, sample)
+    got = {(r.doc_id, r.text): r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert all(lang == brute_language(text, model) for (_, text), lang in got.items())
+
+
+def test_repeated_ids_and_null_languages_do_not_leak_into_training(spark):
+    """2,000 English rows share one doc_id; a row without language shares its id with an English one."""
+    rng = random.Random(34)
+    k = next(i for i in range(10) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(k, corpus(rng, "en", 30), "en", "s", 0, 0.0) for _ in range(2000)] + [(i, corpus(rng, "fr", 30), "fr", "s", 0, 0.0) for i in range(100, 2100)]
+    rows += [(k, "zzqq " * 400, None, "s", 0, 0.0), (k, "xxjj " * 400, "fr", "s", 0, 0.0)]
+    model = language_id.train(spark.createDataFrame(rows, DOCS))
+    assert set(model) == {"en", "fr"} and len(model["en"]) > 10_000 and b"zzqq" not in model["en"] + model["fr"] and b"xxjj" not in model["en"]
+
+
+def test_many_languages_share_the_model(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CODERS", 3)
+    rng = random.Random(35)
+    names = [f"l{i:02}" for i in range(10)]
+    words = {n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(12)] for n in names}
+    rows = [(i, " ".join(rng.choice(words[n]) for _ in range(60)), n, "s", 0, 0.0) for i, n in enumerate(names * 12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.train(docs, model=20_000)
+    assert len(model) == 10 and sum(map(len, model.values())) <= 20_000
+    got = language_id.identify(docs, model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+
+
+def test_the_smallest_of_each_key_are_exact(spark):
+    rng = random.Random(36)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(400)) for _ in range(3000)] + [("c", 5)] * 100
+    got = smallest_of_each(spark.createDataFrame(rows, "k string, v bigint").repartition(7), "k", "v", 20, spread=4).collect()
+    want = {k: sorted({v for j, v in rows if j == k})[:20] for k in ("a", "b", "c", None)}
+    assert {k: sorted(r.v for r in got if r.k == k) for k in want} == want and len(got) == sum(map(len, want.values()))
+    assert smallest_of_each(spark.createDataFrame([], "k string, v bigint"), "k", "v", 3).count() == 0
+
+
 def test_without_training_rows_all_is_undetermined(spark):
     docs = documents(spark, ["some text", None])
     model = language_id.train(docs.where("false"))
@@ -395,3 +475,37 @@ def test_quality_is_learned(spark):
     assert got[400].score == got[401].score
     assert {r.score for r in quality.report(docs, labels.where("false")).collect()} == {0.5}
     assert quality.report(docs.where("false"), labels).count() == 0
+
+
+def brute_scores(model, texts, k=15):
+    """The vote of the nearest sample rows, by sorting all of them for each text."""
+    out = []
+    for row in quality.weighted(quality.term_counts(pa.array(texts)), model.idf).astype(np.float64) @ model.project:
+        norm = np.linalg.norm(row)
+        cosine = [round(float(v @ row) / norm, 9) if norm else 0.0 for v in model.sample]
+        near = sorted(range(len(cosine)), key=lambda i: (-cosine[i], i))[:k]
+        votes = [max(0.0, cosine[i]) for i in near]
+        out.append(sum(w for w, i in zip(votes, near, strict=True) if model.labels[i]) / sum(votes) if sum(votes) else model.mean)
+    return out
+
+
+def test_votes_equal_brute_force_with_ties():
+    """61 equal texts with both labels: the first of them in sample order are the neighbours."""
+    rng = random.Random(37)
+    texts = [prose(rng, rng.randint(3, 40)) for _ in range(80)]
+    texts[10:71] = [texts[10]] * 61
+    labels = np.array([int(rng.random() < 0.5) for _ in texts])
+    model = quality.Model(quality.term_counts(pa.array(texts)), labels)
+    asked = texts + [prose(rng, 20) for _ in range(300)] + ["", None]
+    got = model.scores(quality.term_counts(pa.array(asked)))
+    assert np.allclose(got, brute_scores(model, asked), atol=1e-6)
+    assert abs(got[10] - labels[10:25].mean()) < 1e-9 and got[-1] == got[-2] == model.mean
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = documents(spark, [prose(random.Random(i), 20) for i in range(60)])
+    again = spark.createDataFrame([(1, f"other text {i}", "en", "s", 0, 0.0) for i in range(500)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] * 3 + [(1, 0, 0)], "doc_id bigint, quality int, toxic int")
+    model = quality.train(docs.union(again), labels)
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    assert len(model.labels) == len(learned) and model.labels.tolist() == [i % 2 for i in learned]
