@@ -211,6 +211,14 @@ class Forest:
             x = up[x]
         return x
 
+    def labels(self) -> np.ndarray:
+        """The root of every number."""
+        up = np.array(self.up, dtype=np.int64)
+        while (above := up[up]).tobytes() != up.tobytes():
+            up = above
+        self.up = up.tolist()
+        return up
+
     def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         if a == b:

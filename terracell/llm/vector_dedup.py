@@ -11,20 +11,23 @@ leaves the vectors that may link at all; then those alone meet again and are
 compared by cosine in double precision, so every reported link is verified.
 
 K follows from the number of vectors in the largest label (buckets stay near a
-constant size), T from the collision rate at the threshold, measured on random
-pairs of exactly that cosine, so that the expected miss rate at the threshold is
-below ``miss``.
+constant size), as long as the collision rate at the threshold, measured on random
+pairs of exactly that cosine, is at least ``RATE``; T follows from that rate, so
+that the expected miss rate at the threshold is below ``miss``. ``plan`` returns
+both with that expectation.
 
 Links are counted, not listed: a pair counts only in the first table and bucket
 where its two code lists meet, which both rows can tell, so counts add up and
 per bucket only a spanning forest leaves the task. Identical vectors of a label
-are compared once and counted by their number. A bucket above ``BLOCK`` rows is
-split into pairs of blocks.
+are compared once and counted by their number. A bucket of more than ``BLOCK`` rows is
+split into pairs of blocks that grow with the root of its size, so a bucket of n
+rows is copied sqrt(n)/``GROWTH`` times, and any task holds two blocks.
 
 Edge cases: null labels, null vectors, zero vectors, and vectors with null or
 non-finite components link with nothing. Vectors of different lengths are never
-compared. Rows that share a vec_id count as separate vectors with one id. Extra
-columns are ignored. Empty input gives empty output.
+compared. Rows that share a vec_id are separate vectors with one id: each has its
+own links, with each other too. Rows with a null vec_id link with nothing and have
+a null component. Extra columns are ignored. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -36,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.shared import Forest, components, cut, drop_cuts, gathered, run_starts, sorted_runs
+from terracell.llm.shared import Forest, components, cut, drop_cuts, gathered, run_starts, scratch, sorted_runs
 
 COSINE = 0.93
 PROBES = 2
 BUCKET = 64  # vectors that a bucket should hold on average
-BLOCK = 1024  # rows of a bucket compared at once
+BLOCK = 1024  # rows of a bucket compared at once; larger buckets are split
+GROWTH = 32  # a bucket of n rows is split into blocks of GROWTH * sqrt(n) rows,
+MOST = 1 << 16  # but of no more than these
+RATE = 0.02  # least collision rate of a table at the threshold
 MISS = 1e-4
 SEED = 20240229
 _TRIALS = 4000
@@ -108,11 +114,10 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
 
 
-def plan(dim: int, largest: int, cosine: float = COSINE, probes: int = PROBES, miss: float = MISS) -> tuple[int, int]:
-    """(tables, symbols) for labels of up to ``largest`` vectors."""
+def collision_rate(dim: int, symbols: int, cosine: float = COSINE, probes: int = PROBES) -> float:
+    """How often two vectors of this cosine meet in one table, measured on random pairs."""
     d = 1 << max(1, (dim - 1).bit_length())
-    k = max(1, min(62 // max(1, (2 * d - 1).bit_length()), math.ceil(math.log(max(largest, 1) / BUCKET + 1) / math.log(2 * d))))
-    g = np.random.default_rng([SEED, d, k])
+    g = np.random.default_rng([SEED, d, symbols])
     x = g.normal(size=(_TRIALS, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = g.normal(size=(_TRIALS, dim))
@@ -120,19 +125,33 @@ def plan(dim: int, largest: int, cosine: float = COSINE, probes: int = PROBES, m
     norm = np.linalg.norm(z, axis=1, keepdims=True)
     z = np.divide(z, norm, out=np.zeros_like(z), where=norm > 1e-12)
     y = cosine * x + math.sqrt(1 - cosine * cosine) * z
-    s = signs(d, 1, k, SEED + 1)
-    met = _meet(codes(padded(x), s, probes)[:, 0], codes(padded(y), s, probes)[:, 0]).mean()
-    met = min(max(met, 0.02), 0.999)
-    return max(2, math.ceil(math.log(miss) / math.log(1 - met))), k
+    s = signs(d, 1, symbols, SEED + 1)
+    return float(_meet(codes(padded(x), s, probes)[:, 0], codes(padded(y), s, probes)[:, 0]).mean())
+
+
+def plan(dim: int, largest: int, cosine: float = COSINE, probes: int = PROBES, miss: float = MISS, rate: float = RATE) -> tuple[int, int, float]:
+    """(tables, symbols, expected misses at the threshold) for labels of up to ``largest`` vectors.
+
+    Where the rate asks for it, buckets are made larger (fewer symbols) rather than
+    links lost; with one symbol there are as many tables as the rate asks for.
+    """
+    d = 1 << max(1, (dim - 1).bit_length())
+    k = max(1, min(62 // max(1, (2 * d - 1).bit_length()), math.ceil(math.log(max(largest, 1) / BUCKET + 1) / math.log(2 * d))))
+    while (met := collision_rate(dim, k, cosine, probes)) < rate and k > 1:
+        k -= 1
+    met = min(max(met, 1 / _TRIALS), 0.999)
+    tables = max(2, math.ceil(math.log(miss) / math.log(1 - met)))
+    return tables, k, (1 - met) ** tables
 
 
 def _clean(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
-    """(vec, label, v, dim) of the rows that may link."""
+    """(vec, key) of every row; key is (label, v, dim), or null if the row links with nothing."""
     wide = F.col(vector).cast("array<double>").alias("w")
     df = df.select(F.col(vec_id).cast("bigint").alias("vec"), F.col(label).alias("label"), F.col(vector).alias("v"), wide)
     bad = F.exists("w", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("w", lambda x: x != 0)
-    return df.where(F.col("label").isNotNull() & F.col("v").isNotNull()).where(~bad & some).select("vec", "label", "v", F.size("v").alias("dim"))
+    good = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
+    return df.select("vec", F.when(good & F.coalesce(~bad & some, F.lit(False)), F.struct("label", "v", F.size("v").alias("dim"))).alias("key"))
 
 
 _BUCKET = ["label_key", "tbl", "code"]
@@ -178,11 +197,17 @@ def _indexed(distinct: DataFrame, dim: int, tables: int, symbols: int, probes: i
     return distinct.select("label_key", "vec", "n", "v").mapInArrow(run, _FULL if full else _LIGHT)
 
 
+def _block_size(rows):
+    """Rows of a block for buckets of so many rows (a column)."""
+    return F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.ceil(GROWTH * F.sqrt(rows))))
+
+
 def _dealt(index: DataFrame) -> DataFrame:
     """Index rows by bucket, sorted; a large bucket becomes pairs of blocks (a, b), a row's side being 0 in a and 1 in b."""
     rest = [c for c in index.columns if c not in _BUCKET]
-    big = index.groupBy(*_BUCKET).count().where(F.col("count") > BLOCK).select(*_BUCKET, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    big = cut(big, "large")
+    n = F.col("count")
+    big = index.groupBy(*_BUCKET).count().where(n > BLOCK).select(*_BUCKET, F.ceil(n / _block_size(n)).cast("int").alias("blocks"))
+    big = cut(big.where("blocks > 1"), "large")
     if big.isEmpty():  # the join would only move the whole index once more
         plain = index.withColumns({"a": F.lit(0), "b": F.lit(0), "side": F.lit(0)})
         return gathered(plain, [*_BUCKET, "a", "b"], ["vec"])
@@ -198,9 +223,13 @@ def _matrix(column: pa.ChunkedArray, dtype, shape) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(shape)
 
 
-def _sides(same: bool, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tiles(same: bool, side: np.ndarray):
+    """(left, right, whether they are the same rows): every pair of the two sides once, ``BLOCK`` by ``BLOCK``."""
     left = np.flatnonzero(side == 0)
-    return left, left if same else np.flatnonzero(side == 1)
+    right = left if same else np.flatnonzero(side == 1)
+    for i in range(0, len(left), BLOCK):
+        for j in range(i if same else 0, len(right), BLOCK):
+            yield left[i : i + BLOCK], right[j : j + BLOCK], same and i == j
 
 
 def _shortlist(cosine: float, dim: int):
@@ -219,18 +248,15 @@ def _shortlist(cosine: float, dim: int):
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
                 if hi - lo < 2:
                     continue
-                same = a_block[lo] == b_block[lo]
-                left, right = _sides(same, side[lo:hi])
-                if not len(left) or not len(right):
-                    continue
-                x = _matrix(t.column("q").slice(lo, hi - lo), np.int8, (hi - lo, dim)).astype(np.float32) / scale[lo:hi, None]
-                e = err[lo:hi]
-                room = e[left][:, None] + e[right][None, :] + 3 * e[left][:, None] * e[right][None, :] + np.float32(1e-4)
-                close = (x[left] @ x[right].T >= cosine - room) & (own[lo:hi][left][:, None] | own[lo:hi][right][None, :])
-                if same:
-                    np.fill_diagonal(close, False)
-                alive[lo + left] |= close.any(axis=1)
-                alive[lo + right] |= close.any(axis=0)
+                x = _matrix(t.column("q").slice(lo, hi - lo), np.int8, (hi - lo, dim))
+                e, me, by = err[lo:hi], own[lo:hi], scale[lo:hi, None]
+                for left, right, same in _tiles(a_block[lo] == b_block[lo], side[lo:hi]):
+                    room = e[left][:, None] + e[right][None, :] + 3 * e[left][:, None] * e[right][None, :] + np.float32(1e-4)
+                    close = ((x[left] / by[left]) @ (x[right] / by[right]).T >= cosine - room) & (me[left][:, None] | me[right][None, :])
+                    if same:
+                        np.fill_diagonal(close, False)
+                    alive[lo + left] |= close.any(axis=1)
+                    alive[lo + right] |= close.any(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(vec[alive]))], names=["vec"])
 
     return run
@@ -254,44 +280,39 @@ def _compare(cosine: float, tables: int, width: int, dim: int):
                     continue
                 unit = _matrix(t.column("unit").slice(lo, hi - lo), np.float64, (hi - lo, dim))
                 lists = _matrix(t.column("codes").slice(lo, hi - lo), np.int64, (hi - lo, tables, width))
-                me, same = own[lo:hi], a_block[lo] == b_block[lo]
-                left, right = _sides(same, side[lo:hi])
-                if not len(left) or not len(right):
-                    continue
-                close = unit[left] @ unit[right].T >= cosine
-                close &= me[left][:, None] | me[right][None, :]
-                i, j = np.nonzero(np.triu(close, 1) if same else close)
-                i, j = left[i], right[j]
-                apart = vec[lo + i] != vec[lo + j]
-                i, j = i[apart], j[apart]
-                if not len(i):
-                    continue
-                table, here = int(tbl[lo]), code[lo]
-                for at in range(0, len(i), 100_000):
-                    p, q = i[at : at + 100_000], j[at : at + 100_000]
-                    for before in range(table):
-                        fresh = ~_meet(lists[p, before], lists[q, before])
-                        p, q = p[fresh], q[fresh]
-                    cp, cq = lists[p, table], lists[q, table]
-                    in_p = (cq == cp[:, :1]).any(axis=1)  # they meet in p's own bucket
-                    in_q = (cp == cq[:, :1]).any(axis=1)
-                    first = np.where(in_p & in_q, np.minimum(cp[:, 0], cq[:, 0]), np.where(in_p, cp[:, 0], cq[:, 0]))
-                    mine = first == here
-                    p, q = p[mine], q[mine]
-                    if not len(p):
-                        continue
-                    m = n[lo:hi]
-                    count = np.bincount(p, weights=m[q], minlength=hi - lo) + np.bincount(q, weights=m[p], minlength=hi - lo)
-                    hit = np.flatnonzero(count)
-                    order = hit[np.argsort(vec[lo + hit], kind="stable")]
-                    rank = {int(r): k for k, r in enumerate(order)}
-                    forest = Forest(len(order))
-                    for u, v in zip(p.tolist(), q.tolist(), strict=True):
-                        forest.join(rank[u], rank[v])
-                    for k, r in enumerate(order.tolist()):
-                        x[0].append(int(vec[lo + r]))
-                        x[1].append(int(count[r]))
-                        x[2].append(int(vec[lo + order[forest.root(k)]]))
+                me, m, table, here = own[lo:hi], n[lo:hi], int(tbl[lo]), code[lo]
+                count, forest = np.zeros(hi - lo, dtype=np.int64), Forest(hi - lo)
+                for left, right, same in _tiles(a_block[lo] == b_block[lo], side[lo:hi]):
+                    close = unit[left] @ unit[right].T >= cosine
+                    close &= me[left][:, None] | me[right][None, :]
+                    i, j = np.nonzero(np.triu(close, 1) if same else close)
+                    i, j = left[i], right[j]
+                    apart = vec[lo + i] != vec[lo + j]
+                    i, j = i[apart], j[apart]
+                    for at in range(0, len(i), 100_000):
+                        p, q = i[at : at + 100_000], j[at : at + 100_000]
+                        for before in range(table):
+                            unmet = ~_meet(lists[p, before], lists[q, before])
+                            p, q = p[unmet], q[unmet]
+                        cp, cq = lists[p, table], lists[q, table]
+                        in_p = (cq == cp[:, :1]).any(axis=1)  # they meet in p's own bucket
+                        in_q = (cp == cq[:, :1]).any(axis=1)
+                        first = np.where(in_p & in_q, np.minimum(cp[:, 0], cq[:, 0]), np.where(in_p, cp[:, 0], cq[:, 0]))
+                        mine = first == here
+                        p, q = p[mine], q[mine]
+                        np.add.at(count, p, m[q])
+                        np.add.at(count, q, m[p])
+                        for some in range(0, len(p), 8192):
+                            u, v = p[some : some + 8192], q[some : some + 8192]
+                            label = forest.labels()
+                            new = label[u] != label[v]
+                            for a, b in zip(u[new].tolist(), v[new].tolist(), strict=True):
+                                forest.join(a, b)
+                # rows are sorted by vec, so a root has the smallest vec of its tree
+                for r in np.flatnonzero(count).tolist():
+                    x[0].append(int(vec[lo + r]))
+                    x[1].append(int(count[r]))
+                    x[2].append(int(vec[lo + forest.root(r)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names=["vec", "links", "other"])
 
     return run
@@ -299,39 +320,38 @@ def _compare(cosine: float, tables: int, width: int, dim: int):
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
     """One row per vector: its id, n_links, component_id and kept."""
+    spark = df.sparkSession
     rows = _clean(df, vec_id, vector, label)
-    distinct = rows.groupBy("label", "dim", "v").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("n"))
-    # 64 hashed bits stand for the label: a million labels share one with a chance of 3e-8
-    distinct = cut(distinct.withColumn("label_key", F.xxhash64("label", "dim")), "vectors")
+    distinct = rows.where("key is not null").groupBy("key").agg(F.min("vec").alias("low"), F.count(F.lit(1)).alias("n"))
+    # 64 hashed bits stand for the label: a million labels share one with a chance of 3e-8; vec numbers the distinct vectors
+    distinct = distinct.select("key.*", "low", "n", F.xxhash64("key.label", "key.dim").alias("label_key"), F.monotonically_increasing_id().alias("vec"))
+    with scratch(spark) as keep:
+        distinct = keep(cut(distinct, "vectors"))
+        found = _links(distinct, cosine, probes)
+        links = keep(cut(found.groupBy("vec").agg(F.sum("links").alias("links")), "links"))
+        comp = keep(components(found.select("vec", "other")))
+    rep = (
+        distinct.join(links, "vec", "left").join(comp.withColumnRenamed("node", "vec"), "vec", "left")
+        .select("label", "dim", "v", "n", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "vec").alias("component"))
+    )
+    least = rep.groupBy("component").agg(F.min("low").alias("least"))
+    rep = rep.join(least, "component").select(F.struct("label", "v", "dim").alias("of"), (F.col("n") - 1 + F.col("links")).alias("links"), "least")
+    out = rows.join(rep, F.col("key") == F.col("of"), "left").select("vec", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("least", "vec").alias("component_id"))
+    kept = F.coalesce(F.col("component_id") == F.col("vec"), F.lit(True))
+    return out.select(F.col("vec").alias(vec_id), "n_links", "component_id", kept.alias("kept"))
+
+
+def _links(distinct: DataFrame, cosine: float, probes: int) -> DataFrame:
+    """(vec, links, other): weighted link counts and forest edges, in parts."""
     counts = distinct.groupBy("dim", "label_key").count().groupBy("dim").agg(F.max("count").alias("largest")).collect()
-    found = None
+    found = distinct.select("vec", F.lit(0).cast("bigint").alias("links"), F.col("vec").alias("other")).where("false")
     for dim, largest in sorted((r["dim"], r["largest"]) for r in counts):  # one pass per vector length
-        tables, symbols = plan(dim, largest, cosine, probes)
+        tables, symbols, _ = plan(dim, largest, cosine, probes)
         width = 1 + min(probes, symbols)
         some = distinct.where(F.col("dim") == dim)
         light = cut(_indexed(some, dim, tables, symbols, probes, full=False), "buckets")
         alive = cut(_dealt(light).mapInArrow(_shortlist(cosine, dim), "vec bigint").distinct(), "alive")
-        drop_cuts(df.sparkSession, light)
+        drop_cuts(distinct.sparkSession, light)
         index = cut(_indexed(some.join(alive, "vec", "left_semi").select(*some.columns), dim, tables, symbols, probes, full=True), "buckets")
-        here = _dealt(index).mapInArrow(_compare(cosine, tables, width, dim), "vec bigint, links bigint, other bigint")
-        found = here if found is None else found.union(here)
-    if found is None:
-        return df.select(F.col(vec_id), F.lit(0).cast("bigint").alias("n_links"), F.col(vec_id).cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
-    found = cut(found, "links")
-    links = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    comp = components(found.select("vec", "other"))
-    rep = (
-        distinct.select("label", "dim", "v", F.col("vec").alias("rep"), "n")
-        .join(links.withColumnRenamed("vec", "rep"), "rep", "left")
-        .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "dim", "v", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    )
-    member = rows.join(rep, ["label", "dim", "v"]).select("vec", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component")
-    member = member.groupBy("vec").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    out = df.select(F.col(vec_id).cast("bigint").alias("id")).join(member, F.col("id") == F.col("vec"), "left")
-    return out.select(
-        F.col("id").alias(vec_id),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
-    )
+        found = found.union(_dealt(index).mapInArrow(_compare(cosine, tables, width, dim), "vec bigint, links bigint, other bigint"))
+    return cut(found, "links")

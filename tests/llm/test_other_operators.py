@@ -69,6 +69,44 @@ def test_no_vectors(spark):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_vectors_with_null_and_repeated_ids(spark, monkeypatch, block):
+    """Rows are vectors of their own, whatever their ids; rows without one link with nothing."""
+    for name, value in (("BLOCK", block), ("GROWTH", 1)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    rows = vectors(5, 16, 40)
+    g = random.Random(5)
+    ids = [g.choice([None, 1, 1, i, i, i]) for i in range(len(rows))]
+    brute_rows = [(i, label if ids[i] is not None else None, v) for i, label, v in rows]
+    links = {i: n for i, (n, _, _) in brute(brute_rows).items()}
+    comp = {i: c for i, (_, c, _) in brute(brute_rows).items()}
+    least = {c: min(ids[i] for i in comp if comp[i] == c and ids[i] is not None) for c in comp.values() if ids[c] is not None}
+    want = sorted((ids[i] is None, ids[i] or 0, links[i], least.get(comp[i], -1), ids[i] is None or least[comp[i]] == ids[i]) for i in links)
+    df = spark.createDataFrame([(ids[i], v, label) for i, label, v in rows], "vec_id bigint, embedding array<float>, label int").repartition(3)
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == want and sum(links.values()) > 50
+
+
+def test_recall_of_the_whole_operator(spark):
+    """4,000 vectors, links just above the threshold among them: links found against all cosines."""
+    g = np.random.default_rng(6)
+    base = g.normal(size=(1500, 64))
+    near = [b + s * g.normal(size=64) for b in base for s in (0.35, 0.38) if g.random() < 0.85]
+    x = np.concatenate((base, near)).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.93
+    np.fill_diagonal(close, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").repartition(4)
+    got = sum(r.n_links for r in vector_dedup.near_duplicates(df).collect())
+    assert close.sum() > 1000 and close.sum() >= got >= 0.999 * close.sum()
+
+
+def test_buckets_grow_rather_than_lose_links():
+    tables, symbols, expected = vector_dedup.plan(64, 10**9, rate=0.3)
+    assert symbols < vector_dedup.plan(64, 10**9)[1] and expected <= vector_dedup.MISS
+    assert vector_dedup.plan(64, 10**9, rate=0.99)[1] == 1
+
+
 def test_hadamard_is_orthogonal():
     h = vector_dedup.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and set(np.round(np.abs(h).reshape(-1), 6)) == {0.25}
@@ -76,7 +114,8 @@ def test_hadamard_is_orthogonal():
 
 @pytest.mark.parametrize("largest", [100, 50_000, 10_000_000])
 def test_index_misses_little(largest):
-    tables, symbols = vector_dedup.plan(64, largest)
+    tables, symbols, expected = vector_dedup.plan(64, largest)
+    assert expected <= vector_dedup.MISS
     g = np.random.default_rng(1)
     x = g.normal(size=(1000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
