@@ -17,8 +17,12 @@ a lost executor costs a reread.
    they occur.
 5. packing: what is left becomes pieces of fixed-length sequences.
 
-Null texts are rejected by the first stage. Rows with a null doc_id stay, except
-where their text alone decides. Extra columns pass through until packing.
+Null texts are rejected by the first stage. Stages decide by row: rows that share a
+doc_id are documents of their own (line dedup alone takes them for one document,
+which keeps more), and of rows with equal doc_id and text one stays. Rows with a
+null doc_id stay, except where their text alone decides: the first and the fourth
+stage. Extra columns pass through until packing, whatever their names. A stage's
+table and all it was made from go as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -27,35 +31,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from terracell.llm.shared import cut, table
+from terracell.llm.shared import cut, drop_cuts, fresh, scratch, table
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.train(docs)
-    return language_id.identify(docs, model, prefix="__").where(~F.col("__rejected")).select(docs.columns)
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    out = language_id.identify(docs, language_id.train(docs), prefix=prefix)
+    return out.where(~F.col(prefix + "rejected")).select(docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_boilerplate(docs, removed="__removed")
-    emptied = (F.col("__removed") > 0) & (F.trim("text") == "")
+    (removed,) = fresh(docs, "removed")
+    out = line_dedup.remove_boilerplate(docs, removed=removed)
+    emptied = (F.col(removed) > 0) & (F.trim("text") == "")
     out = out.where(~emptied)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.near_groups(docs, n=SHINGLE, num=SIMILARITY[0], den=SIMILARITY[1])
-    others = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    groups = cut(jaccard_join.grouped(docs, n=SHINGLE, num=SIMILARITY[0], den=SIMILARITY[1]).where("doc is not null and n_shingles > 0"), "groups")
+    key = F.struct("doc", "text_hash")
+    heads = groups.groupBy("group").agg(F.min(key).alias("head"))  # the smallest id of each
+    rows = groups.groupBy("doc", "text_hash", "group").agg(F.count(F.lit(1)).alias("copies")).join(heads, "group")
+    others = rows.where(key != F.col("head")).select(F.col("doc").alias("k"), F.col("text_hash").alias("h"))
+    same = lambda t: (docs["doc_id"] == t["k"]) & (F.xxhash64(docs["text"]) == t["h"])
+    out = docs.join(others, same(others), "left_anti")
+    again = cut(rows.where(key == F.col("head")).where("copies > 1").select(F.col("doc").alias("k"), F.col("text_hash").alias("h")), "repeated")
+    if again.isEmpty():
+        return out.select(docs.columns)
+    # rows that repeat both doc_id and text: any one of them stays
+    one = docs.join(again, same(again)).groupBy("k", "h").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row")).select("row.*")
+    return out.join(again, same(again), "left_anti").select(docs.columns).union(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, windows = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaks = windows.where(F.col("size") >= decontaminate.GRAM).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    leaks = windows.where(F.col("size") >= decontaminate.GRAM).select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["k"]) & (F.xxhash64(docs["text"]) == leaks["h"]), "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,6 +94,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before is not None:
+            drop_cuts(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

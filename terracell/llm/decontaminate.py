@@ -11,8 +11,9 @@ A bitmap of fixed size over the benchmark's fingerprints drops most training
 fingerprints before the join; it has false positives only, the join is exact.
 
 Edge cases: a null or empty text has no words and no hits; null or empty items
-have no windows. Rows that share a doc_id get the union of their hits. Rows with
-a null doc_id are kept and share the null id. Extra columns are ignored.
+have no windows. A row is known by its doc_id and a hash of its text: rows that
+share a doc_id, or have none, are documents of their own. Repeated rows each get
+their row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,33 +102,35 @@ def _prints(texts: pa.Array, sizes: list[int], window: int, gram: int, bitmap: b
 
 
 def _fingerprinted(df: DataFrame, key: str, text: str, sizes: list[int], window: int, gram: int, bitmap=None, whole: bool = False) -> DataFrame:
-    """(key, n_words, hits) per row."""
+    """(key, text_hash, n_words, hits) per row."""
 
     def run(batches):
         bits = bitmap.value if bitmap is not None else None
         for batch in batches:
-            got = list(_prints(batch.column(1), sizes, window, gram, bits, whole))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([h for _, h in got], pa.list_(_HIT))], names=["key", "n_words", "hits"]
-            )
+            got = list(_prints(batch.column(2), sizes, window, gram, bits, whole))
+            columns = [batch.column(0), batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([h for _, h in got], pa.list_(_HIT))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "text_hash", "n_words", "hits"])
 
-    return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key bigint, {_DOC_DDL}")
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key bigint, text_hash bigint, {_DOC_DDL}")
 
 
 def _extend(batches):
     """Join hits -> windows: the words around both k-grams, aligned, must be equal."""
     for batch in batches:
-        out: dict[str, list] = {"key": [], "start": [], "size": [], "items": []}
+        out: dict[str, list] = {"key": [], "text_hash": [], "start": [], "size": [], "items": []}
         for r in batch.to_pylist():
             a, b, size, k = r["ctx"].split(" "), r["b_ctx"].split(" "), r["size"], r["k"]
             for j in range(size - k + 1):
                 x, y = r["left"] - j, r["b_left"] - j
                 if x >= 0 and y >= 0 and x + size <= len(a) and y + size <= len(b) and a[x : x + size] == b[y : y + size]:
                     out["key"].append(r["key"])
+                    out["text_hash"].append(r["text_hash"])
                     out["start"].append(r["pos"] - j)
                     out["size"].append(size)
                     out["items"].append(r["items"])
-        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["size"], pa.int32()), pa.array(out["items"], pa.list_(pa.int64()))], names=list(out))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
 def contamination(
@@ -142,8 +145,9 @@ def contamination(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, windows).
 
-    documents: (doc_id, n_words) for every row; windows: (doc_id, start, size,
-    items), one row per fingerprint and window that occurs in a benchmark item.
+    documents: (doc_id, text_hash, n_words) for every row; windows: (doc_id,
+    text_hash, start, size, items), one row per fingerprint and window that occurs in
+    a benchmark item.
     """
     spark = docs.sparkSession
     every = list(range(1, window + 1))
@@ -158,10 +162,10 @@ def contamination(
     bits = spark.sparkContext.broadcast(bitmap_of(bench, BITS))
     base = cut(_fingerprinted(docs, doc_id, doc_text, sizes, window, gram, bitmap=bits), "fingerprints")
     k = F.when(F.col("size") >= window, F.lit(gram)).otherwise(F.col("size"))
-    hits = base.select("key", F.explode("hits").alias("h")).select("key", "h.*").withColumn("k", k)
-    joined = hits.join(bench, (hits.fp == bench.fp) & (hits["size"] == bench.b_size)).select("key", "size", "pos", "left", "ctx", "k", "b_left", "b_ctx", "items")
-    windows = joined.mapInArrow(_extend, "key bigint, start int, size int, items array<bigint>")
-    return base.select(F.col("key").alias(doc_id), "n_words"), windows.withColumnRenamed("key", doc_id)
+    hits = base.select("key", "text_hash", F.explode("hits").alias("h")).select("key", "text_hash", "h.*").withColumn("k", k)
+    joined = hits.join(bench, (hits.fp == bench.fp) & (hits["size"] == bench.b_size)).select("key", "text_hash", "size", "pos", "left", "ctx", "k", "b_left", "b_ctx", "items")
+    windows = joined.mapInArrow(_extend, "key bigint, text_hash bigint, start int, size int, items array<bigint>")
+    return base.select(F.col("key").alias(doc_id), "text_hash", "n_words"), windows.withColumnRenamed("key", doc_id)
 
 
 def _digest(items: Column) -> Column:
@@ -171,12 +175,12 @@ def _digest(items: Column) -> Column:
 def report(docs: DataFrame, benchmark: DataFrame, at_least: int = 2) -> DataFrame:
     """Per document: words, words inside hit windows, items hit, and the verdict."""
     base, windows = contamination(docs, benchmark)
-    per = windows.groupBy("doc_id").agg(
+    per = windows.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(start, start + size - 1)"))))).cast("bigint").alias("n_hit"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    ).withColumnRenamed("doc_id", "hit_id")
+    )
     none = F.array().cast("array<bigint>")
-    out = base.join(per, base.doc_id.eqNullSafe(per.hit_id), "left").withColumn("items", F.coalesce("items", none))
+    out = base.join(per, base.doc_id.eqNullSafe(per.hit_id) & (base.text_hash == per.hit_hash), "left").withColumn("items", F.coalesce("items", none))
     return out.select(
         "doc_id",
         "n_words",

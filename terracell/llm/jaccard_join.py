@@ -12,6 +12,13 @@ the overlap out, and left as soon as positions grow too large. Two prefixes of a
 linked pair also share a least number of tokens, and histograms of whole sets
 differ by no more than the sets may, which prunes pairs further.
 
+Long lists. Lists of more than some ``SPLIT`` entries, found by counting the tokens
+of one in ``SAMPLED`` sets, are split into blocks by a hash of set and token. Inside
+each block the pairs that may link are joined. As every token deals its sets anew,
+what belongs together mostly comes together across tokens. Then, of each split
+list, the entries outside its largest component (all of them, in chunks) meet every
+block, so no pair of entries is left out, and no task holds a whole list.
+
 Answer level. What may link falls into candidate groups, mostly near copies of one
 another. The sets of a group meet in one place, where the answers (overlaps with
 all members) of one set are derived from those of a similar set already computed,
@@ -32,8 +39,9 @@ copies puts one entry a task into a list.
 Edge cases: null and empty texts, and texts without words, have the empty set,
 n_shingles 0 and link with nothing. A text of fewer words than ``n`` has one
 shingle, the whole sequence. Rows that share a doc_id are separate documents with
-one id. Rows with a null doc_id take part in no links and keep a null component.
-Extra columns are ignored; empty input gives empty output.
+one id (``grouped`` tells them apart by a hash of the text). Rows with a null
+doc_id take part in no links and keep a null component. Extra columns are ignored;
+empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -48,13 +56,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.llm import bytewords as B
-from terracell.llm.shared import Forest, bitmap_of, components, cut, gathered, in_bitmap, run_starts, sorted_runs
+from terracell.llm.shared import Forest, bitmap_of, components, cut, first_of_equals, gathered, in_bitmap, run_starts, scratch, sorted_runs
 
 N = 3
 NUM, DEN = 90, 100
 COMMON = 64  # prefix tokens in more sets than this may be put last
 HEAVY = 1 << 19  # at most so many are: 6 MB to each task
 SHORT = 16  # lists up to this length are compared pair by pair
+SPLIT = 1024  # entries of a block of a long list
+SAMPLED = 16  # the lengths of lists are estimated from one set in so many
 HOME_TOKENS = 1 << 21  # tokens of the sets that meet in one place: 16 MB, and some 150 MB of work
 DELEGATES = 16  # sets of each block of a larger group that meet those of the others
 MAP_BITS = 25  # the map of the documents that are read again: 4 MB
@@ -157,23 +167,21 @@ def prefix(s: np.ndarray, tokens: np.ndarray, rank: np.ndarray, num: int, den: i
     return np.concatenate((rare, late[: p - len(rare)]))
 
 
-_LISTS = "kind int, token bigint, a bigint, b bigint, size_a int, size_b int, pos int"
+_LISTS = "kind int, token bigint, a bigint, b bigint, size_a int, size_b int, pos int, block int, blocks int"
 
 
 def _split_lists(short: int, num: int, den: int):
     """Sorted entries -> kind 0: pairs of short lists (pos: whether this may be their first shared token); 1: entries of long ones; 2: (a, pos) in how many short lists a is."""
 
     def run(batches):
-        for t in sorted_runs(batches, ["token"]):
-            token, digest, size, pos = (t.column(c).to_numpy() for c in ("token", "digest", "size", "pos"))
-            fresh = np.ones(len(token), dtype=bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
-            token, digest, size, pos = token[fresh], digest[fresh], size[fresh].astype(np.int64), pos[fresh].astype(np.int64)
+        for t in sorted_runs(first_of_equals(batches, ["token", "block", "digest"]), ["token", "block"]):
+            token, digest, size, pos, block, blocks = (t.column(c).to_numpy() for c in ("token", "digest", "size", "pos", "block", "blocks"))
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
             new = np.ones(len(token), dtype=bool)
-            new[1:] = token[1:] != token[:-1]
+            new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
             run_of = np.cumsum(new) - 1
             length = np.bincount(run_of)[run_of]
-            many = length > short
+            many = (length > short) | (blocks > 1)
             few = (length > 1) & ~many
             pairs = []
             for d in range(1, short):
@@ -200,34 +208,44 @@ def _split_lists(short: int, num: int, den: int):
                 np.concatenate((size[i], size[many], none[2])).astype(np.int32),
                 np.concatenate((size[j], none[1], none[2])).astype(np.int32),
                 np.concatenate((early, pos[many], times)).astype(np.int32),
+                np.concatenate((none[0], block[many], none[2])).astype(np.int32),
+                np.concatenate((none[0], blocks[many], none[2])).astype(np.int32),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "token", "a", "b", "size_a", "size_b", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split(" ")[0] for f in _LISTS.split(", ")])
 
     return run
 
 
-def _candidates(num: int, den: int):
-    """Sorted entries of long lists -> (a, b): spanning edges of the pairs that may link.
+def _candidates(num: int, den: int, keys: list[str]):
+    """Sorted entries of long lists, or of blocks of them -> (a, b): spanning edges of the pairs that may link.
 
-    A list is a sequence of blocks of equal size, each sorted by position. Blocks
-    whose size rules a link out are skipped, and a block is left where positions
-    grow too large for the overlap. Entries already joined are not looked at again.
+    A list is a sequence of runs of equal size, each sorted by position. Runs
+    whose size rules a link out are skipped, and a run is left where positions
+    grow too large for the overlap. Entries already joined (their column
+    ``component`` is equal, or they have been joined here) are not looked at again,
+    nor entries of one ``side``, unless that is 0.
     """
 
     def run(batches):
-        for t in sorted_runs(batches, ["token"]):
-            begin = run_starts(t, ["token"])
+        for t in sorted_runs(batches, keys):
+            begin = run_starts(t, keys)
+            component, side = t.column("component").to_numpy(), t.column("side").to_numpy()
             digest, few, longs = t.column("digest").to_numpy(), t.column("few").to_numpy(), t.column("longs")
             size, pos = t.column("size").to_numpy().astype(np.int64), t.column("pos").to_numpy().astype(np.int64)
             cells = t.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, CELLS)
             a, b = [], []
             for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), t.num_rows], strict=True):
                 s, p, f, c = size[lo:hi], pos[lo:hi], few[lo:hi], cells[lo:hi].astype(np.int32)
-                sets = [set(x) for x in longs.slice(lo, hi - lo).to_pylist()]
                 heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
                 tails, block_size = np.append(heads[1:], hi - lo), s[heads]
-                label = np.arange(hi - lo)
-                group: dict[int, list[int]] = {}
+                label = np.unique(component[lo:hi], return_inverse=True)[1]
+                by_label = np.argsort(label, kind="stable")
+                group = dict(enumerate(np.split(by_label, np.cumsum(np.bincount(label))[:-1])))
+                joined: list[tuple[int, int]] = []
+                if len(group) < 2:
+                    continue
+                at = side[lo:hi]
+                sets = [set(x) for x in longs.slice(lo, hi - lo).to_pylist()]
                 for x in range(hi - lo):
                     k = int(np.searchsorted(block_size, s[x]))  # later blocks only: a pair is seen from its smaller set
                     while k < len(heads) and den * s[x] >= num * block_size[k]:
@@ -237,21 +255,21 @@ def _candidates(num: int, den: int):
                         first = max(int(heads[k]), x + 1)
                         last = int(heads[k]) + int(np.searchsorted(p[heads[k] : tails[k]], block_size[k] - o, side="right"))
                         y = np.arange(first, max(first, last))
-                        y = y[label[y] != label[x]]
+                        y = y[(label[y] != label[x]) & ((at[y] != at[x]) | (at[x] == 0))]
                         y = y[np.abs(c[y] - c[x]).sum(axis=1) <= s[x] + block_size[k] - 2 * o]
                         least = int(least_shared(s[x], block_size[k], num, den))
                         for j in y.tolist():
                             if label[j] != label[x] and len(sets[x] & sets[j]) + min(f[x], f[j]) >= least:
                                 one, two = int(label[x]), int(label[j])
-                                mine, other = group.pop(one, [x]), group.pop(two, [j])
+                                mine, other = group.pop(one), group.pop(two)
                                 if len(mine) < len(other):
                                     one, mine, other = two, other, mine
                                 label[other] = one
-                                group[one] = mine + other
+                                group[one] = np.concatenate((mine, other))
+                                joined.append((x, j))
                         k += 1
-                for members in group.values():
-                    a += digest[lo + np.array(members[1:])].tolist()
-                    b += [int(digest[lo + members[0]])] * (len(members) - 1)
+                a += [int(digest[lo + x]) for x, _ in joined]
+                b += [int(digest[lo + j]) for _, j in joined]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -331,7 +349,7 @@ def _meet(num: int, den: int):
     """Sorted (place, block, digest, set) -> (a, b) forest edges of the links inside each block."""
 
     def run(batches):
-        for t in sorted_runs(batches, ["place", "block"]):
+        for t in sorted_runs(first_of_equals(batches, ["place", "block", "digest"]), ["place", "block"]):
             begin = run_starts(t, ["place", "block"])
             a, b = [], []
             for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), t.num_rows], strict=True):
@@ -372,10 +390,27 @@ def _between(place: DataFrame, found: DataFrame, meet) -> DataFrame:
     return cut(found.union(meet(cells.withColumn("block", F.col("b") * F.col("chunks") + F.col("c")))), "found")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def _across(long: DataFrame, label: DataFrame) -> DataFrame:
+    """Entries of split lists, dealt to cells (token, block, chunk) in which those that may not yet be joined meet.
+
+    The entries outside a list's largest component visit all its blocks, in chunks
+    of some ``SPLIT``; the entries of a block stay in it, once for each chunk.
+    """
+    rows = long.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    main = rows.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    rest = rows.join(main, "token").where("component <> main").drop("main")
+    chunks = rest.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("chunks"))
+    of = ["token", "digest", "size", "pos", "component"]
+    visit = rest.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(3)), F.col("chunks")).cast("int"))
+    visit = visit.select(*of, F.lit(1).alias("side"), "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    stay = rows.join(chunks, "token").select(*of, F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block")
+    return visit.union(stay)
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Per row: doc, text_hash, n_shingles, component_id, and group, which tells components apart where ids repeat."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     heavy = spark.sparkContext.broadcast(frequent_tokens(docs.select("text"), n, num, den))
 
     def prefixes(batches):
@@ -383,7 +418,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         seen: set[int] = set()
         for batch in batches:
             sizes, digests, parts, cells = [], [], [], []
-            for s in shingle_sets(batch.column(1), n):
+            for s in shingle_sets(batch.column(2), n):
                 sizes.append(len(s))
                 d = _digest(s) if len(s) else None
                 digests.append(d)
@@ -391,22 +426,64 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
                 parts.append(prefix(s, tokens, rank, num, den) if fresh else None)
                 cells.append(histogram(s) if fresh else None)
                 seen.add(d)
-            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.int64()), _lists_of(parts), pa.array(cells, pa.list_(pa.int16()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "size", "digest", "tokens", "cells"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.int64()), _lists_of(parts), pa.array(cells, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "size", "digest", "tokens", "cells"])
 
     known = docs.where("doc is not null")
-    member = cut(known.mapInArrow(prefixes, "doc bigint, size int, digest bigint, tokens array<bigint>, cells array<smallint>"), "prefixes")
+    member = cut(known.mapInArrow(prefixes, "doc bigint, text_hash bigint, size int, digest bigint, tokens array<bigint>, cells array<smallint>"), "prefixes")
+    with scratch(spark) as keep:
+        comp = keep(_linked(known, member, n, num, den))
+
+    least = member.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    label = least.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    smallest = label.join(comp.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("low"))
+    label = label.join(smallest, "component", "left")
+    label = label.where((F.col("copies") > 1) | F.col("low").isNotNull()).select(F.col("digest").alias("of"), F.coalesce("low", "rep").alias("label"), "component")
+    out = member.select("doc", "text_hash", "size", "digest").join(label, F.col("digest") == F.col("of"), "left")
+    out = out.select("doc", "text_hash", F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("label", "doc").alias("component_id"), F.coalesce("component", "digest").alias("group"))
+
+    def count_only(batches):
+        for batch in batches:
+            sizes = [len(s) for s in shingle_sets(batch.column(2), n)]
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, batch.column(1), pa.array(sizes, pa.int64()), none, none], names=["doc", "text_hash", "n_shingles", "component_id", "group"])
+
+    return out.union(docs.where("doc is null").mapInArrow(count_only, out.schema))
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    return grouped(docs, doc_id, text, n, num, den).select(F.col("doc").alias(doc_id), "n_shingles", "component_id")
+
+
+def _linked(known: DataFrame, member: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the sets with links."""
+    spark = known.sparkSession
     cells = member.where("cells is not null").groupBy("digest").agg(F.first("cells").alias("cells"))
     entries = member.select("digest", "size", F.posexplode("tokens").alias("pos", "token"))
-    entries = gathered(entries.select("token", "digest", "size", "pos"), ["token"], ["size", "pos", "digest"])
+    sampled = entries.where(F.pmod(F.xxhash64("digest", F.lit(2)), F.lit(SAMPLED)) == 0).select("token", "digest").distinct()
+    hot = sampled.groupBy("token").count().where(F.col("count") * SAMPLED >= SPLIT)
+    hot = cut(hot.select("token", F.greatest(F.lit(2), F.ceil(F.col("count") * SAMPLED / SPLIT)).cast("int").alias("blocks")), "hot")
+    any_hot = not hot.isEmpty()
+    # the planner broadcasts the table of long lists only while it is small
+    entries = entries.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if any_hot else entries.withColumn("blocks", F.lit(1))
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("digest", "token"), F.col("blocks")).cast("int"))
+    entries = gathered(entries.select("token", "block", "digest", "size", "pos", "blocks"), ["token", "block"], ["size", "pos", "digest"])
     lists = cut(entries.mapInArrow(_split_lists(SHORT, num, den), _LISTS), "lists")
 
-    long = lists.where("kind = 1").select("token", F.col("a").alias("digest"), F.col("size_a").alias("size"), "pos")
+    long = lists.where("kind = 1").select("token", "block", "blocks", F.col("a").alias("digest"), F.col("size_a").alias("size"), "pos")
     few = lists.where("kind = 2").groupBy(F.col("a").alias("digest")).agg(F.sum("pos").cast("int").alias("few"))
     place = long.groupBy("digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("longs"))
     place = place.join(few, "digest", "left").join(cells, "digest")
     place = cut(place.select("digest", "longs", F.coalesce("few", F.lit(0)).alias("few"), "cells"), "places")
-    spanning = gathered(long.join(place, "digest"), ["token"], ["size", "pos", "digest"]).mapInArrow(_candidates(num, den), "a bigint, b bigint")
+
+    def spanning_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return gathered(rows.join(place, "digest"), keys, ["size", "pos", "digest"]).mapInArrow(_candidates(num, den, keys), "a bigint, b bigint")
+
+    spanning = spanning_of(long.withColumns({"component": F.col("digest"), "side": F.lit(0)}), ["token", "block"])
+    if any_hot:
+        spanning = cut(spanning, "spanning")
+        spanning = spanning.union(spanning_of(_across(long.where("blocks > 1"), components(spanning)), ["token", "block", "chunk"]))
 
     # pairs of short lists: the tokens they share there, and could share in long lists, must suffice
     manies = place.select("digest", F.size("longs").alias("many"))
@@ -428,19 +505,20 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     group = components(cut(spanning.union(shared.select("a", "b")), "candidates"))
 
     # each candidate group meets in one place, its sets made from one document each
-    source = member.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))
+    source = member.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc", "text_hash")).alias("from"), F.first("size").alias("size"))
     place = group.select(F.col("node").alias("digest"), F.col("component").alias("place")).join(source, "digest")
     blocks = place.groupBy("place").agg(F.ceil(F.sum("size") / HOME_TOKENS).cast("int").alias("blocks"))
     place = cut(place.join(blocks, "place").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "meeting")
-    wanted = spark.sparkContext.broadcast(bitmap_of(place.select(F.xxhash64("doc").alias("fp")), MAP_BITS))
+    wanted = spark.sparkContext.broadcast(bitmap_of(place.select(F.xxhash64("from.doc", "from.text_hash").alias("fp")), MAP_BITS))
 
     def whole(batches):
+        seen: set[int] = set()
         for batch in batches:
             may = pa.array(in_bitmap(wanted.value, batch.column(0).to_numpy(), MAP_BITS))
-            got = [(_digest(s), s.tobytes()) for s in shingle_sets(batch.column(1).filter(may), n) if len(s)]
+            got = [(d, s.tobytes()) for s in shingle_sets(batch.column(1).filter(may), n) if len(s) and (d := _digest(s)) not in seen and not seen.add(d)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["digest", "shingles"])
 
-    sets = known.select(F.xxhash64("doc").alias("fp"), "text").mapInArrow(whole, "digest bigint, shingles binary")
+    sets = known.select(F.xxhash64("doc", "text_hash").alias("fp"), "text").mapInArrow(whole, "digest bigint, shingles binary")
 
     def meet(where: DataFrame) -> DataFrame:
         at = gathered(where.select("digest", "place", "block").join(sets, "digest"), ["place", "block"], ["digest"])
@@ -449,20 +527,4 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     found = cut(meet(place), "found")
     if not place.where("blocks > 1").isEmpty():
         found = _between(place.where("blocks > 1"), found, meet)
-    comp = components(found)
-
-    least = member.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    label = least.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    smallest = label.join(comp.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("low"))
-    label = label.join(smallest, "component", "left").select("digest", F.coalesce("low", "rep").alias("label"), ((F.col("copies") > 1) | F.col("low").isNotNull()).alias("shared"))
-    label = label.where("shared").select(F.col("digest").alias("of"), "label")
-    out = member.select("doc", "size", "digest").join(label, F.col("digest") == F.col("of"), "left")
-    out = out.select("doc", F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("label", "doc").alias("component_id"))
-
-    def count_only(batches):
-        for batch in batches:
-            sizes = [len(s) for s in shingle_sets(batch.column(1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(0)], names=["doc", "n_shingles", "component_id"])
-
-    unknown = docs.where("doc is null").mapInArrow(count_only, "doc bigint, n_shingles bigint, component_id bigint")
-    return out.union(unknown).withColumnRenamed("doc", doc_id)
+    return components(found)

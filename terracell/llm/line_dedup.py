@@ -11,10 +11,10 @@ A line is compared without surrounding white space; blank lines are never
 removed by themselves. Lines are identified by two independent 64-bit hashes.
 
 Edge cases: null and empty texts stay as they are. A null site counts as no
-site. A null doc_id is never the first document unless all are null, and then
-nothing is removed from them. Rows that repeat a doc_id are one document: what
-is kept in it is kept in each. A document whose lines all go becomes ''. Extra
-columns pass through.
+site. Rows with a null doc_id are never first, and nothing is removed from them;
+their sites count. Rows that repeat a doc_id are one document: what is kept in it
+is kept in each. A document whose lines all go becomes ''. Extra columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.shared import cut
+from terracell.llm.shared import cut, fresh
 
 SITES = 6  # distinct sites that make a line boilerplate
 NEAR = 2.0  # estimates within this factor of the threshold are counted exactly
@@ -41,9 +41,9 @@ def _key(line: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """(doc, site, h, g) of every line that is not blank."""
-    lines = docs.select(F.col(doc_id).alias("doc"), F.col(site).alias("site"), F.explode(F.transform(_split(F.col(text)), _key)).alias("k"))
-    return lines.where("k is not null").select("doc", "site", "k.h", "k.g")
+    """(doc, text_hash, site, i, h, g) of every line that is not blank; ``i`` is its place in the text."""
+    lines = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(site).alias("site"), F.posexplode(F.transform(_split(F.col(text)), _key)).alias("i", "k"))
+    return lines.where("k is not null").select("doc", "text_hash", "site", "i", "k.h", "k.g")
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
@@ -67,18 +67,19 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.drop(removed)
     lines = cut(line_keys(docs, doc_id, text, site), "lines")
     spread = cut(boilerplate(lines, sites), "boilerplate")
-    gone = (
-        lines.select("doc", "h", "g")
-        .join(spread, ["h", "g"])
-        .where(F.col("doc") != F.col("first_doc"))
-        .groupBy(F.col("doc").alias("__gone_doc")).agg(F.collect_set(F.struct("h", "g")).alias("__gone"))
+    of, of_text, gone, parts, kept = fresh(docs, "of", "of_text", "gone", "parts", "kept")
+    away = (
+        lines.select("doc", "text_hash", "i", "h", "g").join(spread, ["h", "g"]).where(F.col("doc") != F.col("first_doc"))
+        .groupBy(F.col("doc").alias(of), F.col("text_hash").alias(of_text)).agg(F.collect_set("i").alias(gone))
     )
-    parts, away = _split(F.col(text)), F.col("__gone")
-    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(away, _key(x)), F.lit(False)))
-    joined = docs.join(gone, docs[doc_id] == gone["__gone_doc"], "left").withColumn("__kept", F.when(away.isNotNull(), kept))
-    cleaned = F.when(away.isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    count = F.when(away.isNull(), F.lit(0)).otherwise(F.size(parts) - F.size("__kept")).cast("bigint")
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns], count.alias(removed))
+    joined = docs.join(away, (docs[doc_id] == away[of]) & (F.xxhash64(docs[text]) == away[of_text]), "left")
+    joined = joined.withColumn(parts, F.when(F.col(gone).isNotNull(), _split(F.col(text))))
+    # the places that stay, by a hash set: linear in the lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    joined = joined.withColumn(kept, F.when(F.col(parts).isNotNull(), F.transform(stay, lambda i: F.col(parts)[i])))
+    text_now = F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    count = F.when(F.col(kept).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("bigint")
+    return joined.select(*[text_now.alias(c) if c == text else F.col(c) for c in docs.columns], count.alias(removed))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

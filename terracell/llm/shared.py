@@ -165,26 +165,45 @@ def in_bitmap(bitmap: bytes, fp: np.ndarray, bits: int) -> np.ndarray:
     return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None = None) -> Iterator[pa.Table]:
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole key runs from batches sorted by ``keys``.
 
-    Each yielded table holds complete runs only; a run is carried over batch
-    ends. With ``limit``, rows of one run beyond it are the caller's duty to
-    have split before (by a block number among the keys).
+    Each yielded table holds complete runs only; a run is carried over batch ends.
+    Bounding a run is the caller's duty (by a block number among the keys).
     """
-    rest: pa.Table | None = None
+    rest: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        last = run_starts(t, keys)[-1]
+        last = int(run_starts(t, keys)[-1])
+        if last == 0 and rest:  # one run: does it go on with the one before?
+            last = len(run_starts(pa.concat_tables([rest[-1].slice(rest[-1].num_rows - 1), t.slice(0, 1)]), keys)) - 1
+            if last:
+                yield pa.concat_tables(rest)
+                rest = []
+            rest.append(t)
+            continue
         if last:
-            yield t.slice(0, last)
-        rest = t.slice(last)
-    if rest is not None and rest.num_rows:
-        yield rest
+            yield pa.concat_tables([*rest, t.slice(0, last)])
+            rest = []
+        rest.append(t.slice(last))
+    if rest:
+        yield pa.concat_tables(rest)
+
+
+def first_of_equals(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of successive rows with equal keys the first only."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, dtype=bool)
+        new[run_starts(pa.Table.from_batches([batch]), keys)] = True
+        here = [batch.column(k)[0].as_py() for k in keys]
+        new[0] = here != last
+        last = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
+        yield batch if new.all() else batch.filter(pa.array(new))
 
 
 def run_starts(t: pa.Table, keys: list[str]) -> np.ndarray:

@@ -311,3 +311,51 @@ def test_pipeline_decontaminates_by_windows(spark, tmp_path):
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in p.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [1, 3, 4, 6, 7]
+
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Copies with one id, a unique text that shares a copy's id, a contaminated and a clean row of one id, null ids."""
+    import corpus_pipeline as p
+
+    rng = random.Random(14)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, unique, other, third = prose(40), prose(40), prose(40), prose(40)
+    near = one.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, one), (5, one), (5, unique), (5, near), (7, other), (7, other), (7, other), (None, one), (None, one), (9, third), (8, third), (8, third + " x"), (3, ""), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCUMENTS)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in p.keep_one_of_each_group(spark, docs, "").collect()))
+    thirds = [x for x in got if x[0] in (8, 9)]
+    assert len(thirds) == 1 and thirds[0][0] == 8
+    assert [x for x in got if x not in thirds] == sorted([(1, one), (5, unique), (7, other), (0, one), (0, one), (3, ""), (3, ""), (3, "")])
+    spark.createDataFrame([(1, one)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = sorted((r.doc_id or 0, r.text or "") for r in p.drop_contaminated(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted((i or 0, t or "") for i, t in rows if t not in (one, near))
+
+
+@pytest.mark.parametrize("name", ["__rejected", "_score", "__removed", "removed", "k", "h", "lang_pred", "group", "doc", "text_hash"])
+def test_pipeline_stages_leave_clashing_columns_alone(spark, tmp_path, name):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, "a b c d e f g h i")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stems = {"en": ["the", "ing", "tion", "and"], "de": ["der", "ung", "sch", "keit"]}
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(stems[g]) for _ in range(30)) + f" q{i}", g, f"s{i}", 1, 0.25) for i in range(20) for g in ["de" if i % 2 else "en"]]
+    docs = spark.createDataFrame(rows, f"{DOCUMENTS}, {name} double")
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {r[name] for r in out.select(name).collect()} == {0.25}
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from terracell.llm.shared import cut, scratch
+
+    with scratch(spark) as keep:
+        a, b = cut(spark.range(3), "gone"), keep(cut(spark.range(4), "kept"))
+        gone = a.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(gone) and a.count() == 3
+    assert not os.path.exists(gone) and b.count() == 4

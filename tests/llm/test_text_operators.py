@@ -5,15 +5,17 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from terracell.llm import bytewords, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, secret_scan
-from terracell.llm.shared import components, smallest_of_each
+from terracell.llm.shared import components, first_of_equals, smallest_of_each, sorted_runs
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -263,7 +265,7 @@ def test_jaccard_groups_equal_brute_force(spark, n, num, den):
 
 def test_jaccard_with_frequent_tokens_long_lists_and_split_groups(spark, monkeypatch):
     texts = near_copies(random.Random(5))
-    for name, value in (("COMMON", 3), ("SHORT", 2), ("HOME_TOKENS", 600), ("DELEGATES", 2), ("ANSWERS", 2), ("CELLS", 8)):
+    for name, value in (("COMMON", 3), ("SHORT", 2), ("HOME_TOKENS", 600), ("DELEGATES", 2), ("ANSWERS", 2), ("CELLS", 8), ("SPLIT", 6), ("SAMPLED", 2)):
         monkeypatch.setattr(jaccard_join, name, value)
     monkeypatch.setattr(jaccard_join.frequent_tokens, "__defaults__", (3, 1 << 19))
     got = {r.doc_id: r.component_id for r in jaccard_join.near_groups(documents(spark, texts).repartition(3)).collect()}
@@ -509,3 +511,72 @@ def test_repeated_ids_are_learned_from_once(spark):
     model = quality.train(docs.union(again), labels)
     learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
     assert len(model.labels) == len(learned) and model.labels.tolist() == [i % 2 for i in learned]
+
+
+def test_runs_are_whole_and_equals_go_once():
+    rng = random.Random(38)
+    rows = sorted((rng.randrange(6), rng.randrange(3)) for _ in range(200))
+    for size in (1, 3, 17, 500):
+        batches = [pa.RecordBatch.from_pydict({"k": [k for k, _ in rows[i : i + size]], "v": [v for _, v in rows[i : i + size]]}) for i in range(0, 200, size)]
+        batches.insert(1, batches[0].slice(0, 0))
+        whole = [t.to_pylist() for t in sorted_runs(iter(batches), ["k"])]
+        assert [(r["k"], r["v"]) for t in whole for r in t] == rows
+        assert sum(len({r["k"] for r in t}) for t in whole) == len({k for k, _ in rows})
+        assert [(r["k"], r["v"]) for b in first_of_equals(iter(batches), ["k", "v"]) for r in b.to_pylist()] == sorted(set(rows))
+
+
+@pytest.mark.parametrize("split", [8, 64])
+def test_long_lists_are_split_without_losing_links(spark, monkeypatch, split):
+    """Hub tokens: a passage in every text, near copies in chains, and repeated ids and texts."""
+    for name, value in (("SPLIT", split), ("SAMPLED", 2), ("SHORT", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(39)
+    hub = prose(rng, 30)
+    texts = [hub + " " + prose(rng, rng.randint(0, 12)) for _ in range(90)]
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(60):  # each differs from the one before in one word at the end
+        chain[-1 - i % 30] = f"d{i}"
+        texts.append(" ".join(chain))
+    texts += texts[5:60:5]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_groups(documents(spark, texts).repartition(5)).collect()}
+    assert got == groups(texts, 3, 90, 100)
+    again = documents(spark, texts).union(documents(spark, texts[40:44]).withColumn("doc_id", F.lit(3).cast("bigint")))
+    rows = {(r.doc, r.text_hash): (r.n_shingles, r.component_id, r.group) for r in jaccard_join.grouped(again).collect()}
+    want = groups(texts + texts[40:44], 3, 90, 100)
+    ids = [*range(len(texts)), 3, 3, 3, 3]
+    hashes = [r.h for r in again.selectExpr("xxhash64(text) AS h").collect()]
+    least = {}
+    for k, (_, c) in want.items():
+        least[c] = min(least.get(c, 10**9), ids[k])
+    assert {key: v[:2] for key, v in rows.items()} == {(ids[k], hashes[k]): (n, least[c]) for k, (n, c) in want.items()}
+    assert len({v[2] for v in rows.values()}) == len({c for _, c in want.values()})
+
+
+def test_rows_that_share_an_id_are_decided_apart(spark):
+    passage = "one two three four five six seven eight nine"
+    items = spark.createDataFrame([(1, passage), (2, passage)], "item_id bigint, text string")
+    rows = [(5, passage), (5, "clean"), (None, passage), (None, "clean"), (5, passage)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(docs, items).collect())
+    assert got == [(0, 1, 0, 0), (0, 9, 9, 2), (5, 1, 0, 0), (5, 9, 9, 2), (5, 9, 9, 2)]
+
+
+def test_boilerplate_and_null_or_repeated_ids(spark):
+    rows = [(None, "note\nx", "a"), (None, "note", "b"), (4, "note\ny", "c"), (4, "z\nnote", "d"), (7, "note\nu\nnote", "e"), (7, "note\nv", "f"), (9, None, "g"), (9, "note", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(((r.doc_id or 0, r.text, r.n_removed) for r in line_dedup.remove_boilerplate(docs, sites=6).collect()), key=str)
+    assert got == sorted([(0, "note\nx", 0), (0, "note", 0), (4, "note\ny", 0), (4, "z\nnote", 0), (7, "u", 2), (7, "v", 1), (9, None, 0), (9, "", 1)], key=str)
+
+
+@pytest.mark.parametrize("names", [("of", "of_text"), ("gone", "parts"), ("kept", "lines"), ("__gone", "__gone_doc"), ("__kept", "GONE")])
+def test_line_dedup_leaves_clashing_columns_alone(spark, names):
+    docs = documents(spark, [f"row {i}\nsame" for i in range(12)]).withColumnRenamed("score", names[0]).withColumn(names[1], F.lit("x"))
+    out = line_dedup.remove_boilerplate(docs, sites=3)
+    assert out.columns == [*docs.columns, "n_removed"] and [(r[names[0]], r[names[1]], r.n_removed) for r in out.orderBy("doc_id").collect()][1] == (0.5, "x", 1)
+
+
+def test_a_long_document_is_cleaned_in_linear_time(spark):
+    began = time.time()
+    texts = ["\n".join(f"line {i}" for i in range(60_000))] * 7
+    got = line_dedup.remove_boilerplate(documents(spark, texts), sites=6).select("n_removed").collect()
+    assert sorted(r.n_removed for r in got) == [0] + [60_000] * 6 and time.time() - began < 60
