@@ -150,18 +150,6 @@ def assemble_product(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return out.select(*keys, total("v").alias("value"), F.sqrt(squares).alias("unc"), samples.alias("samples"))
 
 
-def bounded_extremes(df: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
-    """Count, minimum and maximum over at most ``most`` smallest values of a bin (a bounded list per bin).
-
-    These are not the extremes of bins that hold more; ``extremes`` takes every observation.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(value)
-    kept = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
-    return kept.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-
-
 def extremes(df: DataFrame, keys: list[str], value: str, capacity: int) -> DataFrame:
     """Count, minimum and maximum over all observations of a bin, and whether they exceed ``capacity``."""
     n = F.count(value)

@@ -111,9 +111,9 @@ def areal_flags(df: DataFrame, keys: list[str], value: str, nlat: int, nlon: int
 
 
 def location_flags(df: DataFrame, climate: DataFrame, keys: list[str], value: str, factor: float = 8.0) -> DataFrame:
-    """df with the location flags from quartiles per cell and calendar day (q1, q2, q3)."""
+    """df with the location flags from quartiles per cell and calendar day (q1, q2, q3); where these are missing, no flag."""
     low, high = range_test(F.col(value), F.col("q1"), F.col("q2"), F.col("q3"), factor)
-    return df.join(climate, keys).withColumn("qc", combine(flag(low, Bit.LOCATION_LOW), flag(high, Bit.LOCATION_HIGH)))
+    return df.join(climate, keys, "left").withColumn("qc", combine(flag(low, Bit.LOCATION_LOW), flag(high, Bit.LOCATION_HIGH)))
 
 
 def latent_flag(design: DataFrame, constraint: DataFrame, bit: int, below: float = 0.2) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.functions import geometry, timebase
+from terracell.functions.grid import Axis
 from terracell.functions.physics import hat, wendland4
+from terracell.operators import joins, temporal
 from terracell.operators.gmrf import coo, mesh
 
 
@@ -43,6 +45,36 @@ def covariate(column: str, scale: float = 1.0) -> Element:
     return Element(column, 1, lambda df: df.where(F.col(column).isNotNull()).select("row", F.lit(0).cast("bigint").alias("col"), (F.col(column) * scale).alias("value")))
 
 
+def geography(nodes: DataFrame, lat: Axis, lon: Axis, scale: float = 1.0) -> Element:
+    """A map's value at the observation, interpolated from its nodes (``readers.covariate_map``) and rescaled."""
+
+    def design(df: DataFrame) -> DataFrame:
+        met = joins.bilinear(df.select("row", "lat", "lon"), nodes, lat, lon, "value")
+        return met.select("row", F.lit(0).cast("bigint").alias("col"), (F.col("value") * scale).alias("value"))
+
+    return Element("geography", 1, design)
+
+
+def insitu_land_bias(breaks: DataFrame, least: int | None = None) -> tuple[Element, DataFrame]:
+    """(element, its columns): one bias for each break of a station, active from the break before up to it.
+
+    Breaks below the likelihood ``least`` are left out. An observation after its
+    station's last break has no entry. The columns are (bias_index, station, break_day).
+    """
+    kept = breaks.where(F.col("likelihood") >= least) if least is not None else breaks
+    kept = kept.select("station", "break_day").distinct()
+    first = temporal.offsets(kept.groupBy("station").agg(F.count(F.lit(1)).alias("n")), "station")  # a row a station
+    rank = F.row_number().over(Window.partitionBy("station").orderBy("break_day")) - 1
+    columns = kept.join(first.select("station", "offset"), "station").select((F.col("offset") + rank).alias("bias_index"), "station", "break_day")
+
+    def design(df: DataFrame) -> DataFrame:
+        active = joins.next_break(df.select("row", "station", "day"), kept, inclusive=True).where(F.col("next_break").isNotNull())
+        met = active.join(columns.withColumnRenamed("break_day", "next_break"), ["station", "next_break"])
+        return met.select("row", F.col("bias_index").alias("col"), F.lit(1.0).alias("value"))
+
+    return Element("insitu_land_bias", kept.count(), design), columns
+
+
 def bias(group: str, groups: int) -> Element:
     """Indicator of the observation's bias group (NULL: none)."""
     return Element("bias", groups, lambda df: df.where(F.col(group).isNotNull()).select("row", F.col(group).cast("bigint").alias("col"), F.lit(1.0).alias("value")))

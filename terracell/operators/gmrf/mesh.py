@@ -95,7 +95,7 @@ def locate_arrays(mesh: Mesh, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         step = 4 ** (mesh.level - depth)
         children = row[:, None] * 4 + np.arange(4)
         low = np.stack([_smallest(p, _corners(mesh, children[:, k], step)) for k in range(4)], axis=1)
-        row = children[np.arange(len(p)), low.argmax(axis=1)]
+        row = children[np.arange(len(p)), low.round(12).argmax(axis=1)]  # on an edge, the first child
     return row, weights(p, mesh.points[mesh.triangles[row]])
 
 
@@ -161,6 +161,20 @@ def exhaustive(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return df.withColumn("face", out)
 
 
+def write(mesh: Mesh, spark: SparkSession, path: str) -> None:
+    """The mesh's tables as Parquet: points and triangles."""
+    for name, frame in zip(("point", "triangle"), mesh.frames(spark), strict=True):
+        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read(spark: SparkSession, path: str) -> Mesh:
+    """A mesh from its tables."""
+    points = spark.read.parquet(f"{path}/point").orderBy("point_id").toPandas()
+    triangles = spark.read.parquet(f"{path}/triangle").orderBy("triangle_id").toPandas()
+    level = round(np.log2(len(triangles) / 20) / 2)
+    return Mesh(level, points[["x", "y", "z"]].to_numpy(), triangles[["a", "b", "c"]].to_numpy(), triangles["triangle_id"].to_numpy())
+
+
 def within(df: DataFrame, active: DataFrame) -> DataFrame:
     """Rows located in active triangles (of any one level)."""
     return df.join(active.select("triangle_id").distinct(), "triangle_id", "left_semi")

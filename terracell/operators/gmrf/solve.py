@@ -1,20 +1,28 @@
 """Solving, sampling and optimising Gaussian models.
 
-Up to ``DENSE_MOST`` parameters a system is collected to the driver, a size that
-is checked first, and solved by a dense Cholesky factor. Larger systems are
-solved where they are by preconditioned conjugate gradients, a sparse product per
-step; state vectors of a few doubles per parameter are the only thing iterated.
+A system whose factor fits one machine is collected (its size is the model's, not
+the data's) and solved by the sparse factor of ``sparse``: solutions, deviations,
+samples and traces. Larger systems are solved where they are by preconditioned
+conjugate gradients, a sparse product per step; state vectors of a few doubles per
+parameter are the only thing iterated. Many small systems (regions, times) are
+solved each in its own group.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DENSE_MOST = 5000
+from terracell.operators.gmrf import spde
+from terracell.operators.gmrf.mesh import Mesh
+from terracell.operators.gmrf.sparse import Entries, SparseFactor
+
+DENSE_MOST = 5000  # parameters of a dense matrix; larger systems are ``Entries``
 
 
 def dense(matrix: DataFrame, size: int) -> np.ndarray:
@@ -90,7 +98,7 @@ def trace_of_inverse_product(q: np.ndarray, dq: np.ndarray) -> float:
 
 
 def map_solution(posterior: DataFrame, information: DataFrame, size: int) -> np.ndarray:
-    return Factor.of(dense(posterior, size)).solve(dense_vector(information, size))
+    return SparseFactor(Entries.collected(posterior, size)).solve(dense_vector(information, size))
 
 
 def conjugate_gradients(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-6, most: int | None = None) -> DataFrame:
@@ -114,7 +122,10 @@ def conjugate_gradients(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-6
             break
         ap = matrix.join(s.select(F.col("k").alias("col"), "p"), "col").groupBy(F.col("row").alias("k")).agg(F.sum(F.col("value") * F.col("p")).alias("ap"))
         t = _keep(s.join(ap, "k", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0))))
-        alpha = rz / t.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        curve = t.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        if not curve > 0:
+            raise ArithmeticError("conjugate gradients: the matrix is not positive definite")
+        alpha = rz / curve
         t = t.select("k", "m", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
         norm, new = t.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("m") * F.col("r"))).first()
         s = t.withColumn("p", F.col("m") * F.col("r") + (new / rz) * F.col("p"))
@@ -130,7 +141,7 @@ def _keep(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of its own
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
@@ -159,8 +170,21 @@ def negative_log_likelihood(theta: np.ndarray, prior, design: np.ndarray, precis
     return 0.5 * (fit + f.logdet() - Factor.of(q).logdet() - float(np.log(precision).sum()))
 
 
-def minimise(cost, start: np.ndarray, most: int = 20, step: float = 1e-4) -> tuple[np.ndarray, float]:
-    """BFGS with central differences and a halving line search; steps are at most 1 long."""
+def marginal_likelihood(theta: np.ndarray, prior: Callable, information: Entries, vector: np.ndarray, moment: float = 0.0, logdet: float = 0.0) -> tuple[float, np.ndarray]:
+    """(cost, gradient) of hyperparameters, from a model's sums: J'WJ, J'Wy, y'Wy and log|W|.
+
+    ``prior(theta)`` gives the prior precision and its derivatives. Traces come from
+    the factors' entries of the inverse, so no dense matrix is made.
+    """
+    q, changes = prior(theta)
+    one, both = SparseFactor(q), SparseFactor(q + information)
+    x = both.solve(vector)
+    cost = 0.5 * (moment - float(vector @ x) + both.logdet() - one.logdet() - logdet)
+    return cost, np.array([0.5 * (both.trace_with(d) - one.trace_with(d) + float(x @ (d @ x))) for d in changes])
+
+
+def minimise(cost: Callable, start: np.ndarray, most: int = 20, step: float = 1e-4, gradient: Callable | None = None) -> tuple[np.ndarray, float]:
+    """BFGS with a halving line search; steps are at most 1 long. Without ``gradient``, central differences."""
     x = np.asarray(start, dtype=float)
     given = cost
 
@@ -170,8 +194,10 @@ def minimise(cost, start: np.ndarray, most: int = 20, step: float = 1e-4) -> tup
         except np.linalg.LinAlgError:
             return np.inf
 
-    def gradient(at):
-        return np.array([(cost(at + step * e) - cost(at - step * e)) / (2 * step) for e in np.eye(len(at))])
+    if gradient is None:
+
+        def gradient(at):
+            return np.array([(cost(at + step * e) - cost(at - step * e)) / (2 * step) for e in np.eye(len(at))])
 
     h, value, g = np.eye(len(x)), cost(x), gradient(x)
     for _ in range(most):
@@ -193,11 +219,24 @@ def minimise(cost, start: np.ndarray, most: int = 20, step: float = 1e-4) -> tup
     return x, float(value)
 
 
-def solve_regions(designs: DataFrame, observations: DataFrame, prior: float) -> DataFrame:
-    """(region, col, value): each region's own small posterior mean, solved where its rows are.
+@functools.lru_cache(maxsize=2)
+def _mesh(level: int) -> Mesh:
+    """A worker keeps the meshes it has made."""
+    return Mesh.build(level)
+
 
-    designs: (region, row, col, value); observations: (row, q, r). A region holds
-    the vertices of one coarse triangle, so its system is bounded by the mesh
+def region_view(level: int, region_level: int, region: int, neighbours: bool = False) -> spde.View:
+    """The view of a coarse triangle, by its id (see ``mesh.parent``)."""
+    index = int(np.searchsorted(_mesh(region_level).ids, region))
+    return (spde.neighbourhood if neighbours else spde.super_triangle)(_mesh(level), region_level, index)
+
+
+def solve_regions(designs: DataFrame, observations: DataFrame, prior: float | Callable) -> DataFrame:
+    """(region, col, value): each region's own posterior mean, solved where its rows are.
+
+    designs: (region, row, col, value); observations: (row, q, r). ``prior`` is a
+    number (times the identity over the columns that occur), or gives for a region
+    its columns and their prior precision. A region's system is bounded by the mesh
     levels, not by the data: only sums per vertex pair enter the group.
     """
     import pandas as pd
@@ -208,15 +247,28 @@ def solve_regions(designs: DataFrame, observations: DataFrame, prior: float) ->
     matrix = one.select("region", "q", "a", F.explode("e").alias("b")).groupBy("region", F.col("a.col").alias("i"), F.col("b.col").alias("j")).agg(F.sum(F.col("a.value") * F.col("q") * F.col("b.value")).alias("value"))
 
     def one_region(frame: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(frame["i"])
-        at = {c: k for k, c in enumerate(names)}
-        q, b = np.eye(len(names)) * prior, np.zeros(len(names))
-        for i, j, v in zip(frame["i"], frame["j"], frame["value"], strict=True):
-            if j < 0:
-                b[at[i]] += v
-            else:
-                q[at[i], at[j]] += v
-        return pd.DataFrame({"region": frame["region"].iloc[0], "col": names, "value": np.linalg.solve(q, b)})
+        region = int(frame["region"].iloc[0])
+        if callable(prior):
+            names, q = prior(region)
+        else:
+            names = np.unique(frame["i"])
+            q = Entries.diagonal(np.full(len(names), float(prior)))
+        i, j, v = (frame[c].to_numpy() for c in ("i", "j", "value"))
+        right = j < 0
+        at = np.searchsorted(names, i)
+        b = np.bincount(at[right], weights=v[right], minlength=len(names))
+        q = q + Entries.of(len(names), at[~right], np.searchsorted(names, j[~right]), v[~right])
+        return pd.DataFrame({"region": region, "col": names, "value": SparseFactor(q).solve(b)})
 
     both = matrix.unionByName(vector.select("region", "i", "j", "value"))
     return both.groupBy("region").applyInPandas(one_region, "region bigint, col bigint, value double")
+
+
+def matern_regions(level: int, region_level: int, log_sigma: float, log_rho: float) -> Callable:
+    """A prior for ``solve_regions``: a Matern field on each coarse triangle's own view."""
+
+    def prior(region: int) -> tuple[np.ndarray, Entries]:
+        view = region_view(level, region_level, region)
+        return view.vertices, spde.precision(view, log_sigma, log_rho)
+
+    return prior

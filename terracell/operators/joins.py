@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terracell.functions import timebase
 from terracell.functions.grid import Axis
 
 
@@ -49,22 +50,30 @@ def only(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return df.join(wanted.select(key).distinct(), key, "left_semi")
 
 
-def next_break(obs: DataFrame, breaks: DataFrame, station: str = "station", day: str = "day", break_day: str = "break_day", inclusive: bool = False) -> DataFrame:
+def next_break(obs: DataFrame, breaks: DataFrame, station: str = "station", day: str = "day", break_day: str = "break_day", inclusive: bool = False, period: int = 366) -> DataFrame:
     """Each observation with its station's first break after its day (NULL if none).
 
-    One sort per station instead of a range join: breaks and observations are
-    laid in one sequence from late to early, and every observation takes the
-    last break seen. A station with very many rows can be split by day range
-    first, as breaks are few.
+    No range join: within a station's ``period`` days, breaks and observations are
+    laid in one sequence from late to early, and every observation takes the last
+    break seen. What later periods hold comes as one more mark, the first break of
+    the next period that has any, found on one row a station and period. So a task
+    sorts a station's period, not its whole series.
     """
-    marks = breaks.select(F.col(station), F.col(break_day).alias("_day"), F.col(break_day).alias("_break"), F.lit(None).cast("boolean").alias("_obs"))
-    rows = obs.withColumn("_day", F.col(day)).withColumn("_break", F.lit(None).cast(breaks.schema[break_day].dataType)).withColumn("_obs", F.lit(True))
-    both = rows.unionByName(marks, allowMissingColumns=True)
+    kind = breaks.schema[break_day].dataType
+    of = lambda c: F.floor(c / period).cast("bigint")
+    marks = breaks.where(F.col(break_day).isNotNull()).select(F.col(station), F.col(break_day).cast("double").alias("_day"), F.col(break_day).alias("_break"), of(F.col(break_day)).alias("_period"))
+    first = marks.groupBy(station, "_period").agg(F.min("_break").alias("_break"))
+    asked = obs.where(F.col(day).isNotNull()).select(station, of(F.col(day)).alias("_period")).distinct().withColumn("_break", F.lit(None).cast(kind))
+    periods = first.unionByName(asked).groupBy(station, "_period").agg(F.max("_break").alias("_break"))
+    later = F.last("_break", ignorenulls=True).over(Window.partitionBy(station).orderBy(F.col("_period").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    carried = periods.select(station, "_period", later.alias("_break")).where(F.col("_break").isNotNull()).withColumn("_day", F.lit(float("inf")))
+    rows = obs.withColumns({"_day": F.col(day).cast("double"), "_break": F.lit(None).cast(kind), "_period": of(F.col(day)), "_obs": F.lit(True)})
+    both = rows.unionByName(marks.unionByName(carried.select(*marks.columns)), allowMissingColumns=True)
     # on equal days a break comes before the observation only if it counts for it
     tie = F.when(F.col("_obs"), F.lit(1 if inclusive else 0)).otherwise(F.lit(0 if inclusive else 1))
-    w = Window.partitionBy(station).orderBy(F.col("_day").desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(station, "_period").orderBy(F.col("_day").desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("next_break", F.last("_break", ignorenulls=True).over(w))
-    return seen.where("_obs").drop("_day", "_break", "_obs")
+    return seen.where("_obs").drop("_day", "_break", "_obs", "_period")
 
 
 def nearest_date(rows: DataFrame, files: DataFrame, day: str, file_day: str, within: int = 10) -> DataFrame:
@@ -85,25 +94,24 @@ def bilinear(obs: DataFrame, nodes: DataFrame, lat: Axis, lon: Axis, value: str,
     """Observations with a covariate interpolated from a regular grid of nodes (lat_idx, lon_idx, value).
 
     Weights are piecewise linear; longitude is periodic; beyond the first and
-    last row of centres the nearest row's mean stands in. Each observation is
-    expanded to its four nodes, which meet the grid in an equi-join.
+    last row of centres the nearest row's mean stands in. The grid is packed once
+    into squares of four neighbouring nodes, so each observation meets one row in
+    one equi-join and is neither copied nor grouped again. A missing node counts as
+    absent; observations without any node drop out.
     """
     y = (F.col(lat_column) - (lat.start + lat.step / 2)) / lat.step
     x = (F.col(lon_column) - (lon.start + lon.step / 2)) / lon.step
-    rows = obs.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in obs.columns else obs
-    rows = rows.withColumn("_y", F.floor(y).cast("int")).withColumn("_x", F.floor(x).cast("int")).withColumn("_fy", y - F.floor(y)).withColumn("_fx", x - F.floor(x))
-    corner = lambda dy, dx: F.struct(
-        (F.col("_y") + dy).alias("i"),
-        F.pmod(F.col("_x") + dx, F.lit(lon.count)).cast("int").alias("j"),
-        ((F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))).alias("w"),
-    )
-    four = rows.select("*", F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("_c"))
     edge = nodes.where(F.col("lat_idx").isin(0, lat.count - 1)).groupBy("lat_idx").agg(F.avg(value).alias("_v"))
     beyond = edge.select(F.when(F.col("lat_idx") == 0, -1).otherwise(lat.count).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(lon.count - 1))).alias("j"), "_v")
     table = nodes.select(F.col("lat_idx").alias("i"), F.col("lon_idx").alias("j"), F.col(value).alias("_v")).unionByName(beyond)
-    met = four.select("*", F.col("_c.i").alias("i"), F.col("_c.j").alias("j"), F.col("_c.w").alias("_w")).join(table, ["i", "j"])
-    keep = [c for c in obs.columns]
-    return met.groupBy("_row", *keep).agg(F.sum(F.col("_w") * F.col("_v")).alias(value)).drop("_row")
+    corners = [(dy, dx) for dy in (0, 1) for dx in (0, 1)]
+    square = F.explode(F.array(*[F.struct((F.col("i") - dy).alias("i"), F.pmod(F.col("j") - dx, F.lit(lon.count)).cast("int").alias("j"), F.lit(k).alias("k")) for k, (dy, dx) in enumerate(corners)]))
+    squares = table.select("_v", square.alias("_s")).groupBy(F.col("_s.i").alias("_i"), F.col("_s.j").alias("_j")).agg(*[F.max(F.when(F.col("_s.k") == k, F.col("_v"))).alias(f"_v{k}") for k in range(4)])
+    met = obs.withColumns({"_y": y, "_x": x, "_i": F.floor(y).cast("int"), "_j": F.pmod(F.floor(x).cast("int"), F.lit(lon.count)).cast("int")}).join(squares, ["_i", "_j"])
+    fy, fx = F.col("_y") - F.floor("_y"), F.col("_x") - F.floor("_x")
+    terms = [F.col(f"_v{k}") * (fy if dy else 1 - fy) * (fx if dx else 1 - fx) for k, (dy, dx) in enumerate(corners)]
+    total = sum((F.coalesce(t, F.lit(0.0)) for t in terms[1:]), F.coalesce(terms[0], F.lit(0.0)))
+    return met.select(*obs.columns, F.when(F.coalesce(*terms).isNotNull(), total).alias(value))
 
 
 def bias_group(source: Column, lat: Column) -> Column:
@@ -136,8 +144,8 @@ def steps_with_files(steps: DataFrame, files: DataFrame, policy: str = "not_allo
     raise ValueError(f"unknown policy {policy!r}")
 
 
-def bias_by_year(breaks: DataFrame, years: DataFrame, station: str = "station", break_day: str = "break_day") -> DataFrame:
-    """(station, year, next_break): the break period active on 1 January of each year (``years``: year, day)."""
-    stations = breaks.select(station).distinct()
-    rows = stations.join(F.broadcast(years.select("year", "day")))  # a calendar of years against the stations
+def bias_by_year(breaks: DataFrame, first: int, last: int, station: str = "station", break_day: str = "break_day") -> DataFrame:
+    """(station, year, next_break): the break period active on 1 January of each year from first to last."""
+    rows = breaks.select(station).distinct().withColumn("year", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))))
+    rows = rows.withColumn("day", timebase.day_number(F.make_date(F.col("year").cast("int"), F.lit(1), F.lit(1))))
     return next_break(rows, breaks, station, "day", break_day).select(station, "year", "next_break")

@@ -22,17 +22,17 @@ def merged_uncertainty(df: DataFrame, rho: DataFrame, keys: list[str], unc: str
 
     ``rho``: (src_i, src_j, rho), one row per unordered pair. Sources are few, so
     the pairs of a cell come from its own collected sources: one grouped pass
-    over the field and no self-join. The correlation table goes into the plan as
-    a map, whose size is the square of the number of instruments.
+    over the field and no join. The correlation table goes into the plan as a literal
+    map, whose size is the square of the number of instruments.
     """
-    pairs = rho.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "src_i", "src_j"), "rho"))).alias("rho_map"))
+    pairs = {f"{r['src_i']}|{r['src_j']}": r["rho"] for r in rho.select("src_i", "src_j", "rho").collect()}
+    known = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]) if pairs else F.create_map().cast("map<string,double>")
     cells = df.groupBy(*keys).agg(
         F.count(unc).alias("n_valid"),
         F.sum(F.coalesce(F.col(unc) * F.col(unc), F.lit(0.0))).alias("_own"),
         F.array_sort(F.collect_list(F.struct(F.col("source").alias("s"), F.coalesce(F.col(unc), F.lit(0.0)).alias("u")))).alias("_parts"),
     )
-    crossed = cells.join(F.broadcast(pairs))  # one row
-    look = lambda a, b: F.coalesce(F.col("rho_map")[F.concat_ws("|", a, b)], F.col("rho_map")[F.concat_ws("|", b, a)], F.lit(0.0))
+    look = lambda a, b: F.coalesce(F.try_element_at(known, F.concat_ws("|", a, b)), F.try_element_at(known, F.concat_ws("|", b, a)), F.lit(0.0))
     later = lambda a: F.filter("_parts", lambda b: b["s"] > a["s"])
     both = F.aggregate(F.flatten(F.transform("_parts", lambda a: F.transform(later(a), lambda b: 2 * look(a["s"], b["s"]) * a["u"] * b["u"]))), F.lit(0.0), lambda acc, x: acc + x)
-    return crossed.select(*keys, "n_valid", F.try_divide(F.sqrt(F.col("_own") + both), F.col("n_valid")).alias("merged_unc"))
+    return cells.select(*keys, "n_valid", F.try_divide(F.sqrt(F.col("_own") + both), F.col("n_valid")).alias("merged_unc"))

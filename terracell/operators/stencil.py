@@ -3,14 +3,19 @@
 Latitude is mirrored at the poles without repeating the edge row, longitude is
 periodic. Means and dilation are separable: cells are padded by shifted copies of
 the edge only and two passes of row-frame windows do the rest, so the work does
-not grow with the window's area. Quartiles and neighbour checks expand each cell
-to its window and aggregate, which has a partial stage before the shuffle.
+not grow with the window's area. Quartiles need a window's values themselves: the
+grid is cut into square tiles, a cell goes to the tiles whose windows reach it (a
+few copies for the margin, however wide the window), and each tile takes its
+quartiles over views of one array.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terracell.functions import geometry
 
@@ -54,29 +59,73 @@ def dilate(df: DataFrame, keys: list[str], flag: str, nlat: int, nlon: int, widt
     return got.withColumn(out, F.coalesce(F.col("_tm") > 0, F.lit(False))).drop("_tm")
 
 
-def expand(df: DataFrame, keys: list[str], values: list[str], nlat: int, nlon: int, half_lat: Column | int, half_lon: Column | int) -> DataFrame:
-    """One row per cell and window it belongs to: keys, target lat_idx/lon_idx, dy, dx, values.
+def tiles(df: DataFrame, nlat: int, nlon: int, side: int, half: int) -> DataFrame:
+    """df once for each tile (``_ti``, ``_tj``) whose cells' windows reach the cell, at its place there (``_y``, ``_x``).
 
-    A cell reaches the windows around its own place and, at the poles, around its
-    mirror images. Half widths may depend on the row.
+    Beyond the poles and the date line a cell stands at its mirror images and repeats.
     """
-    hy = F.lit(half_lat) if isinstance(half_lat, int) else half_lat
-    hx = F.lit(half_lon) if isinstance(half_lon, int) else half_lon
-    rows = df.select(*keys, *values, F.col(ROW).alias("_i"), F.col(COL).alias("_j"), hy.alias("_hy"), hx.alias("_hx"))
-    i = F.col("_i")
-    images = F.array(i, F.when((i >= 1) & (i <= F.col("_hy")), -i), F.when((i <= nlat - 2) & (i >= nlat - 1 - F.col("_hy")), 2 * (nlat - 1) - i))
-    rows = rows.withColumn("_im", F.explode(F.filter(images, lambda x: x.isNotNull())))
-    rows = rows.withColumn("dy", F.explode(F.sequence(-F.col("_hy"), F.col("_hy")))).withColumn("dx", F.explode(F.sequence(-F.col("_hx"), F.col("_hx"))))
-    rows = rows.withColumn(ROW, (F.col("_im") + F.col("dy")).cast("int")).withColumn(COL, F.pmod(F.col("_j") + F.col("dx"), F.lit(nlon)).cast("int"))
-    return rows.where(F.col(ROW).between(0, nlat - 1)).select(*keys, ROW, COL, "dy", "dx", *values)
+    i, j = F.col(ROW).cast("int"), F.col(COL).cast("int")
+    rows = F.array(i, F.when((i >= 1) & (i <= half), -i), F.when((i <= nlat - 2) & (i >= nlat - 1 - half), 2 * (nlat - 1) - i))
+    out = df.withColumn("_r", F.explode(F.filter(rows, lambda x: x.isNotNull())))
+    around = F.sequence(F.ceil((-half - j) / nlon).cast("int"), F.floor((nlon - 1 + half - j) / nlon).cast("int"))
+    out = out.withColumn("_c", F.explode(F.transform(around, lambda k: j + k * nlon)))
+    reached = lambda at, count: F.sequence(F.greatest(F.lit(0), F.ceil((at - half - side + 1) / side).cast("int")), F.least(F.lit((count - 1) // side), F.floor((at + half) / side).cast("int")))
+    out = out.withColumn("_ti", F.explode(reached(F.col("_r"), nlat))).withColumn("_tj", F.explode(reached(F.col("_c"), nlon)))
+    return out.select(*df.columns, "_ti", "_tj", (F.col("_r") - F.col("_ti") * side + half).alias("_y"), (F.col("_c") - F.col("_tj") * side + half).alias("_x"))
+
+
+def quartiles_of(windows: np.ndarray) -> np.ndarray:
+    """(rows, 3) linearly interpolated quartiles of the known (not NaN) values of each row; NaN where there are none."""
+    ordered = np.sort(windows, axis=1)  # NaN last
+    n = (~np.isnan(ordered)).sum(axis=1)
+    out = np.full((len(ordered), 3), np.nan)
+    rows = np.flatnonzero(n)
+    for k, share in enumerate((0.25, 0.5, 0.75)):
+        at = share * (n[rows] - 1)
+        low = np.floor(at).astype(int)
+        high = np.ceil(at).astype(int)
+        out[rows, k] = ordered[rows, low] * (1 - (at - low)) + ordered[rows, high] * (at - low)
+    return out
+
+
+def _tiled_quartiles(df: DataFrame, keys: list[str], value: str, nlat: int, nlon: int, half: int, wide: tuple[str, str] | None = None) -> DataFrame:
+    """df with q1, q2, q3 of windows of ``half`` cells around each, or of the half widths in the columns ``wide``."""
+    side = max(64, half)
+    names = df.columns
+
+    def one_tile(table: pa.Table) -> pa.Table:
+        y, x = table.column("_y").to_numpy(), table.column("_x").to_numpy()
+        grid = np.full((side + 2 * half, side + 2 * half), np.nan)
+        known = table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        grid[y, x] = known
+        tile_row, tile_col = table.column("_ti").to_numpy() * side - half, table.column("_tj").to_numpy() * side - half
+        # a tile's own cells stand at their own places, within its margins
+        own = (table.column(ROW).to_numpy() == y + tile_row) & (table.column(COL).to_numpy() == x + tile_col) & (y >= half) & (y < half + side) & (x >= half) & (x < half + side)
+        at = np.flatnonzero(own)
+        hy, hx = (table.column(c).to_numpy() for c in wide) if wide else (np.full(len(y), half),) * 2
+        out = np.empty((len(at), 3))
+        order = np.lexsort((hx[at], hy[at], y[at]))
+        at = at[order]
+        new = np.flatnonzero(np.append(True, (y[at][1:] != y[at][:-1]) | (hy[at][1:] != hy[at][:-1]) | (hx[at][1:] != hx[at][:-1]))) if len(at) else []
+        for lo, hi in zip(new, [*new[1:], len(at)], strict=True):  # cells of one row and one window's size
+            r, b, a = int(y[at[lo]]), int(hy[at[lo]]), int(hx[at[lo]])
+            band = np.lib.stride_tricks.sliding_window_view(grid[r - b : r + b + 1], 2 * a + 1, axis=1)
+            step = max(1, 4_000_000 // ((2 * a + 1) * (2 * b + 1)))
+            for part in range(lo, hi, step):
+                some = at[part : min(hi, part + step)]
+                out[part : part + len(some)] = quartiles_of(band[:, x[some] - a].transpose(1, 0, 2).reshape(len(some), -1))
+        kept = table.select(names).take(pa.array(at))
+        for k, q in enumerate(("q1", "q2", "q3")):
+            kept = kept.append_column(q, pa.array(out[:, k], pa.float64(), from_pandas=True))
+        return kept
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(q, T.DoubleType()) for q in ("q1", "q2", "q3")]])
+    return tiles(df, nlat, nlon, side, half).groupBy(*keys, "_ti", "_tj").applyInArrow(one_tile, schema)
 
 
 def moving_quartiles(df: DataFrame, keys: list[str], value: str, nlat: int, nlon: int, width: int) -> DataFrame:
     """df with exact quartiles q1, q2, q3 of the known values in a window around each cell."""
-    half = width // 2
-    window = expand(df, keys, [value], nlat, nlon, half, half)
-    q = window.groupBy(*keys, ROW, COL).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_quartiles"))
-    return df.join(q, [*keys, ROW, COL]).select(*df.columns, F.col("_quartiles")[0].alias("q1"), F.col("_quartiles")[1].alias("q2"), F.col("_quartiles")[2].alias("q3"))
+    return _tiled_quartiles(df, keys, value, nlat, nlon, width // 2)
 
 
 def window_widths(lat_centre: Column, resolution: float, km: float = 750.0, most: int = 50) -> tuple[Column, Column]:
@@ -88,17 +137,9 @@ def window_widths(lat_centre: Column, resolution: float, km: float = 750.0, most
 
 def adaptive_quartiles(df: DataFrame, keys: list[str], value: str, nlat: int, nlon: int, resolution: float, km: float = 750.0, most: int = 50) -> DataFrame:
     """Quartiles in windows whose width follows the distance at the target cell's own latitude."""
-    target = df.withColumn("_lat", -90 + resolution * (F.col(ROW) + 0.5))
-    hy, hx = window_widths(F.col("_lat"), resolution, km, min(most, nlat // 2, nlon // 2))
-    # every target row fetches its window from the source cells: a band join on (row, column) by equality
-    want = target.select(*keys, ROW, COL, F.explode(F.sequence(-hy, hy)).alias("dy"), hx.alias("_hx"))
-    want = want.withColumn("dx", F.explode(F.sequence(-F.col("_hx"), F.col("_hx"))))
-    source_row = F.col(ROW) + F.col("dy")
-    source_row = F.when(source_row < 0, -source_row).when(source_row >= nlat, 2 * (nlat - 1) - source_row).otherwise(source_row)
-    want = want.select(*keys, F.col(ROW).alias("_ti"), F.col(COL).alias("_tj"), source_row.cast("int").alias(ROW), F.pmod(F.col(COL) + F.col("dx"), F.lit(nlon)).cast("int").alias(COL))
-    got = want.join(df.select(*keys, ROW, COL, value), [*keys, ROW, COL])
-    q = got.groupBy(*keys, F.col("_ti").alias(ROW), F.col("_tj").alias(COL)).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_quartiles"))
-    return df.join(q, [*keys, ROW, COL]).select(*df.columns, F.col("_quartiles")[0].alias("q1"), F.col("_quartiles")[1].alias("q2"), F.col("_quartiles")[2].alias("q3"))
+    most = min(most, nlat // 2, nlon // 2)
+    hy, hx = window_widths(-90 + resolution * (F.col(ROW) + 0.5), resolution, km, most)
+    return _tiled_quartiles(df.withColumns({"_hy": hy, "_hx": hx}), keys, value, nlat, nlon, most, ("_hy", "_hx")).drop("_hy", "_hx")
 
 
 def neighbour_mean(df: DataFrame, keys: list[str], value: str, nlat: int, nlon: int, half: int = 2) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +65,34 @@ def format_name(time: Column, pattern: str) -> Column:
     return F.concat(*parts)
 
 
+_REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
+def cksum(content: bytes) -> int:
+    """The checksum that the POSIX command prints: its polynomial runs from the top bit, over the content and its length.
+
+    zlib's runs from the lowest bit, so bits are mirrored before and after.
+    """
+    size = len(content)
+    tail = size.to_bytes((size.bit_length() + 7) // 8, "little")
+    mirrored = zlib.crc32(tail.translate(_REVERSED), zlib.crc32(content.translate(_REVERSED), 0xFFFFFFFF))
+    return int(f"{mirrored:032b}"[::-1], 2)
+
+
+def _with_checksums(files: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            sums = [cksum(c.as_buffer().to_pybytes()) for c in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], names=["path", "length", "checksum"])
+
+    return files.select("path", "length", "content").mapInArrow(run, "path string, length bigint, checksum bigint")
+
+
 def discover(spark: SparkSession, path: str, dataset: str, patterns: list[str], checksum: bool = False) -> DataFrame:
     """Catalogue rows of the files below a folder. The listing is one scan; contents are read for checksums only."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = F.regexp_replace("path", "^.*/", "")
-    rows = reader.select(F.col("path"), root.alias("name"), F.col("length").alias("size"), F.crc32("content").alias("checksum") if checksum else F.lit(None).cast("bigint").alias("checksum"))
+    listed = _with_checksums(reader) if checksum else reader.select("path", "length", F.lit(None).cast("bigint").alias("checksum"))
+    rows = listed.select("path", F.regexp_replace("path", "^.*/", "").alias("name"), F.col("length").alias("size"), "checksum")
     found = None
     for k, p in enumerate(patterns):
         part = matches(rows, p).withColumn("subset", F.lit(k))
@@ -107,13 +132,18 @@ def resolve(step_rows: DataFrame, inputs: list[tuple[str, DataFrame, str]]) -> D
 
     inputs: (name, files with columns step and file, policy).
     """
-    out = step_rows
+    needed = step_rows.select("step")
+    for _, files, policy in inputs:
+        if policy == "skip":
+            needed = needed.join(files.select("step").distinct(), "step", "left_semi")
+    # the steps alone are numbered, before any list of files is made
+    out = step_rows.join(needed.distinct().withColumn("operation", F.row_number().over(Window.orderBy("step")) - 1), "step")
     for name, files, policy in inputs:
         grouped = files.groupBy("step").agg(F.sort_array(F.collect_list("file")).alias(name))
         out = out.join(grouped, "step", "inner" if policy == "skip" else "left")
         if policy == "not_allowed":
             out = out.withColumn(name, F.coalesce(F.col(name), F.raise_error(F.lit(f"no {name} for a step")).cast(grouped.schema[name].dataType)))
-    return out.withColumn("operation", F.row_number().over(Window.orderBy("step")) - 1)
+    return out
 
 
 def outputs(operations: DataFrame, pattern: str) -> DataFrame:
@@ -149,6 +179,17 @@ def run(name: str, *args, **kwargs):
     return REGISTRY[name](*args, **kwargs)
 
 
+def run_group(name: str, operations: DataFrame, size: int, index: int, just_list: bool = False):
+    """Run one registered function on the parameters of a whole batch of operations, in their order.
+
+    ``just_list`` gives the parameters without running anything.
+    """
+    if size < 1:
+        raise ValueError("a batch has at least one operation")
+    rows = [r.asDict(recursive=True) for r in batch(operations, size, index).orderBy("operation").collect()]  # at most ``size``
+    return rows if just_list else run(name, rows)
+
+
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, name, size) of the members of tar and tar.gz files; an archive's index is read in one task."""
     import io

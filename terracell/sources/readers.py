@@ -5,12 +5,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terracell.functions import physics, timebase
-from terracell.functions.grid import Grid, wrap_longitude
+from terracell.functions.grid import Axis, Grid, wrap_longitude
 from terracell.operators import joins
 from terracell.sources import schema
 
@@ -79,9 +81,14 @@ def ships(spark: SparkSession, path: str, titles: list[str], width: int = 8) ->
     Latitude and longitude are in tenths of a degree, air temperature in
     hundredths of a degree Celsius.
     """
+    return ship_reports(spark.read.text(path), titles, width)
+
+
+def ship_reports(lines: DataFrame, titles: list[str], width: int = 8) -> DataFrame:
+    """Ship observations from lines of text (column ``value``)."""
     line = F.col("value")
     at = {t: F.trim(F.substring(line, width * k + 1, width)) for k, t in enumerate(titles)}
-    rows = spark.read.text(path).where(~line.startswith(titles[0]) & (F.trim(line) != ""))
+    rows = lines.where(~line.startswith(titles[0]) & (F.trim(line) != ""))
     day = F.make_date(at["year"].cast("int"), at["month"].cast("int"), at["day"].cast("int"))
     return rows.select(
         at["ID"].alias("ship"),
@@ -118,9 +125,16 @@ def with_distinct_locations(df: DataFrame, lat: str, lon: str) -> tuple[DataFram
     return rows.join(ids.select("_sig", "location_id"), "_sig").drop("_sig"), ids.drop("_sig")
 
 
+LAKE = "DateTime date, lat double, lon double, fTa double"
+
+
 def lakes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Tab-separated lake temperatures: (observations, locations)."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema="DateTime date, lat double, lon double, fTa double")
+    return lake_reports(spark.read.csv(path, sep="\t", header=True, schema=LAKE))
+
+
+def lake_reports(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, locations) from rows of date, place and degrees Celsius."""
     rows = rows.select(timebase.day_number(F.col("DateTime")).alias("day"), "lat", "lon", (F.col("fTa") + physics.KELVIN).alias("measurement"), F.lit(LAKE_UNCERTAINTY).alias("unc"))
     return with_distinct_locations(rows, "lat", "lon")
 
@@ -164,20 +178,81 @@ def encode_raw(rows: list[tuple[int, float, float]], ids: tuple[bytes, bytes, by
     return b"".join([*ids, *(struct.pack("<Qdd", *r) for r in rows)])
 
 
+def _record(correlated: int) -> np.dtype:
+    return np.dtype([("location_id", "<u8"), ("measurement", "<f8"), ("unc", "<f8"), ("unc_corr", "<f8", (correlated,))])
+
+
+def _decoded(raw: np.ndarray, correlated: int) -> dict[str, object]:
+    corr = pa.FixedSizeListArray.from_arrays(pa.array(raw["unc_corr"].reshape(-1)), correlated).cast(pa.list_(pa.float64())) if correlated else pa.array([[]] * len(raw), pa.list_(pa.float64()))
+    return {"location_id": pa.array(raw["location_id"].astype(np.int64)), "measurement": pa.array(raw["measurement"]), "unc": pa.array(raw["unc"]), "unc_corr": corr}
+
+
 def raw_observations(spark: SparkSession, path: str, correlated: int = 0) -> DataFrame:
-    """Raw binary observation files: path, location_id, measurement, unc, unc_corr. A file is decoded in one task."""
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        record = struct.Struct("<Qdd" + "d" * correlated)
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                body = content[_HEADER:]
-                if len(body) % record.size:
+    """Raw binary observation files: path, location_id, measurement, unc, unc_corr. A file (a day) is decoded in one task, as arrays."""
+    record = _record(correlated)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                body = memoryview(content.as_buffer())[_HEADER:]
+                if len(body) % record.itemsize:
                     raise ValueError(f"{name}: not a whole number of records")
-                rows = [(name, int(r[0]), r[1], r[2], list(r[3:])) for r in record.iter_unpack(body)]
-                yield pd.DataFrame(rows, columns=["path", "location_id", "measurement", "unc", "unc_corr"])
+                raw = np.frombuffer(body, dtype=record)
+                columns = _decoded(raw, correlated)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(raw), pa.string()), *columns.values()], names=["path", *columns])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(decode, "path string, location_id bigint, measurement double, unc double, unc_corr array<double>")
+    return files.mapInArrow(decode, "path string, location_id bigint, measurement double, unc double, unc_corr array<double>")
+
+
+def location_pointers(obs: DataFrame, order: list[str], correlated: int = 0) -> DataFrame:
+    """(location_id, day, offset): where each location's records begin in the files of its days.
+
+    A day's file holds its observations in ``order``; a record is numbered within its
+    day only. The table is laid out by location, so one is looked up without the others.
+    """
+    number = F.row_number().over(Window.partitionBy("day").orderBy(*order)) - 1
+    rows = obs.select("location_id", "day", (F.lit(_HEADER) + F.lit(_record(correlated).itemsize) * number).cast("bigint").alias("offset"))
+    return rows.repartition("location_id").sortWithinPartitions("location_id", "day", "offset")
+
+
+def read_at(files: DataFrame, pointers: DataFrame, correlated: int = 0) -> DataFrame:
+    """(location_id, day, measurement, unc, unc_corr) of the pointed records; files: (day, content)."""
+    record = _record(correlated)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for day, content, offsets in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                at = (np.array(offsets.as_py()) - _HEADER) // record.itemsize
+                raw = np.frombuffer(memoryview(content.as_buffer())[_HEADER:], dtype=record)[at]
+                columns = _decoded(raw, correlated)
+                yield pa.RecordBatch.from_arrays([pa.array([day.as_py()] * len(raw), pa.int32()), *columns.values()], names=["day", *columns])
+
+    wanted = pointers.groupBy("day").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    met = files.select(F.col("day").cast("int").alias("day"), "content").join(wanted.withColumn("day", F.col("day").cast("int")), "day").select("day", "content", "offsets")
+    out = met.mapInArrow(pick, "day int, location_id bigint, measurement double, unc double, unc_corr array<double>")
+    return out.select("location_id", "day", "measurement", "unc", "unc_corr")
+
+
+def encode_locations(rows: list[tuple[float, float]], ids: tuple[bytes, bytes]) -> bytes:
+    """A raw location lookup: two 16-byte ids, then (f8 latitude, f8 longitude) in the order of location ids."""
+    if any(len(i) != 16 for i in ids):
+        raise ValueError("ids have 16 bytes")
+    return b"".join([*ids, *(struct.pack("<dd", *r) for r in rows)])
+
+
+def raw_locations(spark: SparkSession, path: str) -> DataFrame:
+    """(lookup_id, location_id, latitude, longitude) of raw location lookups."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                data = memoryview(content.as_buffer())
+                raw = np.frombuffer(data[32:], dtype="<f8").reshape(-1, 2)
+                name = pa.array([bytes(data[16:32]).hex()] * len(raw), pa.string())
+                yield pa.RecordBatch.from_arrays([name, pa.array(np.arange(len(raw))), pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy())], names=["lookup_id", "location_id", "latitude", "longitude"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, schema.LOCATION)
 
 
 def retrieve_day(obs: DataFrame, day: int) -> DataFrame:
@@ -213,6 +288,33 @@ def same_coordinate(one: DataFrame, other: DataFrame, column: str, decimals: int
     return key(one, "i").join(key(other, "j"), column)
 
 
+def ice_fields(rows: DataFrame, time: str = "time") -> DataFrame:
+    """A day's ice temperature fields as the input of the ice quality masks (``filters.ice_masks``): renamed, with the day number.
+
+    The three-hour temperatures and counts are arrays of eight; others have one value a cell.
+    """
+    names = {"surface_temperature": "t_mean", "surface_temperature_min": "t_min", "surface_temperature_max": "t_max", "surface_temperature_std": "std", "surface_temperature_3d": "bin_t", "nobs_3d": "bin_n"}
+    same = ["lat", "lon", "land_mask", "sea_ice_fraction"]
+    uncertainty = {"uncorrelated_uncertainty": "unc_ran", "synoptically_correlated_uncertainty": "unc_atm", "large_scale_correlated_uncertainty": "unc_sys"}
+    return rows.select(timebase.day_number(F.to_date(time)).alias("day"), *same, *[F.col(a).alias(b) for a, b in {**names, **uncertainty}.items()])
+
+
+def ice_input(spark: SparkSession, path: str) -> DataFrame:
+    """Ice temperature fields of files, ready for the masks."""
+    return ice_fields(spark.read.schema(schema.ICE_INPUT + ", surface_temperature_3d array<double>, nobs_3d array<int>, time timestamp").parquet(path))
+
+
+def covariate_map(table: DataFrame, lat: Axis, lon: Axis, latitude: str, longitude: str, covariate: str) -> DataFrame:
+    """Nodes (lat_idx, lon_idx, value) of a map given as places and values; several values of a cell are averaged."""
+    rows = table.where(F.col(covariate).isNotNull()).select(lat.index(F.col(latitude)).alias("lat_idx"), lon.index(wrap_longitude(F.col(longitude))).alias("lon_idx"), F.col(covariate).cast("double").alias("value"))
+    return rows.groupBy("lat_idx", "lon_idx").agg(F.avg("value").alias("value"))
+
+
+def read_correlation_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Correlation ranges as ``sinks.write_correlation_ranges`` wrote them."""
+    return spark.read.schema(schema.CORRELATION_RANGE).json(path)
+
+
 def correlation_ranges(spark: SparkSession, ranges: dict[tuple[str, str], list[float]]) -> DataFrame:
     """Length scales of each source and observable's correlated errors, in their order."""
     rows = [(s, o, k, float(x)) for (s, o), scales in ranges.items() for k, x in enumerate(scales)]

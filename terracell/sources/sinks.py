@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terracell.functions import physics, timebase
@@ -49,6 +49,32 @@ def write_stations(df: DataFrame, path: str) -> None:
     df.repartition("station").sortWithinPartitions("station", "day").write.mode("overwrite").parquet(path)
 
 
+def station_status(breaks: DataFrame) -> DataFrame:
+    """Per station its breaks in order: (station, status_index, break_day, likelihood, from_day, to_day).
+
+    The bounds are the days of one homogeneous period: after the break before (NULL for the first) up to the break.
+    """
+    w = Window.partitionBy("station").orderBy("break_day", "likelihood")
+    index, before = (F.row_number().over(w) - 1).cast("int"), F.lag("break_day").over(w)
+    return breaks.select("station", index.alias("status_index"), "break_day", "likelihood", (before + 1).cast("int").alias("from_day"), F.col("break_day").alias("to_day"))
+
+
+def write_station_files(series: DataFrame, breaks: DataFrame, path: str) -> None:
+    """Both files of station data: the temperature series and the status of each station."""
+    write_stations(series, f"{path}/temperature")
+    write_stations(station_status(breaks).withColumn("day", F.col("break_day")), f"{path}/status")
+
+
+def write_locations(locations: DataFrame, path: str) -> None:
+    """A location lookup as Parquet, in the order of ids."""
+    locations.repartitionByRange("location_id").sortWithinPartitions("location_id").write.mode("overwrite").parquet(path)
+
+
+def write_correlation_ranges(ranges: DataFrame, path: str) -> None:
+    """Correlation ranges as JSON lines; they are a few per source."""
+    ranges.coalesce(1).write.mode("overwrite").json(path)
+
+
 def station_matrix(df: DataFrame, value: str, stations: list[int]) -> DataFrame:
     """One row per day and one column per station."""
     return df.groupBy("day").pivot("station", stations).agg(F.first(value))
