@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.shared import gathered, run_starts, sorted_runs
+from terracell.llm.shared import gathered, run_starts, sorted_runs, tidy
 from terracell.llm.template import Template, unescape, unescape_line
 
 CHAT = """
@@ -64,7 +64,7 @@ def format_conversations(rows: DataFrame, template: str = CHAT) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), _SPAN)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["conv_id", "n_turns", "formatted", "spans"])
 
-    return gathered(turns, keys, ["turn", "role", "text"]).mapInArrow(run, "conv_id bigint, n_turns bigint, formatted string, spans array<struct<start:bigint,end:bigint>>")
+    return gathered(turns, keys, ["turn", "role", "text"]).mapInArrow(tidy(run), "conv_id bigint, n_turns bigint, formatted string, spans array<struct<start:bigint,end:bigint>>")
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -102,4 +102,4 @@ def report(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return format_conversations(rows).select("conv_id", "formatted", "spans").mapInArrow(run, schema)
+    return format_conversations(rows).select("conv_id", "formatted", "spans").mapInArrow(tidy(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import bytewords as B
-from terracell.llm.shared import bitmap_of, cut, in_bitmap
+from terracell.llm.shared import bitmap_of, cut, in_bitmap, tidy
 
 WINDOW = 8
 GRAM = 4
@@ -112,7 +112,7 @@ def _fingerprinted(df: DataFrame, key: str, text: str, sizes: list[int], window:
             yield pa.RecordBatch.from_arrays(columns, names=["key", "text_hash", "n_words", "hits"])
 
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key bigint, text_hash bigint, {_DOC_DDL}")
+    return rows.mapInArrow(tidy(run), f"key bigint, text_hash bigint, {_DOC_DDL}")
 
 
 def _extend(batches):
@@ -164,7 +164,7 @@ def contamination(
     k = F.when(F.col("size") >= window, F.lit(gram)).otherwise(F.col("size"))
     hits = base.select("key", "text_hash", F.explode("hits").alias("h")).select("key", "text_hash", "h.*").withColumn("k", k)
     joined = hits.join(bench, (hits.fp == bench.fp) & (hits["size"] == bench.b_size)).select("key", "text_hash", "size", "pos", "left", "ctx", "k", "b_left", "b_ctx", "items")
-    windows = joined.mapInArrow(_extend, "key bigint, text_hash bigint, start int, size int, items array<bigint>")
+    windows = joined.mapInArrow(tidy(_extend), "key bigint, text_hash bigint, start int, size int, items array<bigint>")
     return base.select(F.col("key").alias(doc_id), "text_hash", "n_words"), windows.withColumnRenamed("key", doc_id)
 
 

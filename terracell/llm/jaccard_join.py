@@ -56,7 +56,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.llm import bytewords as B
-from terracell.llm.shared import Forest, bitmap_of, components, cut, first_of_equals, gathered, in_bitmap, run_starts, scratch, sorted_runs
+from terracell.llm.shared import Forest, bitmap_of, components, cut, first_of_equals, gathered, in_bitmap, run_starts, scratch, sorted_runs, tidy
 
 N = 3
 NUM, DEN = 90, 100
@@ -136,7 +136,7 @@ def frequent_tokens(texts: DataFrame, n: int, num: int, den: int, common: int =
                     parts.append(s[: int(SLACK * prefix_length(len(s), num, den)) + 2])
             yield pa.RecordBatch.from_arrays([_lists_of(parts)], names=["tokens"])
 
-    counted = texts.mapInArrow(low, "tokens array<bigint>").select(F.explode("tokens").alias("token")).groupBy("token").count()
+    counted = texts.mapInArrow(tidy(low), "tokens array<bigint>").select(F.explode("tokens").alias("token")).groupBy("token").count()
     top = counted.where(F.col("count") > common).orderBy(F.desc("count"), "token").limit(heavy).toPandas()
     tokens = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
     rank = np.arange(len(tokens), 0, -1).astype(np.int32)  # the commonest last
@@ -430,7 +430,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "size", "digest", "tokens", "cells"])
 
     known = docs.where("doc is not null")
-    member = cut(known.mapInArrow(prefixes, "doc bigint, text_hash bigint, size int, digest bigint, tokens array<bigint>, cells array<smallint>"), "prefixes")
+    member = cut(known.mapInArrow(tidy(prefixes), "doc bigint, text_hash bigint, size int, digest bigint, tokens array<bigint>, cells array<smallint>"), "prefixes")
     with scratch(spark) as keep:
         comp = keep(_linked(known, member, n, num, den))
 
@@ -448,7 +448,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([none, batch.column(1), pa.array(sizes, pa.int64()), none, none], names=["doc", "text_hash", "n_shingles", "component_id", "group"])
 
-    return out.union(docs.where("doc is null").mapInArrow(count_only, out.schema))
+    return out.union(docs.where("doc is null").mapInArrow(tidy(count_only), out.schema))
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -469,7 +469,7 @@ def _linked(known: DataFrame, member: DataFrame, n: int, num: int, den: int) ->
     entries = entries.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if any_hot else entries.withColumn("blocks", F.lit(1))
     entries = entries.withColumn("block", F.pmod(F.xxhash64("digest", "token"), F.col("blocks")).cast("int"))
     entries = gathered(entries.select("token", "block", "digest", "size", "pos", "blocks"), ["token", "block"], ["size", "pos", "digest"])
-    lists = cut(entries.mapInArrow(_split_lists(SHORT, num, den), _LISTS), "lists")
+    lists = cut(entries.mapInArrow(tidy(_split_lists(SHORT, num, den)), _LISTS), "lists")
 
     long = lists.where("kind = 1").select("token", "block", "blocks", F.col("a").alias("digest"), F.col("size_a").alias("size"), "pos")
     few = lists.where("kind = 2").groupBy(F.col("a").alias("digest")).agg(F.sum("pos").cast("int").alias("few"))
@@ -478,7 +478,7 @@ def _linked(known: DataFrame, member: DataFrame, n: int, num: int, den: int) ->
     place = cut(place.select("digest", "longs", F.coalesce("few", F.lit(0)).alias("few"), "cells"), "places")
 
     def spanning_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return gathered(rows.join(place, "digest"), keys, ["size", "pos", "digest"]).mapInArrow(_candidates(num, den, keys), "a bigint, b bigint")
+        return gathered(rows.join(place, "digest"), keys, ["size", "pos", "digest"]).mapInArrow(tidy(_candidates(num, den, keys)), "a bigint, b bigint")
 
     spanning = spanning_of(long.withColumns({"component": F.col("digest"), "side": F.lit(0)}), ["token", "block"])
     if any_hot:
@@ -518,11 +518,11 @@ def _linked(known: DataFrame, member: DataFrame, n: int, num: int, den: int) ->
             got = [(d, s.tobytes()) for s in shingle_sets(batch.column(1).filter(may), n) if len(s) and (d := _digest(s)) not in seen and not seen.add(d)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["digest", "shingles"])
 
-    sets = known.select(F.xxhash64("doc", "text_hash").alias("fp"), "text").mapInArrow(whole, "digest bigint, shingles binary")
+    sets = known.select(F.xxhash64("doc", "text_hash").alias("fp"), "text").mapInArrow(tidy(whole), "digest bigint, shingles binary")
 
     def meet(where: DataFrame) -> DataFrame:
         at = gathered(where.select("digest", "place", "block").join(sets, "digest"), ["place", "block"], ["digest"])
-        return at.mapInArrow(_meet(num, den), "a bigint, b bigint")
+        return at.mapInArrow(tidy(_meet(num, den)), "a bigint, b bigint")
 
     found = cut(meet(place), "found")
     if not place.where("blocks > 1").isEmpty():

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.shared import cut, scratch, smallest_of_each
+from terracell.llm.shared import cut, scratch, smallest_of_each, tidy
 
 SAMPLE = 128  # training texts per language: the documented bound of the fit
 PIECES = 4  # of a text that enter a dictionary
@@ -101,7 +101,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, dictionary: int = DICTIONARY, m
         chosen = chosen.join(counts, "lang").select("lang", "row", (F.lit(each) / F.col("count") - 1).cast("int").alias("share"))
         # a row that repeats is learned from once; all excerpts together have at most `model` bytes
         texts = _learnable(docs).join(chosen, ["lang", "row"]).select("lang", "row", "text", "share")
-        texts = texts.mapInArrow(_excerpts, "lang string, row bigint, excerpt binary").groupBy("lang", "row").agg(F.min("excerpt").alias("excerpt")).collect()
+        texts = texts.mapInArrow(tidy(_excerpts), "lang string, row bigint, excerpt binary").groupBy("lang", "row").agg(F.min("excerpt").alias("excerpt")).collect()
     got: dict[str, list[tuple[int, bytes]]] = {}
     for r in texts:
         if r["excerpt"]:
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, *made])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + added
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(tidy(run), ddl)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -1,27 +1,38 @@
 """License scanning with ordered signature rules, in DataFrame expressions only.
 
-A text becomes its lower-cased words with single spaces. Rules are regular
-expressions over that form, a few hundred, made of license names and the phrases
-that mention a license. A rule is tried only if its keyword occurs; a text with
-no keyword at all is never normalised. Matches are word intervals with a
-priority. A match is suppressed if an interval that contains it has a better
-priority, or the same one and is longer, or is equal and its rule comes first.
+A text becomes its lower-cased words with single spaces. The rules (see
+``license_rules``) are hand-written regular expressions over that form in five
+tables, each with a priority and a score. They are tried in three steps. A text
+that holds none of a few ``STEMS`` is never normalised. Of a normalised text the
+words are met with the rules' keywords, once for all of them. Only where a keyword
+occurs, one expression of all its rules is tried, and only on a hit the rules one
+by one; all but the last step use literal patterns, which are compiled once.
+
+Matches are word intervals with a priority. A match is suppressed if an interval
+that contains it has a better priority, or the same one and is longer, or is equal
+and its rule comes first. Sorted by start, and by end backwards, whatever contains
+a match comes before it, so one pass that carries the farthest end of each priority
+decides all of them, and time is linear in their number but for the sort.
 
 Base phrases are counted as they stand and their labels always stay.
 
 Edge cases: null and empty texts have no words and no labels, score 0. Repeated
 rows each get their row. Extra columns are ignored by ``report`` and pass through
-``scan``.
+``scan``, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _parser as syntax
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracell.llm import license_rules as tables
+from terracell.llm.shared import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: the word alphabet without the folding: as a plain union of ranges it matches ten times faster than as a complement
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
@@ -29,102 +40,15 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-
-_L = "licen[cs]e"
-_V = "(?:v|version )?"
-# Label, keyword, names as they read in normalised words.
-NAMES = (
-    ("mit", "mit", f"(?:mit {_L}|expat {_L}|mit x11 {_L})"),
-    ("x11", "x11", f"x11 {_L}"),
-    ("isc", "isc", f"isc {_L}"),
-    ("zlib", "zlib", f"zlib(?: libpng)? {_L}"),
-    ("bsd-2-clause", "bsd", f"(?:bsd 2 clause(?: {_L})?|simplified bsd {_L}|freebsd {_L}|two clause bsd {_L})"),
-    ("bsd-3-clause", "bsd", f"(?:bsd 3 clause(?: {_L})?|new bsd {_L}|modified bsd {_L}|revised bsd {_L}|three clause bsd {_L})"),
-    ("bsd-4-clause", "bsd", f"(?:bsd 4 clause(?: {_L})?|original bsd {_L}|four clause bsd {_L})"),
-    ("0bsd", "bsd", f"(?:0bsd|zero clause bsd {_L}|bsd zero clause {_L})"),
-    ("apache-2", "apache", f"(?:apache(?: software)? {_L} {_V}2(?: 0)?|apache 2(?: 0)?)"),
-    ("apache-1.1", "apache", f"apache(?: software)? {_L} {_V}1 1"),
-    ("gpl-1", "general", f"gnu general public {_L} {_V}1(?: 0)?"),
-    ("gpl-2", "general", f"gnu general public {_L} {_V}2(?: 0)?"),
-    ("gpl-3", "general", f"gnu general public {_L} {_V}3(?: 0)?"),
-    ("gpl-2", "gpl", "gpl ?v?2(?: 0)?"),
-    ("gpl-3", "gpl", "gpl ?v?3(?: 0)?"),
-    ("gpl", "general", f"gnu general public {_L}"),
-    ("lgpl-2.1", "lesser", f"gnu lesser general public {_L} {_V}2 1"),
-    ("lgpl-3", "lesser", f"gnu lesser general public {_L} {_V}3(?: 0)?"),
-    ("lgpl-2", "library", f"gnu library general public {_L} {_V}2(?: 0)?"),
-    ("lgpl-2.1", "lgpl", "lgpl ?v?2 1"),
-    ("lgpl-3", "lgpl", "lgpl ?v?3(?: 0)?"),
-    ("lgpl", "lesser", f"gnu lesser general public {_L}"),
-    ("agpl-3", "affero", f"gnu affero general public {_L}(?: {_V}3(?: 0)?)?"),
-    ("agpl-3", "agpl", "agpl ?v?3(?: 0)?"),
-    ("mpl-1.1", "mozilla", f"mozilla public {_L} {_V}1 1"),
-    ("mpl-2", "mozilla", f"mozilla public {_L} {_V}2(?: 0)?"),
-    ("mpl-2", "mpl", "mpl ?v?2(?: 0)?"),
-    ("epl-1", "eclipse", f"eclipse public {_L} {_V}1(?: 0)?"),
-    ("epl-2", "eclipse", f"eclipse public {_L} {_V}2(?: 0)?"),
-    ("cpl-1", "common", f"common public {_L}(?: {_V}1(?: 0)?)?"),
-    ("cddl-1", "cddl", "cddl(?: 1 [01])?"),
-    ("cddl-1", "distribution", f"common development and distribution {_L}"),
-    ("eupl", "european", f"european union public {_L}"),
-    ("eupl", "eupl", "eupl(?: 1 [012])?"),
-    ("artistic-2", "artistic", f"artistic {_L}(?: 2 0)?"),
-    ("boost-1", "boost", f"boost software {_L}"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("ofl-1.1", "font", f"(?:sil )?open font {_L}"),
-    ("psf-2", "python", f"python software foundation {_L}"),
-    ("php-3", "php", f"php {_L}"),
-    ("ms-pl", "microsoft", f"microsoft public {_L}"),
-    ("ms-rl", "microsoft", f"microsoft reciprocal {_L}"),
-    ("ecl-2", "educational", f"educational community {_L}"),
-    ("afl-3", "academic", f"academic free {_L}"),
-    ("osl-3", "software", f"open software {_L}"),
-    ("postgresql", "postgresql", f"postgresql {_L}"),
-    ("ncsa", "illinois", f"university of illinois(?: ncsa)?(?: open source)? {_L}"),
-    ("zpl", "zope", f"zope public {_L}"),
-    ("w3c", "w3c", f"w3c software(?: notice and)? {_L}"),
-    ("openssl", "openssl", f"openssl {_L}"),
-    ("ruby", "ruby", f"ruby {_L}"),
-    ("beerware", "beer", f"(?:beer ware|beerware) {_L}"),
-    ("sleepycat", "sleepycat", f"sleepycat {_L}"),
-    ("lppl", "latex", f"latex project public {_L}"),
-    ("cecill", "cecill", "cecill(?: [bc])?"),
-    ("upl-1", "universal", f"universal permissive {_L}"),
-    ("odbl-1", "open", f"open(?: data commons open)? database {_L}"),
-    ("odc-by-1", "attribution", f"open data commons attribution {_L}"),
-    ("cc0-1", "cc0", "cc0(?: 1 0)?"),
-    ("cc0-1", "zero", "creative commons zero"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1234](?: [05])?)?"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1234](?: [05])?)?"),
-    ("cc-by-nc", "cc", "cc by nc(?: [1234](?: [05])?)?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1234](?: [05])?)?"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1234](?: [05])?)?"),
-    ("cc-by", "cc", "cc by(?: [1234](?: [05])?)?"),
-    ("cc-by-nc-nd", "commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"),
-    ("cc-by-nc-sa", "commons", "creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "commons", "creative commons attribution non ?commercial"),
-    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s?(?: works)?"),
-    ("cc-by-sa", "commons", "creative commons attribution share ?alike"),
-    ("cc-by", "commons", "creative commons attribution"),
-)
-# Statements that name no license.
-STATEMENTS = (
-    ("all-rights-reserved", "reserved", "all rights(?: are)? reserved"),
-    ("proprietary", "proprietary", "proprietary and confidential"),
-    ("proprietary", "confidential", "confidential and proprietary"),
-    ("public-domain", "domain", "(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
-    ("public-domain", "domain", "in the public domain"),
-)
-_GIVEN = "(?:licen[cs]ed|released|distributed|published|available|provided|offered|covered|redistributed|shared)"
-#: (priority, score, phrase around a name): the better priority is the smaller number
-PHRASES = (
-    (1, 1.0, "spdx licen[cs]e identifier {}(?: only| or later)?"),
-    (2, 0.95, _GIVEN + " (?:[^ ]+ ){{0,4}}?under (?:the terms of |the terms and conditions of )?(?:the |a |an )?{}(?: or later)?"),
-    (3, 0.85, "(?:subject to|terms of|governed by|licen[cs]e is|licen[cs]e) (?:the |a |an )?{}(?: or later)?"),
-    (4, 0.7, "{}"),
-)
-_STATEMENT = (5, 0.5)
+#: every rule's matches hold one of these inside a word, or "cc by"
+STEMS = (
+    "licen", "copyright", "warrant", "permission", "redistribut", "domain", "reserved", "commons", "gpl", "apache", "bsd", "mpl", "cddl", "eupl", "cecill", "wtfpl",
+    "cc0", "proprietary", "confidential", "openrail", "perl", "software", "derivative", "verbatim", "convey", "advertis", "endorse", "commercial", "internal", "prohibited",
+    "remix", "neighboring", "invariant", "distribut", "responsible", "beer", "fuck",
+)
+#: (priority, score) of the tables: the better priority is the smaller number
+RANKS = ((tables.IDENTIFIERS, 1, 1.0), (tables.GRANTS, 2, 0.95), (tables.CLAUSES, 3, 0.9), (tables.NAMES, 4, 0.7), (tables.STATEMENTS, 5, 0.5))
+CHUNK = 512  # matches folded at once
 
 
 @dataclass(frozen=True)
@@ -132,92 +56,147 @@ class Rule:
     label: str
     priority: int
     score: float
-    keyword: str
-    stem: str
+    keywords: tuple[str, ...]
     pattern: str
 
 
 def rules() -> list[Rule]:
-    """Every name in every phrase, best priority first, then the bare statements."""
-    out = [Rule(label, priority, score, key, stem(name, key), f"(?<= ){phrase.format(name)}(?= )") for priority, score, phrase in PHRASES for label, key, name in NAMES]
-    return out + [Rule(label, *_STATEMENT, key, key, f"(?<= ){name}(?= )") for label, key, name in STATEMENTS]
+    """All rules, best priority first, in the order of their tables."""
+    return [Rule(label, priority, score, tuple(key.split("|")), pattern) for table, priority, score in RANKS for label, key, pattern in table]
+
+
+def must_hold(pattern: str, text: str) -> bool:
+    """Whether every match of ``pattern`` holds ``text``, as far as its parts tell."""
+
+    def holds(items) -> bool:
+        run = ""
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(value)
+                if text in run:
+                    return True
+                continue
+            if name == "IN":  # a set of characters: "licen[cs]e"
+                run = ""
+                continue
+            run = ""
+            if name == "SUBPATTERN" and holds(value[3]):
+                return True
+            if name == "BRANCH" and all(holds(b) for b in value[1]):
+                return True
+            if name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0 and holds(value[2]):
+                return True
+        return False
+
+    return holds(syntax.parse(pattern))
+
+
+def stems_of(table: list[Rule]) -> list[str]:
+    """The fewest stems (greedily) of which each rule's matches hold one; a rule that has none brings its keywords."""
+    left, out = list(table), ["licen"]
+    while left := [r for r in left if not any(must_hold(r.pattern, s) or all(s in k for k in r.keywords) for s in out) and not must_hold(r.pattern, "cc by")]:
+        best = max(STEMS, key=lambda s: sum(must_hold(r.pattern, s) or all(s in k for k in r.keywords) for r in left))
+        if any(must_hold(r.pattern, best) or all(best in k for k in r.keywords) for r in left):
+            out.append(best)
+        else:
+            out += [k for r in left for k in r.keywords]
+    return sorted({s for s in out if not any(o != s and o in s for o in out)})
+
+
+def gate(low: Column, table: list[Rule]) -> Column:
+    """Whether a lower-cased text may match a rule or hold a base phrase ("license" or "cc by")."""
+    some = F.lit(False)
+    for stem in stems_of(table):
+        some = some | F.contains(low, F.lit(stem))
+    return some | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("by")) & F.rlike(low, F.lit("cc[^0-9a-z]+by")))
 
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-#: word intervals [start, end) of all matches of ``re`` in the normalised text: a match starts at the word
-#: numbered by the spaces before it
-_SPANS = """
-aggregate(
-  zip_with(slice(split(__norm, {re}, -1), 1, size(regexp_extract_all(__norm, {re}, 0))), regexp_extract_all(__norm, {re}, 0),
-           (p, m) -> named_struct('before', length(p) - length(replace(p, ' ', '')), 'inside', length(m) - length(replace(m, ' ', '')))),
-  named_struct('spaces', 0, 'out', cast(array() AS array<struct<start:bigint,stop:bigint>>)),
-  (acc, x) -> named_struct(
-    'spaces', acc.spaces + x.before + x.inside,
-    'out', concat(acc.out, array(named_struct('start', cast(acc.spaces + x.before - 1 AS bigint), 'stop', cast(acc.spaces + x.before + x.inside AS bigint))))),
-  acc -> acc.out)
-"""
-_SPAN_TYPE = "array<struct<label:string,priority:int,score:double,rank:int,start:bigint,stop:bigint>>"
+def _bounded(pattern: str) -> str:
+    return f"(?<= )(?:{pattern})(?= )"
 
 
-def _rule_table(table: list[Rule]) -> str:
-    rows = (f"named_struct('label', {_quoted(r.label)}, 'priority', {r.priority}, 'score', {r.score}D, 'rank', {i}, 'kw', {_quoted(r.keyword)}, 're', {_quoted(r.pattern)})" for i, r in enumerate(table))
-    return f"array({', '.join(rows)})"
+def _intervals(norm: str, pattern: str, made: str) -> str:
+    """Word intervals of all matches: their first words get a mark before them, their last ones a mark behind.
 
+    ``pattern`` is an SQL expression; ``made`` makes the element from ``a`` and ``b``.
+    """
+    words = f"split(regexp_replace({norm}, {pattern}, '\\u0001$0\\u0002'), ' ')"
+    first = r"filter(transform(w, (x, i) -> if(startswith(x, '\u0001'), cast(i - 1 AS bigint), null)), i -> i IS NOT NULL)"
+    last = r"filter(transform(w, (x, i) -> if(endswith(x, '\u0002'), cast(i AS bigint), null)), i -> i IS NOT NULL)"
+    return f"flatten(transform(array({words}), w -> zip_with({first}, {last}, (a, b) -> {made})))"
 
-def stem(name: str, keyword: str) -> str:
-    """What any text with the name must contain: the stem of "license" if every form has it, else the keyword."""
-    needed, before = name, None
-    while needed != before:  # drop what is optional
-        needed, before = re.sub(r"\(\?:[^()]*\)\?", "", needed), needed
-    return "licen" if all(_L in form for form in needed.split("|")) else keyword
 
+_SPAN = "struct<label:string,priority:int,score:double,rank:int,start:bigint,stop:bigint>"
+_BASE_SPAN = "struct<label:string,start:bigint,stop:bigint>"
 
-def gate(low: Column, table: list[Rule]) -> Column:
-    """Whether a lower-cased text may match a rule or hold a base phrase ("license" or "cc by")."""
-    stems = {r.stem for r in table} | {"licen"}
-    some = F.lit(False)
-    for key in sorted(k for k in stems - {"cc"} if not any(o != k and o in k for o in stems - {"cc"})):
-        some = some | F.contains(low, F.lit(key))
-    return some | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("by")) & F.rlike(low, F.lit("cc[^0-9a-z]+by")))
+
+def _matches(norm: str, present: str, table: list[Rule]) -> str:
+    """All matches: for each keyword that is present, one expression of its rules, then the rules themselves."""
+    groups: dict[str, list[tuple[int, Rule]]] = {}
+    for i, r in enumerate(table):
+        for k in r.keywords:
+            groups.setdefault(k, []).append((i, r))
+    out = []
+    made = "named_struct('label', r.label, 'priority', r.priority, 'score', r.score, 'rank', r.rank, 'start', a, 'stop', b)"
+    for key, members in groups.items():
+        any_of = _quoted(_bounded("|".join(r.pattern for _, r in members)))
+        rows = ", ".join(f"named_struct('label', {_quoted(r.label)}, 'priority', {r.priority}, 'score', {r.score}D, 'rank', {i}, 're', {_quoted(_bounded(r.pattern))})" for i, r in members)
+        found = f"flatten(transform(filter(array({rows}), r -> {norm} RLIKE r.re), r -> {_intervals(norm, 'r.re', made)}))"
+        out.append(f"CASE WHEN array_contains({present}, {_quoted(key)}) AND {norm} RLIKE {any_of} THEN {found} END")
+    # a rule with several keywords may be tried for each of them: of equal matches all but the first are suppressed
+    return f"flatten(filter(array({', '.join(out)}), x -> x IS NOT NULL))"
+
+
+def _kept(matches: str) -> str:
+    """The matches that nothing suppresses: in order, no earlier one of the same or a better priority ends at or behind their end.
+
+    The fold's output grows by concatenation, so it is folded in chunks.
+    """
+    levels = range(1, len(RANKS) + 1)
+    farthest = ", ".join(f"'m{p}', greatest(acc.m{p}, if(x.priority = {p}, x.stop, -1L))" for p in levels)
+    better = "greatest(" + ", ".join(f"if({p} <= x.priority, acc.m{p}, -1L)" for p in levels) + ")"
+    start = ", ".join(f"'m{p}', -1L" for p in levels)
+    carried = ", ".join(f"'m{p}', acc.m{p}" for p in levels)
+    inner = f"aggregate(c, named_struct({carried}, 'out', cast(array() AS array<{_SPAN}>)), (acc, x) -> named_struct({farthest}, 'out', if({better} >= x.stop, acc.out, concat(acc.out, array(x)))))"
+    both = ", ".join(f"'m{p}', one.m{p}" for p in levels)
+    outer = f"transform(array({inner}), one -> named_struct({both}, 'out', concat(acc.out, array(one.out))))[0]"
+    chunks = f"transform(sequence(0, (size(sorted) - 1) div {CHUNK}), k -> slice(sorted, k * {CHUNK} + 1, {CHUNK}))"
+    order = "(p, q) -> CASE WHEN p.start <> q.start THEN if(p.start < q.start, -1, 1) WHEN p.stop <> q.stop THEN if(p.stop > q.stop, -1, 1) WHEN p.priority <> q.priority THEN if(p.priority < q.priority, -1, 1) WHEN p.rank <> q.rank THEN if(p.rank < q.rank, -1, 1) ELSE 0 END"
+    fold = f"aggregate({chunks}, named_struct({start}, 'out', cast(array() AS array<array<{_SPAN}>>)), (acc, c) -> {outer}, acc -> flatten(acc.out))"
+    return f"flatten(transform(array(array_sort({matches}, {order})), sorted -> {fold}))"
 
 
 def scan(docs: DataFrame, text: str = "text", table: list[Rule] | None = None) -> DataFrame:
     """docs with n_words, base (spans of base phrases) and found (kept rule matches); they replace columns of these names."""
     table = rules() if table is None else table
     docs = docs.drop("n_words", "base", "found")
+    columns = docs.columns
+    low, norm, present, matches = fresh(docs, "low", "norm", "present", "matches")
     whole = F.coalesce(F.col(text), F.lit(""))
     form = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(whole, UPPER, LOWER), GAP, " ")), F.lit(" "))
-    docs = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD)).cast("bigint")).withColumn("__low", F.lower(whole))
-    docs = docs.withColumn("__norm", F.when(gate(F.col("__low"), table), form))
-    phrase = lambda p: f"(?<= ){p}(?= )"
-    base = ", ".join(
-        f"transform({_SPANS.format(re=_quoted(phrase(p)))}, s -> named_struct('label', {_quoted(label)}, 'start', s.start, 'stop', s.stop))" for label, p in BASE
-    )
-    docs = docs.withColumn("base", F.when(F.col("__norm").isNotNull(), F.expr(f"concat({base})")))
-    matches = f"""
-      flatten(transform(filter({_rule_table(table)}, r -> contains(__norm, r.kw)),
-        r -> transform({_SPANS.format(re="r.re")},
-          s -> named_struct('label', r.label, 'priority', r.priority, 'score', r.score, 'rank', r.rank, 'start', s.start, 'stop', s.stop))))
-    """
-    docs = docs.withColumn("__matches", F.when(F.col("__norm").isNotNull(), F.expr(matches)))
-    better = """
-      filter(__matches, a -> NOT exists(__matches, b -> b.start <= a.start AND b.stop >= a.stop AND (
-        b.priority < a.priority
-        OR (b.priority = a.priority AND b.stop - b.start > a.stop - a.start)
-        OR (b.priority = a.priority AND b.stop - b.start = a.stop - a.start AND b.rank < a.rank))))
-    """
-    docs = docs.withColumn("found", F.when(F.col("__matches").isNotNull(), F.expr(better)))
-    return docs.drop("__low", "__norm", "__matches")
+    docs = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD)).cast("bigint")).withColumn(low, F.lower(whole))
+    docs = docs.withColumn(norm, F.when(gate(F.col(low), table), form))
+    keys = sorted({k for r in table for k in r.keywords})
+    docs = docs.withColumn(present, F.array_intersect(F.split(norm, " "), F.array(*map(F.lit, keys))))
+    made = lambda label: f"named_struct('label', {_quoted(label)}, 'start', a, 'stop', b)"
+    none = f"cast(array() AS array<{_BASE_SPAN}>)"
+    base = ", ".join(f"CASE WHEN contains(`{norm}`, {_quoted(f' {p} ')}) THEN {_intervals(f'`{norm}`', _quoted(_bounded(p)), made(label))} ELSE {none} END" for label, p in BASE)
+    docs = docs.withColumn("base", F.when(F.col(norm).isNotNull(), F.expr(f"concat({base})")))
+    docs = docs.withColumn(matches, F.when(F.size(present) > 0, F.expr(_matches(f"`{norm}`", f"`{present}`", table))))
+    docs = docs.withColumn("found", F.when(F.size(matches) > 0, F.expr(_kept(f"`{matches}`"))))
+    return docs.select(*columns, "n_words", "base", "found")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: words, places of base phrases, and the labels."""
     out = scan(docs.select("doc_id", "text")).drop("text")
-    base = F.coalesce("base", F.expr("cast(array() AS array<struct<label:string,start:bigint,stop:bigint>>)"))
-    found = F.coalesce("found", F.expr(f"cast(array() AS {_SPAN_TYPE})"))
+    base = F.coalesce("base", F.expr(f"cast(array() AS array<{_BASE_SPAN}>)"))
+    found = F.coalesce("found", F.expr(f"cast(array() AS array<{_SPAN}>)"))
     out = out.select("doc_id", "n_words", base.alias("base"), found.alias("found"))
     names = F.col("base")["label"]
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

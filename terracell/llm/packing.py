@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terracell.llm.shared import tidy
+
 CAPACITY = 2048
 SMALLEST = 64
 END_ID = 1
@@ -210,7 +212,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
         if rows:
             yield batch_of(rows)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _ROW)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), _ROW)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from terracell.llm import bytewords as B
 from terracell.llm.language_id import held_out
-from terracell.llm.shared import smallest_of_each
+from terracell.llm.shared import smallest_of_each, tidy
 
 SAMPLE = 1500  # training rows per label value: the documented bound of the fit
 BUCKETS = 4096
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "label", "text")
-        .mapInArrow(counts, "doc_id bigint, label int, counts binary").collect()
+        .mapInArrow(tidy(counts), "doc_id bigint, label int, counts binary").collect()
     )
     if not rows:
         return None
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, score double, predicted int")
+    return docs.mapInArrow(tidy(run), f"{ddl}, score double, predicted int")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

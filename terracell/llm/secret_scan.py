@@ -7,11 +7,17 @@ reported if their inside parses:
 - ``jwt``: two or three dot-separated base64url parts, the first a JSON object
   with a string ``alg``, the second a JSON object;
 - ``der``: a DER element whose nested lengths fill their parents exactly and
-  whose outline is that of a private key (PKCS#1, PKCS#8, SEC1), in base64 or hex,
-  inside PEM armour or bare, there also wrapped into lines of one width;
+  which is a private key: PKCS#1, SEC1, PKCS#8 whose octets parse as the key of its
+  algorithm, or encrypted PKCS#8 under a password-based scheme;
+- ``pem``: armour with ``Proc-Type`` and ``DEK-Info`` headers around whole cipher
+  blocks, under the name of a private key;
 - ``openssh``: the openssh-key-v1 container with its length-prefixed fields;
-- ``sshpub``: an SSH public key blob (string fields that use the blob up exactly);
-  both of these in the same forms as ``der``.
+- ``sshpub``: an SSH public key blob (as many string fields as its type has).
+
+Keys stand in base64 or hex, inside PEM armour (line ends may be written ``\\n``)
+or bare, there also wrapped into lines of one width. A candidate begins wherever a
+structure's first bytes stand, be it inside a longer run of its alphabet, and ends
+where its lengths say; what is glued to either side stays outside the span.
 
 Base spans always stay; ``confirmed`` says how many spans parsed. Offsets are
 code points, end exclusive. Spans are ordered by start, then by kind in the
@@ -26,15 +32,20 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "sshpub")
+from terracell.llm.shared import tidy
+
+KINDS = ("assign", "access", "hex", "jwt", "der", "pem", "openssh", "sshpub")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 DEPTH = 16
 
@@ -43,15 +54,29 @@ _ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_JWT = re.compile(rb"(?<![A-Za-z0-9_-])((?:e[yw]|[ICD])[A-Za-z0-9_-]{12,})\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")  # a brace or white space first
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-_NEXT_LINE = re.compile(rb"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)={0,2}")
-_HEX_ANY = re.compile(rb"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]7373682[Dd]|000000[0-9A-Fa-f]{2}(?:7373682[Dd]|6563647361))[0-9A-Fa-f]{46,}")  # DER, openssh-, ssh- and ecdsa
 _SSH_MAGIC = b"openssh-key-v1\x00"
-_SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
+#: types of SSH public keys and the number of their fields, the type among them
+_SSH_FIELDS = (
+    (b"ssh-rsa", 3), (b"ssh-dss", 5), (b"ssh-ed25519", 2), (b"ssh-ed448", 2), (b"ecdsa-sha2-", 3),
+    (b"sk-ssh-ed25519@", 3), (b"sk-ecdsa-sha2-", 4),
+)
+_RSA, _EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+_ONE_INTEGER = (bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301"))  # DSA, DH
+_CURVE25519 = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # PKCS#5, PKCS#12
+
+_JWT = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{13,})\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
+_JWT_HEAD = re.compile(rb"(?=e[yw]|[ICD])")  # a brace or white space comes first
+_EDGE = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]*)-----")
+_HEADER = re.compile(rb"\A\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\n]*\n)*)+)\s*\n")
+_DEK = re.compile(rb"DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)")
+_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}")
+_NEXT_LINE = re.compile(rb"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)")
+#: where a structure may begin: 0x30 and a length; a container's magic; the length of a type's name
+_BASE64_HEAD = re.compile(rb"(?=M[A-P]|b3BlbnNzaC1rZXktdjE|AAAA[BCEGI])")
+_HEX_RUN = re.compile(rb"[0-9A-Fa-f]{48,}")
+_HEX_HEAD = re.compile(rb"(?=30|6[Ff]70656[Ee]7373682[Dd]|000000[012][0-9A-Fa-f](?:7373682[Dd]|6563647361|736[Bb]2[Dd]))")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_DER_START = (b"MI", b"MC", b"ME", b"MF", b"MG", b"MH", b"MD", b"MB", b"MA")
 
 
 def b64(raw: bytes) -> bytes | None:
@@ -94,21 +119,54 @@ def der_outline(data: bytes, depth: int = DEPTH) -> list | None:
     return out
 
 
+def _integers(parts: list, n: int) -> bool:
+    return len(parts) >= n and all(tag == 0x02 and body for tag, body in parts[:n])
+
+
+def is_rsa_key(parts: list) -> bool:
+    """PKCS#1: version and eight integers."""
+    return _integers(parts, 9) and parts[0][1] in (b"\x00", b"\x01")
+
+
+def is_ec_key(parts: list) -> bool:
+    """SEC1: version 1 and the secret's octets, of a curve's width."""
+    return len(parts) >= 2 and parts[0] == (0x02, b"\x01") and parts[1][0] == 0x04 and len(parts[1][1]) in (20, 21, 24, 28, 29, 30, 32, 36, 40, 48, 52, 64, 66, 72)
+
+
+def is_key_of(algorithm: bytes, data: bytes) -> bool:
+    """Whether the octets of a PKCS#8 shell are the key that its algorithm asks for."""
+    inner = der_outline(data)
+    if not inner or len(inner) != 1:
+        return False
+    tag, body = inner[0]
+    if algorithm == _RSA:
+        return tag == 0x30 and is_rsa_key(body)
+    if algorithm == _EC:
+        return tag == 0x30 and is_ec_key(body)
+    if algorithm in _ONE_INTEGER:
+        return tag == 0x02 and bool(body)
+    if algorithm in _CURVE25519:
+        return tag == 0x04 and len(body) == _CURVE25519[algorithm]
+    return True  # another algorithm: its octets are one DER element that fills them
+
+
 def is_private_key(data: bytes) -> bool:
-    """Whether DER data has the outline of a private key."""
+    """Whether DER data is a private key, down to the key inside a shell."""
     top = der_outline(data)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     parts = top[0][1]
-    tags = [t for t, _ in parts]
-    if len(parts) < 2 or tags[0] != 0x02 or parts[0][1] not in (b"\x00", b"\x01"):
+    if len(parts) < 2:
         return False
-    if len(parts) >= 9 and set(tags[:9]) == {0x02}:  # PKCS#1: version and eight integers
+    if parts[0][0] == 0x30:  # encrypted PKCS#8: scheme, octets
+        scheme = parts[0][1]
+        return len(parts) == 2 and parts[1][0] == 0x04 and len(parts[1][1]) >= 8 and len(scheme) == 2 and scheme[0][0] == 0x06 and scheme[0][1].startswith(_PBE) and scheme[1][0] == 0x30
+    if is_rsa_key(parts) or is_ec_key(parts):
         return True
-    if len(parts) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:  # PKCS#8: algorithm, octets
-        algorithm = parts[1][1]
-        return bool(algorithm) and algorithm[0][0] == 0x06
-    return parts[0][1] == b"\x01" and tags[1] == 0x04 and len(parts[1][1]) in (24, 28, 32, 48, 66)  # SEC1
+    if parts[0] not in ((0x02, b"\x00"), (0x02, b"\x01")) or len(parts) < 3 or parts[1][0] != 0x30 or parts[2][0] != 0x04:
+        return False
+    algorithm = parts[1][1]  # PKCS#8: version, algorithm, octets
+    return bool(algorithm) and algorithm[0][0] == 0x06 and is_key_of(algorithm[0][1], parts[2][1])
 
 
 def ssh_fields(data: bytes) -> list[bytes] | None:
@@ -123,25 +181,96 @@ def ssh_fields(data: bytes) -> list[bytes] | None:
     return out
 
 
+def _fields_of(kind: bytes) -> int:
+    return next((n for start, n in _SSH_FIELDS if kind.startswith(start)), 0)
+
+
 def is_openssh(data: bytes) -> bool:
     """The openssh-key-v1 container: cipher, kdf, options, number of keys, keys, secret part."""
-    if not data.startswith(_SSH_MAGIC):
-        return False
-    rest, fields = data[len(_SSH_MAGIC) :], []
-    for _ in range(3):
-        n = int.from_bytes(rest[:4], "big")
-        if len(rest) < 4 + n:
-            return False
-        fields.append(rest[4 : 4 + n])
-        rest = rest[4 + n :]
-    keys = int.from_bytes(rest[:4], "big")
-    tail = ssh_fields(rest[4:])
-    return fields[0] != b"" and 1 <= keys <= 64 and tail is not None and len(tail) == keys + 1
+    return data.startswith(_SSH_MAGIC) and _openssh_end(lambda a, b: data[a:b]) == len(data)
 
 
 def is_ssh_public(data: bytes) -> bool:
     fields = ssh_fields(data)
-    return bool(fields) and len(fields) >= 2 and any(fields[0].startswith(t) for t in _SSH_TYPES)
+    return bool(fields) and len(fields) == _fields_of(fields[0])
+
+
+Reader = Callable[[int, int], bytes]  # bytes a to b of a candidate, fewer at its end
+
+
+def _openssh_end(read: Reader) -> int | None:
+    """Where the container that begins here ends."""
+    at, left = len(_SSH_MAGIC), 3
+    for step in range(2):
+        while left:
+            size = read(at, at + 4)
+            if len(size) < 4:
+                return None
+            if not step and left == 3 and size == b"\0\0\0\0":  # no cipher's name
+                return None
+            at, left = at + 4 + int.from_bytes(size, "big"), left - 1
+        if not step:
+            keys = int.from_bytes(read(at, at + 4), "big")
+            at, left = at + 4, keys + 1 if 1 <= keys <= 64 else 0
+            if not left:
+                return None
+    return at
+
+
+def _public_end(read: Reader) -> int | None:
+    """Where the SSH public key that begins here ends."""
+    n = int.from_bytes(read(0, 4), "big")
+    left, at = (_fields_of(read(4, 4 + n)) if n < 64 else 0), 0
+    if not left:
+        return None
+    while left:
+        size = read(at, at + 4)
+        if len(size) < 4:
+            return None
+        at, left = at + 4 + int.from_bytes(size, "big"), left - 1
+    return at
+
+
+def _element(read: Reader, at: int) -> tuple[int, int, int] | None:
+    """(tag, start of the content, end) of the DER element at ``at``."""
+    head = read(at, at + 6)
+    if len(head) < 2:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4 or head[1] == 0x80 or len(head) < 2 + k:
+        return None
+    return head[0], at + 2 + k, at + 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def _der_end(read: Reader) -> int | None:
+    """Where the private key that begins here would end: its children must chain up to it."""
+    top = _element(read, 0)
+    if top is None or top[0] != 0x30 or read(top[1], top[1] + 2)[:1] not in (b"\x02", b"\x30"):
+        return None
+    at = top[1]
+    for _ in range(16):
+        child = _element(read, at)
+        if child is None or child[2] > top[2]:
+            return None
+        if child[2] == top[2]:
+            return top[2]
+        at = child[2]
+    return None
+
+
+def _structure(read: Reader) -> tuple[str, int] | None:
+    """(kind, length in bytes) of the structure that begins here."""
+    head = read(0, 5)
+    if head[:1] == b"\x30":
+        end = _der_end(read)
+        return ("der", end) if end and len(data := read(0, end)) == end and is_private_key(data) else None
+    if head[:3] == b"\0\0\0":
+        end = _public_end(read)
+        return ("sshpub", end) if end and len(read(end - 1, end)) == 1 else None
+    if head == _SSH_MAGIC[:5] and read(0, len(_SSH_MAGIC)) == _SSH_MAGIC:
+        end = _openssh_end(read)
+        return ("openssh", end) if end and len(read(end - 1, end)) == 1 else None
+    return None
 
 
 def is_jwt(raw: bytes) -> bool:
@@ -167,60 +296,130 @@ def _kind(data: bytes | None) -> str | None:
     return "sshpub" if is_ssh_public(data) else None
 
 
+def _may_begin(part: bytes) -> bool:
+    """Whether the beginning of a long base64url part may begin a JSON object; short parts are parsed whole."""
+    if len(part) <= 4096:
+        return True
+    try:
+        json.loads((b64(part[:4096]) or b"").decode("utf-8", "strict"))
+    except UnicodeDecodeError as e:
+        return e.end >= len(e.object) - 3  # cut inside a character
+    except json.JSONDecodeError as e:
+        return e.pos >= len(e.doc) - 16 or e.msg.startswith("Unterminated string")
+    except RecursionError:
+        return False
+    return False  # complete before the part's end
+
+
 def _tokens(raw: bytes) -> list[tuple[str, int, int]]:
     out, at = [], 0
     while m := _JWT.search(raw, at):
-        good = is_jwt(m[0])
-        at = m.end() if good else m.end(1)  # what follows the first part may be a token
-        if good:
-            out.append(("jwt", *m.span()))
+        at = m.end(1)  # what follows the first part may be a token
+        for h in _JWT_HEAD.finditer(m[1]):
+            head = b64(m[1][h.start() : h.start() + 12])
+            if head and head.lstrip()[:1] in (b"", b"{") and _may_begin(m[1][h.start() :][:5000]) and is_jwt(m[0][h.start() :]):
+                out.append(("jwt", m.start() + h.start(), m.end()))
+                at = m.end()
+                break
     return out
 
 
-def _sizes(head: bytes, body: bytes) -> set[int]:
-    """The lengths in bytes at which a structure that begins ``body`` may end."""
-    if head[0] == 0x30:
-        k = head[1] & 0x7F if head[1] & 0x80 else 0
-        return {2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])} if k <= 4 else set()
-    out, at, fields = set(), 0, 0
-    if head.startswith(_SSH_MAGIC):
-        at, keys = len(_SSH_MAGIC), 0
-        while at + 4 <= len(body) and fields < 4 + keys:
-            at += 4 + int.from_bytes(body[at : at + 4], "big")
-            fields += 1
-            if fields == 3:
-                keys = int.from_bytes(body[at : at + 4], "big")
-                at += 4
-        return {at}
-    while at + 4 <= len(body):
-        at += 4 + int.from_bytes(body[at : at + 4], "big")
-        out.add(at)
+class _Lines:
+    """The bytes that base64 characters from ``start`` on stand for; after ``end`` they may go on over lines of the first one's width."""
+
+    def __init__(self, raw: bytes, start: int, end: int, wrapped: bool):
+        self.raw, self.parts, self.width, self.open = raw, [(start, end)], end - start, wrapped
+        self.before = [0]  # characters before each part
+
+    def __call__(self, a: int, b: int) -> bytes:
+        first, last = a // 3 * 4, -(-b // 3) * 4
+        return (b64(self._chars(first, last)) or b"")[a - a // 3 * 3 :][: b - a]
+
+    def _chars(self, first: int, last: int) -> bytes:
+        while self.open and self.before[-1] + self.parts[-1][1] - self.parts[-1][0] < last:
+            m = _NEXT_LINE.match(self.raw, self.parts[-1][1])
+            n = m.end(1) - m.start(1) if m else 0
+            if not 0 < n <= self.width:
+                self.open = False
+                break
+            self.before.append(self.before[-1] + self.parts[-1][1] - self.parts[-1][0])
+            self.parts.append((m.start(1), m.end(1)))
+            self.open = n == self.width
+        out = []
+        for k in range(max(0, bisect.bisect_right(self.before, first) - 1), len(self.parts)):
+            (start, end), skipped = self.parts[k], self.before[k]
+            if skipped >= last:
+                break
+            out.append(self.raw[start + max(0, first - skipped) : min(end, start + last - skipped)])
+        got = b"".join(out)
+        return got[:-1] if len(got) % 4 == 1 else got
+
+    def end_of(self, size: int) -> int:
+        """Where the characters of the first ``size`` bytes end, their padding included."""
+        chars = -(-4 * size // 3)
+        k = bisect.bisect_left(self.before, chars) - 1
+        at = self.parts[k][0] + chars - self.before[k]
+        pad = -chars % 4
+        return at + pad if pad and self.raw[at : at + pad] == b"=" * pad else at
+
+
+def _in_base64(raw: bytes, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Structures that begin in the run start:end of base64 characters."""
+    out, at = [], start
+    for h in _BASE64_HEAD.finditer(raw, start, end):
+        if (p := h.start()) < at or end - p < 24 and p > start:
+            continue
+        lines = _Lines(raw, p, end, wrapped=p == start)
+        if found := _structure(lines):
+            at = lines.end_of(found[1])
+            out.append((found[0], p, at))
+            if at > end:
+                break
     return out
 
 
-def _wrapped(raw: bytes, start: int, end: int) -> tuple[str, int] | None:
-    """(kind, end) of a key whose base64 begins with the line at ``start`` and goes on over lines of its width, the last one at most."""
-    head = b64(raw[start : start + 40])
-    if head is None or not (head[0] == 0x30 or head.startswith(_SSH_MAGIC) or any(head[4:].startswith(t) for t in _SSH_TYPES)):
-        return None
-    known = -(-4 * max(_sizes(head, b""), default=0) // 3) if head[0] == 0x30 else None
-    width, lines = end - start, [(end, end - start)]  # (end, characters so far)
-    while m := _NEXT_LINE.match(raw, lines[-1][0]):
-        n = m.end(1) - m.start(1)
-        if n > width:
-            break
-        lines.append((m.end(), lines[-1][1] + n))
-        if n < width or m.end() > m.end(1) or known is not None and lines[-1][1] >= known:
-            break
-    if len(lines) == 1:
-        return None
-    text = b"".join(raw[start : lines[-1][0]].split()).rstrip(b"=")
-    body = b"" if head[0] == 0x30 else b64(text[: len(text) // 4 * 4]) or b""
-    wanted = {-(-4 * n // 3) for n in _sizes(head, body)}
-    for stop, n in reversed(lines[1:]):
-        if n in wanted and (kind := _kind(b64(raw[start:stop]))):
-            return kind, stop
-    return None
+def _in_hex(raw: bytes, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Structures that begin in the run start:end of hex digits."""
+    out, at = [], start
+    for h in _HEX_HEAD.finditer(raw, start, end):
+        if (p := h.start()) < at:
+            continue
+        read = lambda a, b, p=p: binascii.unhexlify(raw[p + 2 * a : p + min(2 * b, (end - p) // 2 * 2)]) if p + 2 * a < end else b""
+        if found := _structure(read):
+            at = p + 2 * found[1]
+            out.append((found[0], p, at))
+    return out
+
+
+def _whole_blocks(header: bytes, body: bytes) -> bool:
+    """Whether the headers name a cipher and its first block, and the body is whole blocks."""
+    dek = _DEK.search(header)
+    if not dek or not re.search(rb"Proc-Type:\s*4,\s*ENCRYPTED", header):
+        return False
+    block = 8 if b"DES" in dek[1] else 16
+    return len(dek[2]) == 2 * block and len(body) > 0 and len(body) % block == 0
+
+
+def _armoured(raw: bytes) -> list[tuple[str, int, int]]:
+    out, begin = [], None
+    for m in _EDGE.finditer(raw):
+        if m[1] == b"BEGIN":
+            begin = m
+            continue
+        if begin is None or begin[2] != m[2]:
+            begin = None
+            continue
+        body = raw[begin.end() : m.start()].replace(b"\\r", b"").replace(b"\\n", b"\n")
+        header = _HEADER.match(body)
+        data = b64(body[header.end() :] if header else body)
+        if data:
+            found = _structure(lambda a, b, data=data: data[a:b])
+            if found and found[1] == len(data):
+                out.append((found[0], begin.start(), m.end()))
+            elif header and m[2].endswith(b"PRIVATE KEY") and _whole_blocks(header[1], data):
+                out.append(("pem", begin.start(), m.end()))
+        begin = None
+    return out
 
 
 def scan(raw: bytes) -> list[tuple[str, int, int]]:
@@ -234,28 +433,20 @@ def scan(raw: bytes) -> list[tuple[str, int, int]]:
     out += [("hex", *m.span()) for m in _HEX.finditer(raw)]
     if b"." in raw:
         out += _tokens(raw)
-    taken: list[tuple[int, int]] = []
-    if b"-----BEGIN " in raw:
-        for m in _PEM.finditer(raw):
-            if kind := _kind(b64(m[2])):
-                out.append((kind, *m.span()))
-                taken.append(m.span())
-    free = lambda m: not any(a < m.end() and m.start() < b for a, b in taken)
-    # a key's base64 can only begin with one of these: 0x30 and a length, a magic, a field length
-    if b"b3BlbnNzaC1rZXktdjE" in raw or b"AAAA" in raw or any(p in raw for p in _DER_START):
-        for m in _BASE64.finditer(raw):
-            if m[0][:2] in _DER_START or m[0][:4] in (b"b3Bl", b"AAAA"):
-                if not free(m):
-                    continue
-                if kind := _kind(b64(m[0])):
-                    out.append((kind, *m.span()))
-                elif not m[0].endswith(b"=") and (found := _wrapped(raw, *m.span())):
-                    out.append((found[0], m.start(), found[1]))
-                    taken.append((m.start(), found[1]))
-    if b"30" in raw or b"7373682" in raw or b"6563647361" in raw:
-        for m in _HEX_ANY.finditer(raw):
-            if len(m[0]) % 2 == 0 and free(m) and (kind := _kind(binascii.unhexlify(m[0]))):
-                out.append((kind, *m.span()))
+    taken = _armoured(raw) if b"-----BEGIN " in raw else []
+    edges = sorted(a for _, a, _ in taken), sorted(b for _, _, b in taken)
+    inside = lambda p: bisect.bisect_right(edges[0], p) > bisect.bisect_right(edges[1], p)
+    out += taken
+    at = 0
+    for m in _BASE64.finditer(raw):
+        if m.start() >= at and not inside(m.start()):
+            found = _in_base64(raw, *m.span())
+            out += found
+            at = max((b for _, _, b in found), default=at)
+    if b"30" in raw or b"7373682" in raw or b"6563647361" in raw or b"736b2d" in low:
+        for m in _HEX_RUN.finditer(raw):
+            if not inside(m.start()):
+                out += _in_hex(raw, *m.span())
     return out
 
 
@@ -266,8 +457,9 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     raw = text.encode("utf-8", "replace")
     found = scan(raw)
     if found and len(raw) != len(text):
-        points = lambda b: len(raw[:b].decode("utf-8", "replace"))
-        found = [(k, points(a), points(b)) for k, a, b in found]
+        # code points that begin before each byte
+        points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)))
+        found = [(k, int(points[a]), int(points[b])) for k, a, b in found]
     return sorted(found, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
 
 
@@ -283,7 +475,7 @@ def find_secrets(docs: DataFrame, text: str = "text", column: str = "secrets") -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=[*names, column])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, {column} array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.mapInArrow(tidy(run), f"{ddl}, {column} array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -308,7 +500,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             columns[where] = pa.array([cleaned(t.as_py()) for t in batch.column(where)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def digest(found: list[tuple[str, int, int]], kinds: tuple[str, ...] = KINDS) -> str:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.shared import Forest, components, cut, drop_cuts, gathered, run_starts, scratch, sorted_runs
+from terracell.llm.shared import Forest, components, cut, drop_cuts, gathered, run_starts, scratch, sorted_runs, tidy
 
 COSINE = 0.93
 PROBES = 2
@@ -194,7 +194,7 @@ def _indexed(distinct: DataFrame, dim: int, tables: int, symbols: int, probes: i
                     columns += [spread([r.tobytes() for r in q], pa.binary()), spread(scale, pa.float32()), spread(err, pa.float32())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in (_FULL if full else _LIGHT).split(", ")])
 
-    return distinct.select("label_key", "vec", "n", "v").mapInArrow(run, _FULL if full else _LIGHT)
+    return distinct.select("label_key", "vec", "n", "v").mapInArrow(tidy(run), _FULL if full else _LIGHT)
 
 
 def _block_size(rows):
@@ -350,8 +350,8 @@ def _links(distinct: DataFrame, cosine: float, probes: int) -> DataFrame:
         width = 1 + min(probes, symbols)
         some = distinct.where(F.col("dim") == dim)
         light = cut(_indexed(some, dim, tables, symbols, probes, full=False), "buckets")
-        alive = cut(_dealt(light).mapInArrow(_shortlist(cosine, dim), "vec bigint").distinct(), "alive")
+        alive = cut(_dealt(light).mapInArrow(tidy(_shortlist(cosine, dim)), "vec bigint").distinct(), "alive")
         drop_cuts(distinct.sparkSession, light)
         index = cut(_indexed(some.join(alive, "vec", "left_semi").select(*some.columns), dim, tables, symbols, probes, full=True), "buckets")
-        found = found.union(_dealt(index).mapInArrow(_compare(cosine, tables, width, dim), "vec bigint, links bigint, other bigint"))
+        found = found.union(_dealt(index).mapInArrow(tidy(_compare(cosine, tables, width, dim)), "vec bigint, links bigint, other bigint"))
     return cut(found, "links")
