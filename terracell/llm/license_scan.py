@@ -23,6 +23,7 @@ rows each get their row. Extra columns are ignored by ``report`` and pass throug
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 from re import _parser as syntax
@@ -65,6 +66,12 @@ def rules() -> list[Rule]:
     return [Rule(label, priority, score, tuple(key.split("|")), pattern) for table, priority, score in RANKS for label, key, pattern in table]
 
 
+@functools.lru_cache(maxsize=None)
+def _parsed(pattern: str):
+    return syntax.parse(pattern)
+
+
+@functools.lru_cache(maxsize=None)
 def must_hold(pattern: str, text: str) -> bool:
     """Whether every match of ``pattern`` holds ``text``, as far as its parts tell."""
 
@@ -89,7 +96,7 @@ def must_hold(pattern: str, text: str) -> bool:
                 return True
         return False
 
-    return holds(syntax.parse(pattern))
+    return holds(_parsed(pattern))
 
 
 def stems_of(table: list[Rule]) -> list[str]:
