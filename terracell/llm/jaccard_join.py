@@ -63,7 +63,7 @@ NUM, DEN = 90, 100
 COMMON = 64  # prefix tokens in more sets than this may be put last
 HEAVY = 1 << 19  # at most so many are: 6 MB to each task
 SHORT = 16  # lists up to this length are compared pair by pair
-SPLIT = 1024  # entries of a block of a long list
+SPLIT = 8192  # entries of a block of a long list: some 3 MB
 SAMPLED = 16  # the lengths of lists are estimated from one set in so many
 HOME_TOKENS = 1 << 21  # tokens of the sets that meet in one place: 16 MB, and some 150 MB of work
 DELEGATES = 16  # sets of each block of a larger group that meet those of the others
