@@ -45,10 +45,9 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    (removed,) = fresh(docs, "removed")
-    out = line_dedup.remove_boilerplate(docs, removed=removed)
-    emptied = (F.col(removed) > 0) & (F.trim("text") == "")
-    out = out.where(~emptied)
+    removed, left = fresh(docs, "removed", "left")
+    out = line_dedup.remove_boilerplate(docs, removed=removed, left=left)
+    out = out.where(F.coalesce(F.col(left), F.lit(1)) > 0)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -41,15 +41,19 @@ _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def format_conversations(rows: DataFrame, template: str = CHAT) -> DataFrame:
-    """(conv_id, n_turns, formatted, spans): spans are the generated parts of ``formatted``."""
+def format_conversations(rows: DataFrame, template: str = CHAT, most_chars: int | None = None) -> DataFrame:
+    """(conv_id, n_turns, formatted, spans): spans are the generated parts of ``formatted``.
+
+    ``most_chars`` bounds a conversation's output under a template that is not
+    trusted; ``CHAT`` writes each text once, so it needs no bound.
+    """
     Template(template)  # a wrong template fails here, not in a task
     none = F.col("conv_id").isNull().alias("none")
     turns = rows.select(none, F.coalesce(F.col("conv_id").cast("bigint"), F.lit(0)).alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     keys = ["none", "conv"]
 
     def run(batches):
-        compiled = Template(template)
+        compiled = Template(template, most_chars)
         for t in sorted_runs(batches, keys):
             begin = run_starts(t, keys).tolist()
             none, conv = t.column("none"), t.column("conv")

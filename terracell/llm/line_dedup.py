@@ -62,9 +62,14 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return sure.union(near.join(exact, ["h", "g"]).select("h", "g", "first_doc"))
 
 
-def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, removed: str = "n_removed") -> DataFrame:
-    """docs with ``text`` cleaned, and the number of lines taken out (column ``removed``, which replaces any of that name)."""
-    docs = docs.drop(removed)
+def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, removed: str = "n_removed", left: str | None = None) -> DataFrame:
+    """docs with ``text`` cleaned, and the number of lines taken out (column ``removed``, which replaces any of that name).
+
+    ``left`` names a column for the number of lines that are not blank and stay (NULL
+    where none is taken out). It is counted apart from the text, so a filter on it
+    does not clean the text once more.
+    """
+    docs = docs.drop(removed, *([left] if left else []))
     lines = cut(line_keys(docs, doc_id, text, site), "lines")
     spread = cut(boilerplate(lines, sites), "boilerplate")
     of, of_text, gone, parts, kept = fresh(docs, "of", "of_text", "gone", "parts", "kept")
@@ -79,7 +84,9 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     joined = joined.withColumn(kept, F.when(F.col(parts).isNotNull(), F.transform(stay, lambda i: F.col(parts)[i])))
     text_now = F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.col(kept).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("bigint")
-    return joined.select(*[text_now.alias(c) if c == text else F.col(c) for c in docs.columns], count.alias(removed))
+    full = F.size(F.filter(_split(F.col(text)), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    more = [F.when(F.col(gone).isNotNull(), full - F.size(gone)).alias(left)] if left else []
+    return joined.select(*[text_now.alias(c) if c == text else F.col(c) for c in docs.columns], count.alias(removed), *more)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

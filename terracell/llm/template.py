@@ -9,7 +9,8 @@ tests (``is defined``, ``is none``) and filters.
 
 Sandbox: a template sees the values it is given and nothing else. ``a.b`` looks
 up a mapping's key and never a Python attribute; there are no calls but the
-filters listed here; numbers alone multiply; nesting and output are bounded.
+filters listed here; numbers alone multiply; nesting is bounded, and output too
+unless the caller trusts the template (``most_chars`` None).
 
 Three steps: ``parse`` to a syntax tree, ``fold`` constants (arithmetic, filters,
 decided branches, adjacent text), ``Template`` to closures over the tree.
@@ -570,11 +571,12 @@ class Output:
     parts: list[str] = field(default_factory=list)
     length: int = 0
     spans: list[tuple[int, int]] = field(default_factory=list)
+    most: int | None = MOST_CHARS
 
     def add(self, text: str) -> None:
         self.parts.append(text)
         self.length += len(text)
-        if self.length > MOST_CHARS:
+        if self.most is not None and self.length > self.most:
             raise TemplateError("output too long")
 
 
@@ -678,11 +680,11 @@ def _block(nodes: tuple) -> Callable[[dict, Output], None]:
 class Template:
     """A compiled template; ``render`` gives the text and the generated spans."""
 
-    def __init__(self, source: str):
-        self.tree = fold(parse(source))
+    def __init__(self, source: str, most_chars: int | None = MOST_CHARS):
+        self.tree, self.most_chars = fold(parse(source)), most_chars
         self._run = _block(self.tree)
 
     def render(self, **values: Any) -> tuple[str, list[tuple[int, int]]]:
-        out = Output()
+        out = Output(most=self.most_chars)
         self._run(dict(values), out)
         return "".join(out.parts), out.spans

@@ -359,3 +359,14 @@ def test_scratch_tables_go(spark):
         gone = a.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(gone) and a.count() == 3
     assert not os.path.exists(gone) and b.count() == 4
+
+
+def test_output_is_bounded_where_the_template_is_not_trusted(spark):
+    loop = "{% for a in v %}{% for b in v %}{{ b }}{% endfor %}{% endfor %}"
+    assert len(Template(loop, 1000).render(v=["x"] * 30)[0]) == 900 and len(Template(loop, None).render(v=["x"] * 40)[0]) == 1600
+    with pytest.raises(TemplateError):
+        Template(loop, 1000).render(v=["x"] * 40)
+    rows = spark.createDataFrame([(1, 0, "user", "y" * 500)], "conv_id bigint, turn bigint, role string, text string")
+    assert len(chat.format_conversations(rows).first().formatted) > 500
+    with pytest.raises(Exception, match="too long"):
+        chat.format_conversations(rows, most_chars=100).collect()

@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from re import _parser as syntax
 
 import numpy as np
 import pyarrow as pa
@@ -718,7 +719,7 @@ def sample_of(items, rng):
 def test_rules_priority_and_containment_equal_brute_force(spark):
     rng = random.Random(42)
     table = license_scan.rules()
-    samples = [sample_of(license_scan.syntax.parse(r.pattern), rng) for r in table]
+    samples = [sample_of(syntax.parse(r.pattern), rng) for r in table]
     for r, t in zip(table, samples, strict=True):
         assert any(k in t.split() for k in r.keywords), (r, t)
     texts = list(samples)
@@ -737,7 +738,7 @@ def test_every_rule_passes_the_gate(spark):
     """A sample of each rule alone reaches its rule: no stem hides it."""
     rng = random.Random(43)
     table = license_scan.rules()
-    texts = [sample_of(license_scan.syntax.parse(r.pattern), rng) for r in table]
+    texts = [sample_of(syntax.parse(r.pattern), rng) for r in table]
     got = {r.doc_id: r.found for r in license_scan.scan(documents(spark, texts)).select("doc_id", "found").collect()}
     assert all(got[k] for k in range(len(texts)))
 
